@@ -44,37 +44,43 @@ def as_arrays(df: DataFrame, rows: str = "rows") -> DataFrame:
     ).drop(rows)
 
 
-def augmented(histories: DataFrame, spec: SeriesSpec, online: OnlineSpec) -> DataFrame:
-    """Augmented training arrays per refit; expects ``rows`` and ``scale``."""
-    online = online.resolved(spec.season)
-    recent = last_of(F.col("rows"), online.max_samples)
+def augmented(histories: DataFrame, spec: SeriesSpec, online: OnlineSpec | list[OnlineSpec]) -> DataFrame:
+    """Augmented training arrays per refit; expects ``rows`` and ``scale``.
+
+    Given a list of settings, the rows name theirs by position in ``param_id``.
+    """
+    several = isinstance(online, (list, tuple))
+    variants = [o.resolved(spec.season) for o in (online if several else [online])]
+    first = variants[0]
+    recent = last_of(F.col("rows"), first.max_samples)
     shifted = scaled(recent, F.col("scale"))
-    if online.da != "scaled" and online.append == "before":
-        shifted = F.concat(recent, shifted)
+    doubled = [i for i, o in enumerate(variants) if o.da != "scaled" and o.append == "before"]
+    if doubled:
+        both = F.concat(recent, shifted)
+        shifted = F.when(F.col("param_id").isin(doubled), both).otherwise(shifted) if several else both
     arrays = as_arrays(histories.withColumn("rows", shifted))
-    if online.da == "scaled":
+    if first.da == "scaled":
         return arrays
     seeds = arrays.withColumn(
-        "_seed", F.shiftrightunsigned(order_key(online.seed, *[F.col(k) for k in spec.keys], F.col("refit_t")), 1)
+        "_seed", F.shiftrightunsigned(order_key(first.seed, *[F.col(k) for k in spec.keys], F.col("refit_t")), 1)
     )
-    return seeds.mapInPandas(_rebalancer(online), arrays.schema)
+    return seeds.mapInPandas(_rebalancer(variants, several), arrays.schema)
+
 
+def _rebalancer(variants: list[OnlineSpec], several: bool):
+    def one(job: dict):
+        online = variants[int(job["param_id"]) if several else 0]
+        y = np.asarray(job["ys"], dtype=float)
+        x = np.asarray(job["xs"], dtype=float).reshape(len(y), -1)
+        rng = np.random.default_rng(int(job["_seed"]))
+        if online.da == "smogn":
+            side = "high" if job["scale"] > 1 else "low"
+            return interpolate_rare(x, y, rng, online.rel_thr, online.rel_coef, side, online.under_samp)
+        return noise_copies(x, y, rng, online.thr, online.o_perc, online.u_perc)
 
-def _rebalancer(online: OnlineSpec):
     def rebalance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            xs, ys = [], []
-            for x, y, scale, seed in zip(batch["xs"], batch["ys"], batch["scale"], batch["_seed"]):
-                y = np.asarray(y, dtype=float)
-                x = np.asarray(x, dtype=float).reshape(len(y), -1)
-                rng = np.random.default_rng(int(seed))
-                if online.da == "smogn":
-                    side = "high" if scale > 1 else "low"
-                    x, y = interpolate_rare(x, y, rng, online.rel_thr, online.rel_coef, side, online.under_samp)
-                else:
-                    x, y = noise_copies(x, y, rng, online.thr, online.o_perc, online.u_perc)
-                xs.append(x.ravel())
-                ys.append(y)
-            yield batch.drop(columns=["_seed"]).assign(xs=xs, ys=ys)
+            pairs = [one(job) for job in batch.to_dict("records")]
+            yield batch.drop(columns=["_seed"]).assign(xs=[x.ravel() for x, _ in pairs], ys=[y for _, y in pairs])
 
     return rebalance

@@ -7,10 +7,11 @@ ahead of any fit.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +26,7 @@ from tidemark.spec import OnlineSpec, SeriesSpec
 
 
 def change_finder_scores(
-    df: DataFrame, spec: SeriesSpec, online: OnlineSpec, with_scale: bool = False, density: str = "after"
+    df: DataFrame, spec: SeriesSpec, online: OnlineSpec | list[OnlineSpec], with_scale: bool = False, density: str = "after"
 ) -> DataFrame:
     """Seasonal difference ``dy`` and change score of each row.
 
@@ -34,10 +35,12 @@ def change_finder_scores(
     from the start of the series to the last digit, and one long series is scored
     by many tasks. With ``with_scale`` the output scale is computed in the same pass.
     """
-    online = online.resolved(spec.season)
+    variants = [o.resolved(spec.season) for o in (online if isinstance(online, (list, tuple)) else [online])]
     season = spec.season
-    lookback = season + burn_in_rows(online.cf_r, online.cf_order, online.cf_smooth)
-    lookback = max(lookback, scale_lookback(season, online.scale_window))
+    lookback = max(
+        max(season + burn_in_rows(o.cf_r, o.cf_order, o.cf_smooth), scale_lookback(season, o.scale_window))
+        for o in variants
+    )
     keys = [*spec.keys, "_block"]
     extra = [c for c in df.columns if c not in (*spec.keys, "t", spec.target)]
     blocks = (
@@ -46,21 +49,22 @@ def change_finder_scores(
         .sortWithinPartitions(*keys, "t")
     )
     if with_scale:
-        added = scale_columns(block_window(spec), spec.target, season, online.scale_window, online.scale_seasons)
-        blocks = blocks.select("*", added["scale"].alias("scale"))
+        blocks = blocks.select("*", _scale_by_variant(spec, variants).alias("scale"))
         extra = [*extra, "scale"]
     schema = T.StructType(
         [blocks.schema[c] for c in (*spec.keys, "t", spec.target, *extra)]
         + [T.StructField("dy", T.DoubleType()), T.StructField("score", T.DoubleType())]
     )
     target = spec.target
-    r, order, smooth = online.cf_r, online.cf_order, online.cf_smooth
+    settings = [(o.cf_r, o.cf_order, o.cf_smooth) for o in variants]
+    several = len(variants) > 1
     columns = [f.name for f in schema.fields]
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
         y = group[target].to_numpy(dtype=float)
         dy, scores = np.full(len(y), np.nan), np.full(len(y), np.nan)
         if len(y) > season:
+            r, order, smooth = settings[int(group["param_id"].iloc[0]) if several else 0]
             dy[season:] = y[season:] - y[:-season]
             scores[season:] = change_scores(dy[season:], r, order, smooth, density)
         out = group.assign(dy=dy, score=scores)
@@ -73,10 +77,35 @@ def change_finder_scores(
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("dy", "score")})
 
 
-def change_points_by_score(scores: DataFrame, spec: SeriesSpec, percentile: float) -> DataFrame:
-    """Flag test rows whose score reaches the percentile of the train scores."""
+def _scale_by_variant(spec: SeriesSpec, variants: list[OnlineSpec]) -> Column:
+    """Output scale by each row's own window and number of seasons."""
+    w = block_window(spec)
+    chosen = None
+    for window, seasons in sorted({(o.scale_window, o.scale_seasons) for o in variants}):
+        scale = scale_columns(w, spec.target, spec.season, window, seasons)["scale"]
+        users = [i for i, o in enumerate(variants) if (o.scale_window, o.scale_seasons) == (window, seasons)]
+        if len(users) == len(variants):
+            return scale
+        mine = F.col("param_id").isin(users)
+        chosen = F.when(mine, scale) if chosen is None else chosen.when(mine, scale)
+    return chosen
+
+
+def change_points_by_score(scores: DataFrame, spec: SeriesSpec, percentile) -> DataFrame:
+    """Flag test rows whose score reaches the percentile of the train scores.
+
+    ``percentile`` is a number, or a list of them that rows refer to by ``param_id``.
+    """
     train = scores.where((F.col("t") < F.col("n_train")) & F.col("score").isNotNull())
-    thresholds = exact_quantile(train, spec.keys, "score", percentile / 100, "threshold")
+    if isinstance(percentile, (list, tuple)):
+        parts = [
+            exact_quantile(train.where(F.col("param_id").isin([i for i, q in enumerate(percentile) if q == p])),
+                           spec.keys, "score", p / 100, "threshold")
+            for p in sorted(set(percentile))
+        ]
+        thresholds = reduce(DataFrame.unionByName, parts)
+    else:
+        thresholds = exact_quantile(train, spec.keys, "score", percentile / 100, "threshold")
     is_test = F.col("t") >= F.col("n_train")
     return scores.join(thresholds, list(spec.keys), "left").withColumn(
         "change_point", F.coalesce(is_test & (F.col("score") >= F.col("threshold")), F.lit(False))

@@ -67,21 +67,22 @@ def _outcomes(s: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return records, np.array([ends[int(r)] for r in records], dtype=int)
 
 
-def respond(flagged: DataFrame, spec: SeriesSpec, threshold: float) -> DataFrame:
+def respond(flagged: DataFrame, spec: SeriesSpec, threshold: float | list[float]) -> DataFrame:
     """Triggers and the model in force for every test row.
 
     Expects ``t, change_point, scale`` for test rows. Adds ``triggered``, ``refit_t``
     (position of the last trigger strictly before the row, -1 for the base model),
     ``scale_old`` (the scale that trigger set, 1 at first) and ``reason`` for change
-    points that fire nothing.
+    points that fire nothing. A list of thresholds is referred to by ``param_id``.
     """
     usable = F.col("scale").isNotNull() & ~F.isnan("scale") & (F.abs("scale") != float("inf")) & (F.col("scale") != 0)
     rows = (
         flagged.withColumn("_block", F.floor(F.col("t") / spec.block_rows).cast("long"))
         .withColumn("_usable", F.col("change_point") & F.coalesce(usable, F.lit(False)))
     )
+    threshold_of = _threshold_lookup(threshold)
     keys = [*spec.keys, "_block"]
-    entries = _entry_states(rows, spec, threshold)
+    entries = _entry_states(rows, spec, threshold_of)
     if entries is not None:
         rows = rows.join(entries, keys, "left")
     else:
@@ -106,6 +107,7 @@ def respond(flagged: DataFrame, spec: SeriesSpec, threshold: float) -> DataFrame
         usable_rows = np.flatnonzero(group["_usable"].to_numpy(dtype=bool))
         s = group["scale"].to_numpy(dtype=float)[usable_rows]
         old, refit = float(group["_s_in"].iloc[0]), int(group["_t_in"].iloc[0])
+        threshold = threshold_of(group)
         triggered = np.zeros(len(t), dtype=bool)
         refits, olds = np.full(len(t), refit), np.full(len(t), old)
         at = _next_firing(s, 0, old, threshold)
@@ -128,13 +130,20 @@ def respond(flagged: DataFrame, spec: SeriesSpec, threshold: float) -> DataFrame
     return out.withColumn("reason", F.when(F.col("change_point") & ~F.col("triggered"), why_not))
 
 
-def _entry_states(rows: DataFrame, spec: SeriesSpec, threshold: float) -> DataFrame | None:
+def _threshold_lookup(threshold):
+    if isinstance(threshold, (list, tuple)):
+        return lambda rows: threshold[int(rows["param_id"].iloc[0])]
+    return lambda rows: threshold
+
+
+def _entry_states(rows: DataFrame, spec: SeriesSpec, threshold_of) -> DataFrame | None:
     """Scale and trigger in force on entering each block; None while no series has a second block."""
     last = rows.agg(F.max("_block")).first()[0]
     if not last:
         return None
     series = list(spec.keys)
     keys = [*series, "_block"]
+    # param_id, where used, is one of the keys
     key_fields = [rows.schema[c] for c in keys]
     summary_schema = T.StructType(
         key_fields
@@ -148,7 +157,7 @@ def _entry_states(rows: DataFrame, spec: SeriesSpec, threshold: float) -> DataFr
     def sum_up(group: pd.DataFrame) -> pd.DataFrame:
         part = group[group["_usable"].to_numpy(dtype=bool)]
         s, t = part["scale"].to_numpy(dtype=float), part["t"].to_numpy()
-        records, ends = _outcomes(s, threshold)
+        records, ends = _outcomes(s, threshold_of(group))
         return group[keys].iloc[:1].assign(
             record=[s[records].tolist()], scale_after=[s[ends].tolist()], t_after=[t[ends].tolist()]
         )
@@ -163,12 +172,13 @@ def _entry_states(rows: DataFrame, spec: SeriesSpec, threshold: float) -> DataFr
         current, scale, refit = None, START_SCALE, BASE_MODEL
         for batch in batches:
             scales, refits = [], []
-            for row in batch.to_dict("records"):
+            for i, row in enumerate(batch.to_dict("records")):
                 key = tuple(row[k] for k in series)
                 if key != current:
                     current, scale, refit = key, START_SCALE, BASE_MODEL
                 scales.append(scale)
                 refits.append(refit)
+                threshold = threshold_of(batch.iloc[i : i + 1])
                 first = _next_firing(np.asarray(row["record"], dtype=float), 0, scale, threshold)
                 if first < len(row["record"]):
                     scale, refit = row["scale_after"][first], row["t_after"][first]

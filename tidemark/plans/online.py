@@ -19,6 +19,7 @@ from tidemark.operators.detect import change_finder_scores, change_points_by_sco
 from tidemark.operators.metrics import rmse
 from tidemark.operators.response import BASE_MODEL, respond
 from tidemark.operators.scale import output_scale
+from tidemark.operators.splits import split_percentage
 from tidemark.plans import models
 from tidemark.session import cut_lineage
 from tidemark.spec import GPSpec, OnlineSpec, SeriesSpec
@@ -36,110 +37,131 @@ class OnlineRun:
 
     states: DataFrame  # per test row: change point, scale, trigger, model in force
     triggers: DataFrame
-    models: DataFrame
+    models: DataFrame  # refits with their status
     predictions: DataFrame  # long: model, prediction, lower_conf, upper_conf
 
 
 def with_n_train(series: DataFrame, spec: SeriesSpec, share: float) -> DataFrame:
     """Series of ``t, y, x`` with the number of train rows of each key."""
-    from tidemark.operators.splits import split_percentage
-
     return split_percentage(series, spec, share).drop("fold", "split")
 
 
-def states(series: DataFrame, spec: SeriesSpec, online: OnlineSpec) -> DataFrame:
-    """Change points, triggers and the model in force for every test row."""
-    online = online.resolved(spec.season)
+def states(series: DataFrame, spec: SeriesSpec, online) -> DataFrame:
+    """Change points, triggers and the model in force for every test row.
+
+    ``online`` is one setting, or a list that rows refer to by their key ``param_id``.
+    """
+    several = isinstance(online, (list, tuple))
+    variants = [o.resolved(spec.season) for o in (online if several else [online])]
     slim = series.select(*spec.keys, "t", F.col(spec.target), "n_train")
-    if online.cpd == "cf":
+    if variants[0].cpd == "cf":
         scored = cut_lineage(change_finder_scores(slim, spec, online, with_scale=True), "scores")
-        flagged = change_points_by_score(scored, spec, online.cf_thr_perc)
+        flagged = change_points_by_score(scored, spec, _each(variants, "cf_thr_perc", several))
+    elif several:
+        raise ValueError("lists of settings need the change score detector")
     else:
-        scale = output_scale(slim, spec, online.scale_window, online.scale_seasons).select(*spec.keys, "t", "scale")
-        flagged = run_length_change_points(slim, spec, online).join(scale, [*spec.keys, "t"])
-        flagged = cut_lineage(flagged, "flagged")
+        o = variants[0]
+        scale = output_scale(slim, spec, o.scale_window, o.scale_seasons).select(*spec.keys, "t", "scale")
+        flagged = cut_lineage(run_length_change_points(slim, spec, o).join(scale, [*spec.keys, "t"]), "flagged")
     test = flagged.where(F.col("t") >= F.col("n_train")).select(
         *spec.keys, "t", F.col(spec.target), "n_train", "change_point", "scale"
     )
-    return respond(test, spec, online.scale_thr).withColumn("offset", F.col("t") - F.col("n_train"))
+    return respond(test, spec, _each(variants, "scale_thr", several)).withColumn(
+        "offset", F.col("t") - F.col("n_train")
+    )
 
 
-def base_jobs(series: DataFrame, spec: SeriesSpec, gp: GPSpec, cap: int | None) -> DataFrame:
+def _each(variants, name: str, several: bool):
+    values = [getattr(v, name) for v in variants]
+    return values if several else values[0]
+
+
+def base_jobs(series: DataFrame, keys, gp: GPSpec, cap: int | None, target: str = "y") -> DataFrame:
+    """One job per key: its train rows, the last ``cap`` of them."""
     train = series.where(F.col("t") < F.col("n_train")).withColumn("t_end", F.col("n_train"))
-    jobs = models.training_arrays(train, spec.keys, spec.target, cap)
-    return models.with_settings(jobs, gp)
+    return models.with_settings(models.training_arrays(train, keys, target, cap), gp)
 
 
-def refit_jobs(
-    series: DataFrame, triggers: DataFrame, spec: SeriesSpec, online: OnlineSpec, rivals: bool
-) -> DataFrame:
+def refit_jobs(series: DataFrame, triggers: DataFrame, spec: SeriesSpec, online, rivals: bool) -> DataFrame:
     """Training sets ``xs, ys`` per trigger and model."""
-    online = online.resolved(spec.season)
-    longest = max(online.max_samples, online.rival_cap, spec.season) if rivals else online.max_samples
+    first = (online[0] if isinstance(online, (list, tuple)) else online).resolved(spec.season)
+    longest = max(first.max_samples, first.rival_cap, spec.season) if rivals else first.max_samples
     ends = triggers.select(*spec.keys, "refit_t", "scale")
     past = history(series, ends, spec, "refit_t", longest)
     jobs = augmented(past, spec, online).withColumn("model", F.lit(ONLINE))
     if rivals:
-        kinds = {RETRAIN: last_of(F.col("rows"), online.rival_cap), MOVING: last_of(F.col("rows"), spec.season)}
+        kinds = {RETRAIN: last_of(F.col("rows"), first.rival_cap), MOVING: last_of(F.col("rows"), spec.season)}
         options = F.array(*[F.struct(F.lit(m).alias("model"), r.alias("rows")) for m, r in kinds.items()])
-        others = past.withColumn("_k", F.explode(options)).withColumn("model", F.col("_k.model")).withColumn("rows", F.col("_k.rows"))
-        jobs = jobs.unionByName(as_arrays(others.drop("_k")))
+        others = (
+            past.withColumn("_k", F.explode(options))
+            .withColumn("model", F.col("_k.model"))
+            .withColumn("rows", F.col("_k.rows"))
+            .drop("_k")
+        )
+        jobs = jobs.unionByName(as_arrays(others))
     return jobs.drop("scale")
 
 
 def run_online(
     series: DataFrame,
     spec: SeriesSpec,
-    online: OnlineSpec,
+    online: OnlineSpec | list[OnlineSpec],
     gp: GPSpec,
     features=("x",),
     rivals: bool = False,
     base_cap: int | None = None,
+    base_series: DataFrame | None = None,
+    base_keys=None,
 ) -> OnlineRun:
     """Predict, detect and refit over the test rows of all series.
 
     ``series`` holds ``t``, the target, the feature array ``x`` and ``n_train``. With ``rivals``, the
     refits on unscaled history and on the last season and the scaled predictions come along.
+    Runs that share their train rows and features (scenarios, settings) share a base model: it is then
+    fitted on ``base_series`` for each of ``base_keys``.
     """
-    online = online.resolved(spec.season)
+    first = (online[0] if isinstance(online, (list, tuple)) else online).resolved(spec.season)
     keys = list(spec.keys)
-    base_cap = online.max_samples if base_cap is None else base_cap
+    series = cut_lineage(series, "series")
+    base_series = series if base_series is None else base_series
+    base_keys = keys if base_keys is None else list(base_keys)
+    base_cap = first.max_samples if base_cap is None else base_cap
+
     state = cut_lineage(states(series, spec, online), "states")
-    triggers = state.where("triggered").select(
-        *keys, F.col("t").alias("refit_t"), "scale", "scale_old", "offset"
-    )
-    base = models.fit(base_jobs(series, spec, gp, base_cap), gp, features)
-    base = cut_lineage(base, "base")
+    triggers = state.where("triggered").select(*keys, F.col("t").alias("refit_t"), "scale", "scale_old", "offset")
+    base = cut_lineage(models.fit(base_jobs(base_series, base_keys, gp, base_cap, spec.target), gp, features), "base")
+    test = base_series.where(F.col("t") >= F.col("n_train")).select(*base_keys, "t", "x")
+    base_predictions = cut_lineage(models.predict(test, base, base_keys), "base-predictions")
+
     refits = refit_jobs(series, triggers, spec, online, rivals)
-    starts = base.select(*keys, F.col("theta").alias("theta0"))
-    jobs = models.with_settings(refits.join(starts, keys), gp)
+    starts = base.where(F.col("status") == "ok").select(*base_keys, F.col("theta").alias("theta0"))
+    jobs = models.with_settings(refits.join(starts, base_keys), gp)
     fitted = cut_lineage(models.fit(jobs, gp, features), "refits")
 
     kinds = [ONLINE] + ([RETRAIN, MOVING] if rivals else [])
-    first = (
-        base.withColumn("refit_t", F.lit(BASE_MODEL).cast("long"))
-        .withColumn("theta0", F.col("theta"))
-        .withColumn("model", F.explode(F.array(*[F.lit(k) for k in kinds])))
-    )
-    all_models = first.unionByName(fitted.select(*first.columns))
     in_force = _in_force(state, fitted, spec, kinds)
-    points = in_force.join(series.select(*keys, "t", "x"), [*keys, "t"])
-    predicted = models.predict(
-        points.select(*keys, "model", "refit_t", "t", "x"), all_models, [*keys, "model", "refit_t"]
-    ).drop("refit_t")
-    static = series.where(F.col("t") >= F.col("n_train")).select(*keys, "t", "x")
-    base_predictions = models.predict(static, base.select(*base.columns), keys).withColumn("model", F.lit(BASE))
-    predictions = predicted.unionByName(base_predictions)
+    own = [*keys, "model", "t", "prediction", "lower_conf", "upper_conf"]
+    untouched = in_force.where(F.col("refit_t") == BASE_MODEL).join(base_predictions, [*base_keys, "t"]).select(*own)
+    points = in_force.where(F.col("refit_t") != BASE_MODEL).join(series.select(*keys, "t", "x"), [*keys, "t"])
+    refitted = models.predict(
+        points.select(*keys, "model", "refit_t", "t", "x"), fitted, [*keys, "model", "refit_t"]
+    ).select(*own)
+    base_rows = (
+        state.select(*keys, "t").join(base_predictions, [*base_keys, "t"]).withColumn("model", F.lit(BASE)).select(*own)
+    )
+    predictions = untouched.unionByName(refitted).unionByName(base_rows)
     if rivals:
-        multiplied = ONLINE if online.scale_of == "current" else BASE
-        scale_now = state.select(*keys, "t", "scale_old")
-        scaled_rival = predictions.where(F.col("model") == multiplied).join(scale_now, [*keys, "t"])
+        predictions = cut_lineage(predictions, "predictions")
+        multiplied = ONLINE if first.scale_of == "current" else BASE
+        scaled_rival = predictions.where(F.col("model") == multiplied).join(
+            state.select(*keys, "t", "scale_old"), [*keys, "t"]
+        )
         predictions = predictions.unionByName(
             scaled_rival.withColumns(
                 {c: F.col(c) * F.col("scale_old") for c in ("prediction", "lower_conf", "upper_conf")}
-            ).withColumn("model", F.lit(SCALED)).drop("scale_old")
+            ).withColumn("model", F.lit(SCALED)).select(*own)
         )
-    return OnlineRun(state, triggers, all_models, predictions)
+    return OnlineRun(state, triggers, fitted, predictions)
 
 
 def _in_force(state: DataFrame, fitted: DataFrame, spec: SeriesSpec, kinds) -> DataFrame:
@@ -154,7 +176,7 @@ def _in_force(state: DataFrame, fitted: DataFrame, spec: SeriesSpec, kinds) -> D
     rows = state.select(*keys, "t", "refit_t").withColumn("model", F.explode(F.array(*[F.lit(k) for k in kinds])))
     return (
         rows.join(standing, [*keys, "model", "refit_t"], "left")
-        .withColumn("refit_t", F.coalesce("_standing", "refit_t"))
+        .withColumn("refit_t", F.coalesce("_standing", F.lit(BASE_MODEL).cast("long")))
         .drop("_standing")
     )
 
@@ -165,7 +187,7 @@ def run_statistics(run: OnlineRun, series: DataFrame, spec: SeriesSpec) -> DataF
     counts = run.states.groupBy(*keys).agg(
         F.count_if("change_point").alias("n_cps"), F.count_if("triggered").alias("n_refits")
     )
-    done = run.models.where((F.col("model") == ONLINE) & (F.col("refit_t") >= 0)).groupBy(*keys).agg(
+    done = run.models.where(F.col("model") == ONLINE).groupBy(*keys).agg(
         F.count_if(F.col("status") == "ok").alias("n_refit_ok")
     )
     actual = series.where(F.col("t") >= F.col("n_train")).select(*keys, "t", F.col(spec.target).alias("y"))
