@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.splits import TRAIN
-from tidemark.spec import SeriesSpec
+from tidemark.session import cut_lineage
 
 
 def _train(df: DataFrame) -> DataFrame:
@@ -51,10 +51,12 @@ def log_inverse(df: DataFrame, columns) -> DataFrame:
 
 def yeo_johnson(y: Column, lam: Column) -> Column:
     """The two-sided power transform of Yeo and Johnson (2000)."""
-    up = F.when(F.abs(lam) < 1e-9, F.log1p(y)).otherwise((F.pow(y + 1, lam) - 1) / lam)
-    down_power = 2 - lam
-    down = F.when(F.abs(down_power) < 1e-9, -F.log1p(-y)).otherwise(-(F.pow(1 - y, down_power) - 1) / down_power)
-    return F.when(y >= 0, up).otherwise(down)
+    return _yeo_johnson_of_log(F.signum(y), F.log1p(F.abs(y)), lam)
+
+
+def _yeo_johnson_of_log(sign: Column, size: Column, lam: Column) -> Column:
+    power = F.when(sign < 0, 2 - lam).otherwise(lam)
+    return sign * F.when(F.abs(power) < 1e-9, size).otherwise(F.expm1(power * size) / power)
 
 
 def yeo_johnson_inverse(z: Column, lam: Column) -> Column:
@@ -64,9 +66,10 @@ def yeo_johnson_inverse(z: Column, lam: Column) -> Column:
     return F.when(z >= 0, up).otherwise(down)
 
 
-def power_log_likelihood(y: Column, lam: Column) -> Column:
+def _log_likelihood(sign: Column, size: Column, lam: Column) -> Column:
     """Aggregate: profile log-likelihood of a normal fit after the transform with ``lam`` (one value per group)."""
-    return -F.count(y) / 2 * F.log(F.var_pop(yeo_johnson(y, lam))) + F.sum((lam - 1) * F.signum(y) * F.log1p(F.abs(y)))
+    spread = F.var_pop(_yeo_johnson_of_log(sign, size, lam))
+    return -F.count(size) / 2 * F.log(spread) + F.sum((lam - 1) * sign * size)
 
 
 def power_fit(
@@ -78,18 +81,22 @@ def power_fit(
     once; the next round searches between the neighbours of the best point.
     """
     keys = list(keys)
-    rows = _train(df).select(*keys, F.col(target).alias("_y"))
-    y = F.col("_y")
+    y = F.col(target)
+    rows = _train(df).select(*keys, F.signum(y).alias("_sign"), F.log1p(F.abs(y)).alias("_size"))
+    if rounds > 1:
+        rows = cut_lineage(rows, "power")
+    sign, size = F.col("_sign"), F.col("_size")
     half = (points - 1) // 2
     step = (high - low) / (points - 1)
+    middle = F.lit((low + high) / 2)
     best = None
     for _ in range(rounds):
         scored = rows if best is None else rows.join(best, keys)
-        centre = F.lit((low + high) / 2) if best is None else F.first("lambda")
-        grid = [F.lit((low + high) / 2 + i * step) if best is None else F.col("lambda") + i * step
-                for i in range(-half, half + 1)]
+        centre = middle if best is None else F.col("lambda")
+        grid = [centre + i * step for i in range(-half, half + 1)]
         likelihoods = scored.groupBy(*keys).agg(
-            centre.alias("_centre"), *[power_log_likelihood(y, g).alias(f"_l{i}") for i, g in enumerate(grid)]
+            (middle if best is None else F.first("lambda")).alias("_centre"),
+            *[_log_likelihood(sign, size, g).alias(f"_l{i}") for i, g in enumerate(grid)],
         )
         options = F.array(
             *[
@@ -99,7 +106,7 @@ def power_fit(
         )
         best = likelihoods.select(*keys, F.array_max(options)["lambda"].alias("lambda"))
         step = 2 * step / (points - 1)
-    z = yeo_johnson(y, F.col("lambda"))
+    z = _yeo_johnson_of_log(sign, size, F.col("lambda"))
     moments = rows.join(best, keys).groupBy(*keys, "lambda").agg(F.avg(z).alias("z_mean"), F.stddev_pop(z).alias("_sd"))
     return moments.withColumn("z_std", F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))).drop("_sd")
 

@@ -15,6 +15,7 @@ from tidemark.operators.features import add_statistics
 from tidemark.operators.impute import impute
 from tidemark.operators.splits import TRAIN, split, split_expanding
 from tidemark.operators.transforms import pca_fit, pca_transform
+from tidemark.session import cut_lineage
 from tidemark.spec import DatasetSpec, SeriesSpec
 
 # feature set -> (calendar features, statistical features)
@@ -58,10 +59,10 @@ def prepare(
     base = dataset.series
     strings = [c for c in dataset.string_columns if c in df.columns]
     typed = cols.set_types(df, strings, keep=(*base.keys, base.ts))
-    raw = _split(with_position(typed, base), base, dataset)
+    # operators that join a table with its own statistics read it twice, so results are stored in between
+    raw = cut_lineage(_split(with_position(typed, base), base, dataset), "raw")
     spec = base.with_keys("fold")
     keys = list(spec.keys)
-    raw_lengths = raw.where(F.col("split") == TRAIN).groupBy(*keys).agg(F.count(F.lit(1)).alias("_raw_train"))
     numeric = [c for c in df.columns if c not in (*base.keys, base.ts, *strings)]
     out = impute(raw, keys, numeric, imputation)
     if dataset.split_perc is None:
@@ -86,18 +87,20 @@ def prepare(
     if dataset.weekly:
         out = resample.weekly(out.drop("t"), spec, sums=dataset.targets)
         out = out.drop("cal_date_weekday", "cal_date_day_of_month").dropna()
-        out = with_position(out, replace(spec, step="week"))
+        out = with_position(cut_lineage(out, "weeks"), replace(spec, step="week"))
         if statistics:
             weekly = replace(
                 dataset.features, lags=WEEKLY_LAGS, window=WEEKLY_WINDOW, seasonal_window=WEEKLY_WINDOW, weekday_stats=False
             )
             out = add_statistics(out, replace(spec, season=dataset.model_season), weekly)
     else:
-        out = with_position(out.drop("t"), spec)
+        out = with_position(cut_lineage(out.drop("t"), "features"), spec)
     rivals = [c for c in dataset.targets if c != base.target]
-    out = _split_again(out.drop(*rivals), spec, dataset, raw_lengths)
+    out = cut_lineage(_split_again(out.drop(*rivals), spec, dataset), "split")
     features = feature_columns(out, spec)
     out = impute(out, keys, features, imputation)
+    if dim_reduction is not None:
+        out = cut_lineage(out, "complete")
     if dim_reduction == "pca":
         out = pca_transform(out, keys, pca_fit(out, keys, features), features)
     return out
@@ -117,7 +120,7 @@ def _whole_series_per_fold(imputed, typed, spec, dataset, numeric, imputation, k
     return impute(marked, keys, numeric, imputation)
 
 
-def _split_again(df: DataFrame, spec: SeriesSpec, dataset: DatasetSpec, raw_lengths: DataFrame) -> DataFrame:
+def _split_again(df: DataFrame, spec: SeriesSpec, dataset: DatasetSpec) -> DataFrame:
     """The same kind of split on the feature table, whose rows may be fewer (weeks, rows without target)."""
     series = replace(spec, keys=spec.keys[:-1])
     if dataset.split_perc is not None:
