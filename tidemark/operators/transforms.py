@@ -49,14 +49,14 @@ def log_inverse(df: DataFrame, columns) -> DataFrame:
     return df.withColumns({c: F.exp(c) - F.col("log_shift") for c in columns})
 
 
-def yeo_johnson(y: Column, lam: Column) -> Column:
-    """The two-sided power transform of Yeo and Johnson (2000)."""
-    return _yeo_johnson_of_log(F.signum(y), F.log1p(F.abs(y)), lam)
+def yeo_johnson(y: str, lam: str) -> str:
+    """The two-sided power transform of Yeo and Johnson (2000), as an SQL expression."""
+    return _yeo_johnson_of_log(f"signum({y})", f"log1p(abs({y}))", lam)
 
 
-def _yeo_johnson_of_log(sign: Column, size: Column, lam: Column) -> Column:
-    power = F.when(sign < 0, 2 - lam).otherwise(lam)
-    return sign * F.when(F.abs(power) < 1e-9, size).otherwise(F.expm1(power * size) / power)
+def _yeo_johnson_of_log(sign: str, size: str, lam: str) -> str:
+    power = f"(CASE WHEN {sign} < 0 THEN 2 - ({lam}) ELSE {lam} END)"
+    return f"({sign} * CASE WHEN abs({power}) < 1e-9 THEN {size} ELSE expm1({power} * {size}) / {power} END)"
 
 
 def yeo_johnson_inverse(z: Column, lam: Column) -> Column:
@@ -66,10 +66,10 @@ def yeo_johnson_inverse(z: Column, lam: Column) -> Column:
     return F.when(z >= 0, up).otherwise(down)
 
 
-def _log_likelihood(sign: Column, size: Column, lam: Column) -> Column:
+def _log_likelihood(sign: str, size: str, lam: str) -> str:
     """Aggregate: profile log-likelihood of a normal fit after the transform with ``lam`` (one value per group)."""
-    spread = F.var_pop(_yeo_johnson_of_log(sign, size, lam))
-    return -F.count(size) / 2 * F.log(spread) + F.sum((lam - 1) * sign * size)
+    z = _yeo_johnson_of_log(sign, size, lam)
+    return f"-count({size}) / 2 * ln(var_pop({z})) + sum((({lam}) - 1) * {sign} * {size})"
 
 
 def power_fit(
@@ -85,34 +85,27 @@ def power_fit(
     rows = _train(df).select(*keys, F.signum(y).alias("_sign"), F.log1p(F.abs(y)).alias("_size"))
     if rounds > 1:
         rows = cut_lineage(rows, "power")
-    sign, size = F.col("_sign"), F.col("_size")
     half = (points - 1) // 2
     step = (high - low) / (points - 1)
-    middle = F.lit((low + high) / 2)
+    middle = (low + high) / 2
     best = None
     for _ in range(rounds):
         scored = rows if best is None else rows.join(best, keys)
-        centre = middle if best is None else F.col("lambda")
-        grid = [centre + i * step for i in range(-half, half + 1)]
-        likelihoods = scored.groupBy(*keys).agg(
-            (middle if best is None else F.first("lambda")).alias("_centre"),
-            *[_log_likelihood(sign, size, g).alias(f"_l{i}") for i, g in enumerate(grid)],
+        centre = repr(middle) + "D" if best is None else "lambda"
+        offsets = [i * step for i in range(-half, half + 1)]
+        scores = [f"struct({_log_likelihood('_sign', '_size', f'{centre} + {o!r}D')} AS l, {o!r}D AS o)" for o in offsets]
+        found = scored.groupBy(*keys).agg(
+            F.expr(f"first({centre})").alias("_centre"), F.expr(f"array_max(array({', '.join(scores)}))").alias("_best")
         )
-        options = F.array(
-            *[
-                F.struct(F.col(f"_l{i}").alias("l"), (F.col("_centre") + (i - half) * step).alias("lambda"))
-                for i in range(len(grid))
-            ]
-        )
-        best = likelihoods.select(*keys, F.array_max(options)["lambda"].alias("lambda"))
+        best = found.select(*keys, (F.col("_centre") + F.col("_best.o")).alias("lambda"))
         step = 2 * step / (points - 1)
-    z = _yeo_johnson_of_log(sign, size, F.col("lambda"))
+    z = F.expr(_yeo_johnson_of_log("_sign", "_size", "lambda"))
     moments = rows.join(best, keys).groupBy(*keys, "lambda").agg(F.avg(z).alias("z_mean"), F.stddev_pop(z).alias("_sd"))
     return moments.withColumn("z_std", F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))).drop("_sd")
 
 
 def power_transform(df: DataFrame, keys, fitted: DataFrame, target: str = "y") -> DataFrame:
-    z = (yeo_johnson(F.col(target), F.col("lambda")) - F.col("z_mean")) / F.col("z_std")
+    z = (F.expr(yeo_johnson(f"`{target}`", "lambda")) - F.col("z_mean")) / F.col("z_std")
     return df.join(fitted, list(keys)).withColumn(target, z)
 
 
@@ -175,14 +168,15 @@ def pca_transform(df: DataFrame, keys, fitted: DataFrame, columns) -> DataFrame:
     """Replace the columns by ``PC0, PC1, ..``; components a series does not keep are NULL."""
     columns = list(columns)
     z = F.array(*[(F.col(c) - F.col("mean")[i]) / F.col("std")[i] for i, c in enumerate(columns)])
-    score = lambda i: F.aggregate(
-        F.zip_with(F.col("_z"), F.get("loadings", F.lit(i)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b
+    one = lambda weights: F.aggregate(
+        F.zip_with(F.col("_z"), weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b
     )
     return (
         df.join(fitted, list(keys))
         .withColumn("_z", z)
-        .withColumns({f"PC{i}": F.when(F.size("loadings") > i, score(i)) for i in range(len(columns))})
-        .drop("_z", "mean", "std", "loadings", "explained", *columns)
+        .withColumn("_scores", F.transform("loadings", one))
+        .withColumns({f"PC{i}": F.get("_scores", F.lit(i)) for i in range(len(columns))})
+        .drop("_z", "_scores", "mean", "std", "loadings", "explained", *columns)
     )
 
 
