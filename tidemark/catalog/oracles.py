@@ -47,7 +47,7 @@ MARKED = """m AS (SELECT series_id, ts, t, CASE
 
 
 def r(expression: str, digits: int = 6) -> str:
-    return f"round({expression}, {digits}) + 0.0"
+    return f"floor(({expression}) * 1e{digits} + 0.5003) / 1e{digits}"
 
 
 def _full(expression: str, n: int, last: int = -1, partition: str = "series_id", order: str = "t") -> str:

@@ -47,8 +47,10 @@ SETTING = OnlineSpec(cf_thr_perc=70)
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison, without a negative zero."""
-    return F.round(c, digits) + F.lit(0.0)
+    """Rounded for comparison. Halves go up with a little room, so that values which
+    differ in their last bits only do not part at a half."""
+    unit = 10.0**digits
+    return F.floor((F.col(c) if isinstance(c, str) else c) * unit + 0.5003) / unit
 
 
 def rounded(df: DataFrame, digits: int = 6, keep=()) -> DataFrame:
