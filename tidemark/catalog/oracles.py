@@ -166,6 +166,13 @@ ORACLES["q_impute_knn"] = f"""WITH {_HOLES}, {_neighbours('v', 'w')}, {_neighbou
     SELECT p.series_id, p.t, {r('coalesce(p.v, kv.f, fv)')} AS v, {r('coalesce(p.w, kw.f, fw)')} AS w
     FROM p JOIN f ON f.series_id = p.series_id LEFT JOIN kv ON kv.series_id = p.series_id AND kv.t = p.t
     LEFT JOIN kw ON kw.series_id = p.series_id AND kw.t = p.t"""
+ORACLES["q_imputed_split"] = f"""WITH {EVENTS}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) n FROM e),
+    f AS (SELECT *, unnest(generate_series(0, CAST(ceil(n / 360.0) AS INT) - 1)) fold FROM n),
+    g AS (SELECT *, t < least(240 + fold * 120, n) tr FROM f WHERE t < 360 + fold * 120),
+    m AS (SELECT series_id, fold, CASE WHEN count(v) < count(*) THEN avg(v) END fv, CASE WHEN count(w) < count(*) THEN avg(w) END fw
+          FROM g WHERE tr GROUP BY 1, 2)
+    SELECT g.series_id, CAST(g.fold AS INT) AS fold, t, CASE WHEN tr THEN 'train' ELSE 'test' END AS split,
+    {r('coalesce(v, fv)')} AS v, {r('coalesce(w, fw)')} AS w FROM g JOIN m ON m.series_id = g.series_id AND m.fold = g.fold"""
 ORACLES["q_quantile"] = f"SELECT CAST(l_suppkey AS VARCHAR) AS series_id, {r('quantile_cont(l_extendedprice, 0.9)', 4)} AS p90 FROM lineitem GROUP BY 1"
 
 # --- splits and transforms ---

@@ -236,6 +236,12 @@ def q_impute_iterative(spark, sf):
     return _imputed(impute.impute_iterative(_with_holes(spark, sf), KEY, ["v", "w"]))
 
 
+def q_imputed_split(spark, sf):
+    """Expanding folds, each imputed with the means of its own train rows."""
+    df = events_hourly(spark, sf)
+    return rounded(prepare.imputed_split(df, HOURLY, ["v", "w"], "mean", None, 240, 120).select("series_id", "fold", "t", "split", "v", "w"))
+
+
 def q_quantile(spark, sf):
     df = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("series_id"), "l_extendedprice")
     return rounded(exact_quantile(df, KEY, "l_extendedprice", 0.9, "p90"), 4)
@@ -423,9 +429,8 @@ def _flagged(spark, sf):
     df = scales.output_scale(_online_suppliers(spark, sf), MONTHLY, 2)
     jump = F.abs(F.col("y") / F.nullif(F.col("before"), F.lit(0.0)) - 1) > 0.3
     df = windowed(df, MONTHLY, 1, lambda w: {"before": F.lag("y", 1).over(w)})
-    return df.withColumn("change_point", F.coalesce(jump, F.lit(False))).where(F.col("t") >= F.col("n_train")).select(
-        "series_id", "t", "change_point", "scale"
-    )
+    flagged = df.withColumn("change_point", F.coalesce(jump, F.lit(False))).where(F.col("t") >= F.col("n_train"))
+    return cut_lineage(flagged.select("series_id", "t", "change_point", "scale"), "flagged")
 
 
 def q_triggers(spark, sf):
@@ -565,8 +570,8 @@ def q_prepare_weekly(spark, sf):
     return rounded(prepare.prepare(shipments_daily(spark, sf).drop("t"), data, "full", "mean").drop("ts"))
 
 
-def q_gpr_search(spark, sf):
-    """Offline search with a sample of the configuration grid, with and without reduced features."""
+def _searched(spark, sf):
+    """Prepared rows and feature names per kind of reduction, and the results of a search over a sample of the grid."""
     data = DatasetSpec("revenue", series=MONTHLY, features=FeatureSpec(lags=(1, 2, 3)))
     raw = cut_lineage(revenue_monthly(spark, sf).drop("t"), "revenue")
     rows, names = {}, {}
@@ -577,12 +582,22 @@ def q_gpr_search(spark, sf):
             # components a series does not keep are 0 for its model
             prepared = prepared.fillna(0.0, subset=names[kind])
         rows[kind] = prepare.model_rows(prepared, MONTHLY, names[kind])
-    out = search.run_search(rows, MONTHLY, search.sample_configs(0.0005), names, period=12)
-    return rounded(out.drop("theta", "shuf_cv_rmse"), 1)
+    return rows, names, search.run_search(rows, MONTHLY, search.sample_configs(0.0005), names, period=12)
+
+
+def q_gpr_search(spark, sf):
+    """Offline search with a sample of the configuration grid, with and without reduced features."""
+    return rounded(_searched(spark, sf)[2].drop("theta", "shuf_cv_rmse"), 1)
 
 
 def q_best_config(spark, sf):
-    return search.best_config(q_gpr_search(spark, sf), KEY)
+    return rounded(search.best_config(_searched(spark, sf)[2], KEY).drop("theta", "shuf_cv_rmse"), 1)
+
+
+def q_best_replay(spark, sf):
+    """Every online method with each segment's best configuration."""
+    rows, names, results = _searched(spark, sf)
+    return rounded(search.replay(rows, search.best_config(results, KEY), MONTHLY, SETTING, names, period=12), 2)
 
 
 def _online_series(spark, sf, source=supplier_monthly):
@@ -603,16 +618,8 @@ def q_online_bocd(spark, sf):
 def q_rivals(spark, sf):
     """Error of every method on every segment."""
     series = cut_lineage(_online_series(spark, sf, revenue_monthly), "series")
-    run = online.run_online(series, MONTHLY, SETTING, SEASONAL_GP, rivals=True)
-    actual = series.where(F.col("t") >= F.col("n_train")).select("series_id", "t", "y")
-    names = run.predictions.columns
-    everything = run.predictions
-    for every in (1, 2):
-        everything = everything.unionByName(online.periodic_refits(series, MONTHLY, SEASONAL_GP, every).select(*names))
-    everything = everything.unionByName(online.moving_window_refits(series, MONTHLY, SEASONAL_GP).select(*names))
-    errors = metrics.rmse(metrics.align(everything, actual, KEY), ["series_id", "model"])
-    methods = [online.ONLINE, online.BASE, online.RETRAIN, online.MOVING, online.SCALED, "refit_every_1", "refit_every_2", "moving_window"]
-    return rounded(errors.groupBy("series_id").agg(*[F.max(F.when(F.col("model") == m, F.col("rmse"))).alias(f"rmse_{m}") for m in methods]), 2)
+    predictions = online.all_methods(series, MONTHLY, SETTING, SEASONAL_GP)
+    return rounded(online.compare_methods(predictions, series, MONTHLY), 2)
 
 
 def q_run_statistics(spark, sf):

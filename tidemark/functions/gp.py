@@ -181,22 +181,27 @@ def _normalised(y: np.ndarray, on: bool):
     return (y - mean) / std, mean, std
 
 
+class Posterior:
+    """A model ready to predict: the factorised training matrix."""
+
+    def __init__(self, kernel, theta, x: np.ndarray, y: np.ndarray, alpha: float, normalize_y: bool):
+        self.kernel, self.theta, self.x = kernel, np.asarray(theta, dtype=float), x
+        target, self.mean, self.std = _normalised(y, normalize_y)
+        k, _ = kernel_matrix(kernel, self.theta, distances(x, x), True)
+        k[np.diag_indices_from(k)] += alpha
+        self.inverse = np.linalg.inv(np.linalg.cholesky(k))
+        self.weights = self.inverse.T @ (self.inverse @ target)
+        # all base kernels are stationary, so the prior variance is the same everywhere
+        self.prior = kernel_matrix(kernel, self.theta, np.zeros((1, 1)), True)[0][0, 0]
+
+    def __call__(self, new: np.ndarray):
+        """Mean and standard deviation at ``new``."""
+        cross, _ = kernel_matrix(self.kernel, self.theta, distances(new, self.x), False)
+        part = self.inverse @ cross.T
+        spread = np.sqrt(np.clip(self.prior - (part * part).sum(axis=0), 0, None))
+        return cross @ self.weights * self.std + self.mean, spread * self.std
+
+
 def predict(kernel, theta, x: np.ndarray, y: np.ndarray, alpha: float, normalize_y: bool, new: np.ndarray):
     """Mean and standard deviation at ``new``."""
-    theta = np.asarray(theta, dtype=float)
-    target, mean, std = _normalised(y, normalize_y)
-    k, _ = kernel_matrix(kernel, theta, distances(x, x), True)
-    k[np.diag_indices_from(k)] += alpha
-    inverse = np.linalg.inv(np.linalg.cholesky(k))
-    cross, _ = kernel_matrix(kernel, theta, distances(new, x), False)
-    own = _own_variance(kernel, theta, new)
-    part = inverse @ cross.T
-    centre = cross @ (inverse.T @ (inverse @ target))
-    spread = np.sqrt(np.clip(own - (part * part).sum(axis=0), 0, None))
-    return centre * std + mean, spread * std
-
-
-def _own_variance(kernel, theta, new: np.ndarray) -> np.ndarray:
-    # all base kernels are stationary, so the prior variance is the same everywhere
-    k, _ = kernel_matrix(kernel, theta, np.zeros((1, 1)), True)
-    return np.full(len(new), k[0, 0])
+    return Posterior(kernel, theta, x, y, alpha, normalize_y)(new)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.rand import order_key
 from tidemark.functions.resample import interpolate_rare, noise_copies
 from tidemark.operators.blocks import last_rows_join
+from tidemark.session import task_count
 from tidemark.spec import OnlineSpec, SeriesSpec
 
 
@@ -61,9 +62,9 @@ def augmented(histories: DataFrame, spec: SeriesSpec, online: OnlineSpec | list[
     arrays = as_arrays(histories.withColumn("rows", shifted))
     if first.da == "scaled":
         return arrays
-    seeds = arrays.withColumn(
-        "_seed", F.shiftrightunsigned(order_key(first.seed, *[F.col(k) for k in spec.keys], F.col("refit_t")), 1)
-    )
+    job = [F.col(k) for k in (*spec.keys, "refit_t")]
+    seeds = arrays.withColumn("_seed", F.shiftrightunsigned(order_key(first.seed, *job), 1))
+    seeds = seeds.repartition(task_count(seeds), F.xxhash64(*job))
     return seeds.mapInPandas(_rebalancer(variants, several), arrays.schema)
 
 

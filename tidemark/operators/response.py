@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.groups import map_sorted_groups
+from tidemark.session import task_count
 from tidemark.spec import SeriesSpec
 
 START_SCALE = 1.0
@@ -90,7 +91,7 @@ def respond(flagged: DataFrame, spec: SeriesSpec, threshold: float | list[float]
     rows = rows.withColumns(
         {"_s_in": F.coalesce("_s_in", F.lit(START_SCALE)), "_t_in": F.coalesce("_t_in", F.lit(BASE_MODEL).cast("long"))}
     )
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "t")
+    rows = _spread(rows, keys).sortWithinPartitions(*keys, "t")
     kept = [f for f in rows.schema.fields if f.name not in ("_block", "_usable", "_s_in", "_t_in")]
     schema = T.StructType(
         kept
@@ -130,6 +131,11 @@ def respond(flagged: DataFrame, spec: SeriesSpec, threshold: float | list[float]
     return out.withColumn("reason", F.when(F.col("change_point") & ~F.col("triggered"), why_not))
 
 
+def _spread(rows: DataFrame, keys) -> DataFrame:
+    """Rows of one key together, over all tasks (an earlier shuffle on the keys may have been merged into few)."""
+    return rows.repartition(task_count(rows), F.xxhash64(*keys))
+
+
 def _threshold_lookup(threshold):
     if isinstance(threshold, (list, tuple)):
         return lambda rows: threshold[int(rows["param_id"].iloc[0])]
@@ -162,7 +168,7 @@ def _entry_states(rows: DataFrame, spec: SeriesSpec, threshold_of) -> DataFrame
             record=[s[records].tolist()], scale_after=[s[ends].tolist()], t_after=[t[ends].tolist()]
         )
 
-    slim = rows.select(*keys, "t", "scale", "_usable").repartition(*keys).sortWithinPartitions(*keys, "t")
+    slim = _spread(rows.select(*keys, "t", "scale", "_usable"), keys).sortWithinPartitions(*keys, "t")
     summaries = slim.mapInPandas(lambda b: map_sorted_groups(b, keys, sum_up), summary_schema)
     entry_schema = T.StructType(
         key_fields + [T.StructField("_s_in", T.DoubleType()), T.StructField("_t_in", T.LongType())]

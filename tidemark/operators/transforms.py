@@ -77,8 +77,7 @@ def power_fit(
 ) -> DataFrame:
     """Maximum-likelihood lambda per key with the mean and population deviation of the transformed target.
 
-    Each round is one aggregate over the train rows that scores all grid points at
-    once; the next round searches between the neighbours of the best point.
+    Each round is one aggregate over the train rows that scores all grid points; the next round searches between the neighbours of the best point.
     """
     keys = list(keys)
     y = F.col(target)
@@ -87,18 +86,19 @@ def power_fit(
         rows = cut_lineage(rows, "power")
     half = (points - 1) // 2
     step = (high - low) / (points - 1)
-    middle = (low + high) / 2
-    best = None
+    centre, best = F.lit((low + high) / 2), None
     for _ in range(rounds):
         scored = rows if best is None else rows.join(best, keys)
-        centre = repr(middle) + "D" if best is None else "lambda"
-        offsets = [i * step for i in range(-half, half + 1)]
-        scores = [f"struct({_log_likelihood('_sign', '_size', f'{centre} + {o!r}D')} AS l, {o!r}D AS o)" for o in offsets]
-        found = scored.groupBy(*keys).agg(
-            F.expr(f"first({centre})").alias("_centre"), F.expr(f"array_max(array({', '.join(scores)}))").alias("_best")
+        offsets = F.explode(F.lit([i * step for i in range(-half, half + 1)]))
+        scored = scored.select(*keys, "_sign", "_size", centre.alias("_centre"), offsets.alias("_offset"))
+        # partial sums leave every task as one row per series and grid point
+        likelihoods = (
+            scored.withColumn("lambda", F.col("_centre") + F.col("_offset"))
+            .groupBy(*keys, "lambda")
+            .agg(F.expr(_log_likelihood("_sign", "_size", "lambda")).alias("_l"))
         )
-        best = found.select(*keys, (F.col("_centre") + F.col("_best.o")).alias("lambda"))
-        step = 2 * step / (points - 1)
+        best = likelihoods.groupBy(*keys).agg(F.max_by("lambda", "_l").alias("lambda"))
+        centre, step = F.col("lambda"), 2 * step / (points - 1)
     z = F.expr(_yeo_johnson_of_log("_sign", "_size", "lambda"))
     moments = rows.join(best, keys).groupBy(*keys, "lambda").agg(F.avg(z).alias("z_mean"), F.stddev_pop(z).alias("_sd"))
     return moments.withColumn("z_std", F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))).drop("_sd")

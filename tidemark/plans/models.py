@@ -43,8 +43,11 @@ def kernel_of(text: str):
     return tuple(tuple(term) for term in json.loads(text))
 
 
-def with_settings(jobs: DataFrame, gp: GPSpec) -> DataFrame:
-    """The same model settings on every job; a search puts its own columns instead."""
+def with_settings(jobs: DataFrame, gp: GPSpec, chosen: DataFrame | None = None) -> DataFrame:
+    """Model settings on every job: those of ``gp``, or a series' own from ``chosen`` (say, its best configuration)."""
+    if chosen is not None:
+        keys = [c for c in chosen.columns if c not in SETTINGS]
+        return jobs.join(chosen, keys)
     return jobs.withColumns(
         {
             "kernel": F.lit(kernel_text(gp.kernel)),
@@ -99,7 +102,8 @@ def fit(jobs: DataFrame, gp: GPSpec, features=("x",)) -> DataFrame:
             yield out
 
     ids = [c for c in jobs.columns if c not in ("xs", "ys", "theta0", *SETTINGS)]
-    return jobs.repartition(task_count(jobs), *ids).mapInPandas(work, schema)
+    # hashing the keys once more keeps Spark from taking an earlier, merged shuffle for this one
+    return jobs.repartition(task_count(jobs), F.xxhash64(*ids)).mapInPandas(work, schema)
 
 
 def _fit_one(job: dict, skip: np.ndarray, period: int | None, seed: int) -> dict:
@@ -167,7 +171,7 @@ def predict(points: DataFrame, models: DataFrame, on) -> DataFrame:
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
-    return paired.repartition(task_count(paired), *ids, "_chunk").mapInPandas(work, schema)
+    return paired.repartition(task_count(paired), F.xxhash64(*ids, "_chunk")).mapInPandas(work, schema)
 
 
 def _predict_one(job: dict, ids) -> pd.DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.augment import as_arrays, augmented, history, last_of
 from tidemark.operators.blocks import last_rows_join, windowed
 from tidemark.operators.detect import change_finder_scores, change_points_by_score, run_length_change_points
-from tidemark.operators.metrics import rmse
+from tidemark.operators.metrics import align, rmse
 from tidemark.operators.response import BASE_MODEL, respond
 from tidemark.operators.scale import output_scale
 from tidemark.operators.splits import split_percentage
@@ -26,6 +26,7 @@ from tidemark.spec import GPSpec, OnlineSpec, SeriesSpec
 
 ONLINE, BASE = "online", "base"
 RETRAIN, MOVING, SCALED = "cpd_retrain", "cpd_moving_window", "cpd_scaled"
+METHODS = (ONLINE, BASE, RETRAIN, MOVING, SCALED, "refit_every_1", "refit_every_2", "moving_window")
 BIAS_WEIGHT = 0.8
 # 0.6 ** 90 is below double precision: older errors no longer count
 BIAS_ROWS = 90
@@ -76,10 +77,12 @@ def _each(variants, name: str, several: bool):
     return values if several else values[0]
 
 
-def base_jobs(series: DataFrame, keys, gp: GPSpec, cap: int | None, target: str = "y") -> DataFrame:
+def base_jobs(
+    series: DataFrame, keys, gp: GPSpec, cap: int | None, target: str = "y", chosen: DataFrame | None = None
+) -> DataFrame:
     """One job per key: its train rows, the last ``cap`` of them."""
     train = series.where(F.col("t") < F.col("n_train")).withColumn("t_end", F.col("n_train"))
-    return models.with_settings(models.training_arrays(train, keys, target, cap), gp)
+    return models.with_settings(models.training_arrays(train, keys, target, cap), gp, chosen)
 
 
 def refit_jobs(series: DataFrame, triggers: DataFrame, spec: SeriesSpec, online, rivals: bool) -> DataFrame:
@@ -112,13 +115,14 @@ def run_online(
     base_cap: int | None = None,
     base_series: DataFrame | None = None,
     base_keys=None,
+    chosen: DataFrame | None = None,
 ) -> OnlineRun:
     """Predict, detect and refit over the test rows of all series.
 
     ``series`` holds ``t``, the target, the feature array ``x`` and ``n_train``. With ``rivals``, the
     refits on unscaled history and on the last season and the scaled predictions come along.
     Runs that share their train rows and features (scenarios, settings) share a base model: it is then
-    fitted on ``base_series`` for each of ``base_keys``.
+    fitted on ``base_series`` for each of ``base_keys``. ``chosen`` gives every series its own model settings.
     """
     first = (online[0] if isinstance(online, (list, tuple)) else online).resolved(spec.season)
     keys = list(spec.keys)
@@ -129,13 +133,14 @@ def run_online(
 
     state = cut_lineage(states(series, spec, online), "states")
     triggers = state.where("triggered").select(*keys, F.col("t").alias("refit_t"), "scale", "scale_old", "offset")
-    base = cut_lineage(models.fit(base_jobs(base_series, base_keys, gp, base_cap, spec.target), gp, features), "base")
+    base = base_jobs(base_series, base_keys, gp, base_cap, spec.target, chosen)
+    base = cut_lineage(models.fit(base, gp, features), "base")
     test = base_series.where(F.col("t") >= F.col("n_train")).select(*base_keys, "t", "x")
     base_predictions = cut_lineage(models.predict(test, base, base_keys), "base-predictions")
 
     refits = refit_jobs(series, triggers, spec, online, rivals)
     starts = base.where(F.col("status") == "ok").select(*base_keys, F.col("theta").alias("theta0"))
-    jobs = models.with_settings(refits.join(starts, base_keys), gp)
+    jobs = models.with_settings(refits.join(starts, base_keys), gp, chosen)
     fitted = cut_lineage(models.fit(jobs, gp, features), "refits")
 
     kinds = [ONLINE] + ([RETRAIN, MOVING] if rivals else [])
@@ -200,7 +205,8 @@ def run_statistics(run: OnlineRun, series: DataFrame, spec: SeriesSpec) -> DataF
 
 
 def periodic_refits(
-    series: DataFrame, spec: SeriesSpec, gp: GPSpec, every: int, features=("x",), cap: int | None = None
+    series: DataFrame, spec: SeriesSpec, gp: GPSpec, every: int, features=("x",), cap: int | None = None,
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
     """Rival: refit after every ``every`` test rows on all rows so far (the last ``cap``)."""
     keys = list(spec.keys)
@@ -209,10 +215,13 @@ def periodic_refits(
     done = F.floor((F.col("t") - F.col("n_train")) / every)
     in_force = F.when(done > 0, F.col("n_train") + done * every - 1).otherwise(BASE_MODEL).cast("long")
     points = test.select(*keys, "t", "x", in_force.alias("refit_t"), "n_train")
-    return _refit_often(series, points, spec, gp, features, cap).withColumn("model", F.lit(f"refit_every_{every}"))
+    return _refit_often(series, points, spec, gp, features, cap, chosen).withColumn("model", F.lit(f"refit_every_{every}"))
 
 
-def moving_window_refits(series: DataFrame, spec: SeriesSpec, gp: GPSpec, features=("x",), cap: int | None = None) -> DataFrame:
+def moving_window_refits(
+    series: DataFrame, spec: SeriesSpec, gp: GPSpec, features=("x",), cap: int | None = None,
+    chosen: DataFrame | None = None,
+) -> DataFrame:
     """Rival: refit on a sliding window after every row, with a running correction of the bias.
 
     The window has the length of the train part (the last ``cap`` rows of it). The
@@ -224,7 +233,7 @@ def moving_window_refits(series: DataFrame, spec: SeriesSpec, gp: GPSpec, featur
     test = series.where(F.col("t") >= F.col("n_train"))
     in_force = F.when(F.col("t") > F.col("n_train"), F.col("t") - 1).otherwise(BASE_MODEL).cast("long")
     points = test.select(*keys, "t", "x", in_force.alias("refit_t"), "n_train")
-    raw = _refit_often(series, points, spec, gp, features, cap, sliding=True)
+    raw = _refit_often(series, points, spec, gp, features, cap, chosen, sliding=True)
     joined = raw.join(test.select(*keys, "t", F.col(spec.target).alias("_y")), [*keys, "t"]).withColumn(
         "_e", F.col("_y") - F.col("prediction")
     )
@@ -238,7 +247,31 @@ def moving_window_refits(series: DataFrame, spec: SeriesSpec, gp: GPSpec, featur
     ).drop("_bias", "_e", "_y").withColumn("model", F.lit("moving_window"))
 
 
-def _refit_often(series, points, spec: SeriesSpec, gp: GPSpec, features, cap: int, sliding: bool = False) -> DataFrame:
+def all_methods(
+    series: DataFrame, spec: SeriesSpec, online: OnlineSpec, gp: GPSpec, features=("x",), chosen: DataFrame | None = None
+) -> DataFrame:
+    """Predictions of the online response and of every rival, in long form."""
+    run = run_online(series, spec, online, gp, features, rivals=True, chosen=chosen)
+    names = run.predictions.columns
+    rivals = [periodic_refits(series, spec, gp, every, features, chosen=chosen) for every in (1, 2)]
+    rivals.append(moving_window_refits(series, spec, gp, features, chosen=chosen))
+    out = run.predictions
+    for rival in rivals:
+        out = out.unionByName(rival.select(*names))
+    return out
+
+
+def compare_methods(predictions: DataFrame, series: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """One error column per method and one row per series."""
+    keys = list(spec.keys)
+    actual = series.where(F.col("t") >= F.col("n_train")).select(*keys, "t", F.col(spec.target).alias("y"))
+    errors = rmse(align(predictions, actual, keys), [*keys, "model"])
+    return errors.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("model") == m, F.col("rmse"))).alias(f"rmse_{m}") for m in METHODS]
+    )
+
+
+def _refit_often(series, points, spec: SeriesSpec, gp: GPSpec, features, cap: int, chosen, sliding: bool = False) -> DataFrame:
     keys = list(spec.keys)
     # the base model of a key is its fit on the rows before the test part
     end = F.when(F.col("refit_t") == BASE_MODEL, F.col("n_train") - 1).otherwise(F.col("refit_t"))
@@ -247,6 +280,6 @@ def _refit_often(series, points, spec: SeriesSpec, gp: GPSpec, features, cap: in
     joined = last_rows_join(rows, ends, spec, "_end", cap)
     if sliding:
         joined = joined.where(F.col("t") > F.col("_end") - F.col("n_train"))
-    jobs = models.with_settings(models.training_arrays(joined, [*keys, "refit_t"]), gp)
+    jobs = models.with_settings(models.training_arrays(joined, [*keys, "refit_t"]), gp, chosen)
     fitted = models.fit(jobs, gp, features)
     return models.predict(points.select(*keys, "refit_t", "t", "x"), fitted, [*keys, "refit_t"]).drop("refit_t")

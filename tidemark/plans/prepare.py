@@ -106,6 +106,13 @@ def prepare(
     return out
 
 
+def imputed_split(
+    df: DataFrame, spec: SeriesSpec, columns, method: str, share: float | None, initial: int = 0, test: int = 0
+) -> DataFrame:
+    """Split, then fill each fold with an imputer fitted on its own train rows."""
+    return impute(split(df, spec, share, initial, test), [*spec.keys, "fold"], columns, method)
+
+
 def _split(df: DataFrame, spec: SeriesSpec, dataset: DatasetSpec) -> DataFrame:
     initial, test = dataset.fold_lengths
     return split(df, spec, dataset.split_perc, initial, test)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.config import explode_config
 from tidemark.operators.metrics import fold_summary, rmse
 from tidemark.operators.splits import TEST, TRAIN, split_shuffled
-from tidemark.plans import models
+from tidemark.plans import models, online
 from tidemark.session import cut_lineage
-from tidemark.spec import GPSpec, SeriesSpec
+from tidemark.spec import GPSpec, OnlineSpec, SeriesSpec
 
 # Base kernels and parameter values of the search.
 BASE_KERNELS = ("constant", "matern", "periodic", "rbf", "rational_quadratic", "white")
@@ -146,6 +146,27 @@ def best_config(results: DataFrame, keys, by: str = "shuf_cv_rmse_mean") -> Data
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
+def replay(
+    prepared: dict[str, DataFrame], best: DataFrame, spec: SeriesSpec, setting: OnlineSpec, features: dict[str, list[str]],
+    period: int | None = None,
+) -> DataFrame:
+    """Run every online method with each series' best configuration; one error column per method."""
+    keys = list(spec.keys)
+    best = cut_lineage(best.select(*keys, "dim_reduction", *models.SETTINGS), "best")
+    out = None
+    for kind, rows in prepared.items():
+        chosen = best.where(F.col("dim_reduction") == kind).drop("dim_reduction")
+        if chosen.isEmpty():
+            continue
+        mine = cut_lineage(
+            rows.join(chosen.select(*keys), keys, "left_semi").select(*keys, "t", spec.target, "x", "n_train"), "replay"
+        )
+        predictions = online.all_methods(mine, spec, setting, GPSpec(period=period), features[kind], chosen)
+        errors = online.compare_methods(predictions, mine, spec).withColumn("dim_reduction", F.lit(kind))
+        out = errors if out is None else out.unionByName(errors)
+    return out
+
+
 def running_best(results: DataFrame, keys, value: str = "rmse_test", order: str = "config_id") -> DataFrame:
     """Best error up to each run and whether the run improved it."""
     upto = Window.partitionBy(*keys).orderBy(order)

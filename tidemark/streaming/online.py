@@ -79,62 +79,64 @@ def _stepper(spec, online: OnlineSpec, gp: GPSpec, n_train: int, d: int, reorder
                              period=gp.period, restarts=gp.n_restarts, seed=gp.seed)
         return found.theta
 
-    def predict(s, new):
+    def predictor(s):
         x, y = s["train_x"].reshape(-1, d), s["train_y"]
         mean, std = _standard(x) if gp.standardize else (np.zeros(d), np.ones(d))
-        return numerics.predict(gp.kernel, s["theta"], (x - mean) / std, y, gp.alpha, gp.normalize_y, (new - mean) / std)
+        posterior = numerics.Posterior(gp.kernel, s["theta"], (x - mean) / std, y, gp.alpha, gp.normalize_y)
+        return lambda new: posterior((new - mean) / std)
 
-    def scores_of(s):
-        """Scores of the buffered rows; exact for the newest ``len - season - burn_in`` of them."""
-        y = s["ys"]
-        return change_scores(y[season:] - y[:-season], online.cf_r, online.cf_order, online.cf_smooth)
-
-    def scale_of(y):
-        if len(y) < 2 * season + window and (online.scale_seasons == 2 or len(y) < season + window):
+    def scale_at(y, at):
+        """Output scale at position ``at`` of ``y``; NaN until all seasons are there."""
+        if at + 1 < online.scale_seasons * season + window:
             return np.nan
-        level = lambda back: y[len(y) - back - window : len(y) - back].mean()
-        parts = [level(season)] + ([level(2 * season)] if online.scale_seasons == 2 else [])
+        level = lambda back: y[at - back - window + 1 : at - back + 1].mean()
+        parts = [level(season * k) for k in range(1, online.scale_seasons + 1)]
         return np.nan if 0 in parts else float(np.mean([level(0) / p for p in parts]))
 
-    def start(s):
-        """End of the warm-up: threshold and base model."""
-        scores = scores_of(s)
-        s["threshold"] = float(np.percentile(scores, online.cf_thr_perc)) if len(scores) else np.inf
-        s["train_x"], s["train_y"] = s["xs"].reshape(-1, d)[-cap:].ravel(), s["ys"][-cap:]
-        s["theta"] = s["base_theta"] = fit(s["train_x"].reshape(-1, d), s["train_y"], None)
-
-    def take(s, t, y, x):
-        """Handle one row in order; returns its output."""
-        out = dict.fromkeys(outputs)
-        out |= dict(t=t, y=y, late=False, change_point=False, triggered=False, refit_t=s["refit_t"], scale_old=s["scale_old"])
-        ready = s["n"] >= n_train
-        if ready:
-            centre, spread = predict(s, x[None, :])
+    def take(s, rows):
+        """Handle rows in order; returns their outputs."""
+        known = len(s["ys"])
+        t = np.concatenate([s["ts"], [r[0] for r in rows]]).astype(np.int64)
+        y = np.concatenate([s["ys"], [r[1] for r in rows]])
+        x = np.concatenate([s["xs"].reshape(-1, d), [r[2] for r in rows]])
+        # scores look back only, so those of all new rows come from one pass over the buffer and the rows
+        scores = np.full(len(y), np.nan)
+        if len(y) > season:
+            scores[season:] = change_scores(y[season:] - y[:-season], online.cf_r, online.cf_order, online.cf_smooth)
+        results, model = [], None
+        for at in range(known, len(y)):
+            out = dict.fromkeys(outputs)
+            out |= dict(t=t[at], y=y[at], late=False, change_point=False, triggered=False,
+                        refit_t=s["refit_t"], scale_old=s["scale_old"])
+            results.append(out)
+            s["n"] += 1
+            if s["n"] <= n_train:
+                if s["n"] == n_train:
+                    first = scores[season : at + 1]
+                    s["threshold"] = float(np.percentile(first, online.cf_thr_perc)) if len(first) else np.inf
+                    begin = max(0, at + 1 - cap)
+                    s["train_x"], s["train_y"] = x[begin : at + 1].ravel(), y[begin : at + 1]
+                    s["theta"] = s["base_theta"] = fit(x[begin : at + 1], s["train_y"], None)
+                continue
+            model = predictor(s) if model is None else model
+            centre, spread = model(x[at : at + 1])
             half = numerics.INTERVAL * spread[0]
-            out |= dict(prediction=centre[0], lower_conf=centre[0] - half, upper_conf=centre[0] + half)
+            out |= dict(prediction=centre[0], lower_conf=centre[0] - half, upper_conf=centre[0] + half,
+                        score=scores[at], scale=scale_at(y, at), change_point=bool(scores[at] >= s["threshold"]))
+            usable = np.isfinite(out["scale"]) and out["scale"] != 0 and s["scale_old"] > 0
+            if out["change_point"] and usable and fires(out["scale"], s["scale_old"], online.scale_thr):
+                out["triggered"] = True
+                begin = max(0, at + 1 - online.max_samples)
+                train_x, train_y = x[begin : at + 1], y[begin : at + 1] * out["scale"]
+                try:
+                    s["theta"] = fit(train_x, train_y, s["base_theta"])
+                    s["train_x"], s["train_y"], model = train_x.ravel(), train_y, None
+                    s["scale_old"], s["refit_t"] = out["scale"], t[at]
+                except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+                    pass  # the model in force stays
         keep = n_train if s["n"] < n_train else need
-        s["ts"] = np.append(s["ts"], t)[-keep:]
-        s["ys"] = np.append(s["ys"], y)[-keep:]
-        s["xs"] = np.append(s["xs"], x)[-keep * d :]
-        s["n"] += 1
-        if s["n"] == n_train:
-            start(s)
-        if not ready:
-            return out
-        out["score"] = float(scores_of(s)[-1])
-        out["scale"] = scale_of(s["ys"])
-        out["change_point"] = bool(out["score"] >= s["threshold"])
-        usable = np.isfinite(out["scale"]) and out["scale"] != 0
-        if out["change_point"] and usable and s["scale_old"] > 0 and fires(out["scale"], s["scale_old"], online.scale_thr):
-            out["triggered"] = True
-            train_x, train_y = s["xs"].reshape(-1, d)[-online.max_samples :], s["ys"][-online.max_samples :] * out["scale"]
-            try:
-                s["theta"] = fit(train_x, train_y, s["base_theta"])
-                s["train_x"], s["train_y"] = train_x.ravel(), train_y
-                s["scale_old"], s["refit_t"] = out["scale"], t
-            except (ValueError, ArithmeticError, np.linalg.LinAlgError):
-                pass  # the model in force stays
-        return out
+        s["ts"], s["ys"], s["xs"] = t[-keep:], y[-keep:], x[-keep:].ravel()
+        return results
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = dict(zip(names, state.get)) if state.exists else _empty(names)
@@ -149,21 +151,23 @@ def _stepper(spec, online: OnlineSpec, gp: GPSpec, n_train: int, d: int, reorder
             for t, y, x in zip(s["waiting_t"], s["waiting_y"], s["waiting_x"].reshape(-1, d))
         ]
         waiting.sort(key=lambda r: r[0])
-        results, held = [], []
+        results, ready, held = [], [], []
         last = int(s["ts"][-1]) if len(s["ts"]) else None
         for at, (t, y, x) in enumerate(waiting):
             if last is not None and t <= last:
                 results.append(dict.fromkeys(outputs) | dict(t=t, y=y, late=True, change_point=False, triggered=False))
             elif last is None or t == last + 1 or len(waiting) - at > reorder:
-                results.append(take(s, t, y, x))
+                ready.append((t, y, x))
                 last = t
             else:
                 held = waiting[at:]
                 break
+        if ready:
+            results += take(s, ready)
         s["waiting_t"] = np.array([r[0] for r in held], dtype=np.int64)
         s["waiting_y"] = np.array([r[1] for r in held])
         s["waiting_x"] = np.concatenate([r[2] for r in held]) if held else np.zeros(0)
-        state.update(tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in (s[n] for n in names)))
+        state.update(tuple(v.tolist() if isinstance(v, (np.ndarray, np.generic)) else v for v in (s[n] for n in names)))
         if results:
             out = pd.DataFrame(results, columns=outputs)
             out.insert(0, key_name, key[0])
