@@ -1,6 +1,9 @@
 import os
 import sys
 
+# as in Spark's Python workers; many threads on small matrices only wait for each other
+os.environ["OMP_NUM_THREADS"] = os.environ["OPENBLAS_NUM_THREADS"] = "1"
+
 import numpy as np
 import pytest
 

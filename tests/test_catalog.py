@@ -16,7 +16,9 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the tes
 
 @pytest.fixture(scope="module")
 def db():
-    return check_oracles.connect(FOLDER)
+    connection = check_oracles.connect(FOLDER)
+    yield connection
+    connection.close()
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
