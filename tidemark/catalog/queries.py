@@ -275,7 +275,7 @@ def q_log(spark, sf):
 def q_power(spark, sf):
     """Most likely lambda on the first grid."""
     df = splits.split_percentage(revenue_monthly(spark, sf).withColumn("y", F.col("y") / 1e6), MONTHLY, TRAIN_SHARE)
-    return rounded(transforms.power_fit(df, KEY, rounds=1))
+    return rounded(transforms.power_fit(df, KEY, low=-2.0, high=2.0, points=17, rounds=1))
 
 
 def q_power_refined(spark, sf):

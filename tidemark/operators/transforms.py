@@ -73,7 +73,7 @@ def _log_likelihood(sign: str, size: str, lam: str) -> str:
 
 
 def power_fit(
-    df: DataFrame, keys, target: str = "y", low: float = -2.0, high: float = 2.0, points: int = 17, rounds: int = 4
+    df: DataFrame, keys, target: str = "y", low: float = -5.0, high: float = 5.0, points: int = 21, rounds: int = 4
 ) -> DataFrame:
     """Maximum-likelihood lambda per key with the mean and population deviation of the transformed target.
 
