@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``, and ASCII letters.
 BLANKS = " \t\n\x0b\x0c\r"
+BLANK_CLASS, WORD_CHAR = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,8 +33,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    spaced = F.translate(text, BLANKS, " " * len(BLANKS))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(text, BLANK_CLASS + "+"), "")
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are (``lower`` is the same, and faster, where all is ASCII)."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, LOWER, UPPER, id_and_text
+from tidemark.llm.common import BLANKS, id_and_text, lower_ascii
 from tidemark.session import cut_lineage
 
 MIN_CHARS = 40
@@ -18,7 +18,7 @@ SALTS = 256
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+    return lower_ascii(F.btrim(line, F.lit(BLANKS)))
 
 
 def _row_key(docs: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return joined.select(
         "doc_id",
         F.when(F.col("keep").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"),
+        (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
     )
 

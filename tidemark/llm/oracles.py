@@ -11,7 +11,7 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 def _broken(rule) -> str:
     value = f"{rule.numerator}::DOUBLE" + (f" / greatest({rule.denominator}, 1)" if rule.denominator else "")
     tests = [f"{value} < {rule.least}"] * (rule.least is not None) + [f"{value} > {rule.most}"] * (rule.most is not None)
-    return "(" + " OR ".join(tests) + ")"
+    return f"(n_words >= {rule.from_words} AND ({' OR '.join(tests)}))"
 
 
 QUALITY = rf"""
@@ -30,7 +30,7 @@ WITH d AS (
   SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM s, (SELECT unnest(range(5)) AS k) GROUP BY r
 ), wc AS (
   SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars,
-    count(*) FILTER (WHERE lower(w) IN ({_STOP})) AS n_stop_words
+    count(*) FILTER (WHERE w IN ({_STOP})) AS n_stop_words
   FROM w GROUP BY r
 ), l AS (
   SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
@@ -39,7 +39,6 @@ WITH d AS (
 ), m AS (
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
     coalesce(n_stop_words, 0) AS n_stop_words, coalesce(n_lines, 0) AS n_lines,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN wc USING (r) LEFT JOIN l USING (r) LEFT JOIN rep USING (r)

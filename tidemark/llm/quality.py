@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, words_of
+from tidemark.llm.common import WORD_CHAR, let, words_of
 
-SYMBOLS = "#*$%&|<>"
+OTHERS = "[^#*$%&|<>]+"
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
     "the", "be", "to", "of", "and", "that", "have", "with", "is", "in", "it", "was", "for", "by",
@@ -17,18 +17,20 @@ STOP_WORDS = (
     "der", "die", "das", "und", "zu", "den", "mit", "nicht", "von", "ist",
     "el", "los", "las", "y", "por", "con", "para", "se", "una",
 )
+STOP_WORDS += tuple(w.capitalize() for w in STOP_WORDS)
 WINDOW = 5
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio that must lie within bounds: ``numerator / denominator``, names of measures."""
+    """A ratio that must lie within bounds in texts of ``from_words`` words: ``numerator / denominator``, names of measures."""
 
     name: str
     numerator: str
     denominator: str | None = None
     least: float | None = None
     most: float | None = None
+    from_words: int = 0
 
     def broken(self) -> Column:
         value = F.col(self.numerator).cast("double")
@@ -39,14 +41,13 @@ class Rule:
             bad = bad | (value < self.least)
         if self.most is not None:
             bad = bad | (value > self.most)
-        return bad
+        return bad & (F.col("n_words") >= self.from_words)
 
 
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 12.0),
     Rule("symbol_ratio", "n_symbols", "n_words", most=0.25),
-    Rule("capital_ratio", "n_capitals", "word_chars", most=0.4),
-    Rule("stop_word_ratio", "n_stop_words", "n_words", least=0.02),
+    Rule("stop_word_ratio", "n_stop_words", "n_words", least=0.02, from_words=80),
     Rule("line_ratio", "n_dup_lines", "n_lines", most=0.5),
 )
 
@@ -54,8 +55,8 @@ RULES = (
 def _repeated(words: Column) -> Column:
     """Words inside windows of five words found twice or more; windows are compared by 64-bit hash."""
     size = F.size(words)
-    hashes = F.transform(
-        F.sequence(F.lit(0), size - WINDOW), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW)))
+    hashes = F.slice(
+        F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, WINDOW)))), 1, size - WINDOW + 1
     )
 
     def starts(sorted_grams: Column) -> Column:
@@ -85,27 +86,26 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(
-        F.split(body, "\n"), lambda line: F.length(F.translate(line, " \t\x0b\x0c\r", "")) > 0
+        F.split(body, "\n"), lambda line: F.rlike(line, F.lit(WORD_CHAR))
     )
     own = [c for c in docs.columns if c not in MEASURES]
     counts = docs.select(
         *own,
         let(words_of(body), lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _repeated(w).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         )).alias("_w"),
         let(lines, lambda x: F.struct(
             F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         )).alias("_l"),
-        F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.length(body) - F.length(F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
+        F.length(F.regexp_replace(body, OTHERS, "")).cast("long").alias("n_symbols"),
     )
     return counts.select(*own, *(F.col(source).alias(name) for name, source in MEASURES.items()))
 
 
 MEASURES = {
-    "n_words": "_w.n_words", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_capitals": "n_capitals",
+    "n_words": "_w.n_words", "word_chars": "_w.word_chars", "n_symbols": "n_symbols",
     "n_stop_words": "_w.n_stop_words", "n_lines": "_l.n_lines", "n_dup_lines": "_l.n_dup_lines",
     "n_repeat_words": "_w.n_repeat_words",
 }
