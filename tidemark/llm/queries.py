@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, line_dedup, quality
+from tidemark.llm import bpe, chat, line_dedup, quality, token_counts, token_files
 from tidemark.llm.common import table
+from tidemark.session import new_table_path
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), RANKS, PATTERN)
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +33,15 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Flat token files of all documents, searched for end ids; ``doc_id`` labels the n-th document of a file."""
+    path = new_table_path(spark, "flat-tokens")
+    token_counts.flat_files(table(spark, folder, "documents").select("doc_id", "text"), RANKS, PATTERN, path)
+    files = spark.read.parquet(path)
+    counts = token_counts.count_tokens(files)
+    return counts.join(token_counts.labels(files), ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     formatted = chat.format_chats(turns.unionByName(chat.planted_conversation(spark)))
@@ -39,6 +57,16 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_table_path(spark, "tokens")
+    token_files.write_tokens(table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER, path)
+    sums = token_files.checksums(spark, path)
+    index = token_files.read_index(spark, path)
+    return index.join(sums, ["part", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op6_line_dedup, op8_chat_format)
+    f.__name__: f for f in (
+        op2_byte_bpe, op3_quality_rules, op6_line_dedup, op7_token_counts, op8_chat_format, op9_token_files,
+    )
 }
