@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, line_dedup, quality, token_counts, token_files
+from tidemark.llm import bpe, chat, line_dedup, quality, suffix_dedup, token_counts, token_files
 from tidemark.llm.common import table
 from tidemark.session import new_table_path
 
@@ -65,8 +65,13 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return index.join(sums, ["part", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_byte_bpe, op3_quality_rules, op6_line_dedup, op7_token_counts, op8_chat_format, op9_token_files,
+        op10_suffix_dedup,
     )
 }
