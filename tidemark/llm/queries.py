@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, line_dedup, quality, suffix_dedup, token_counts, token_files
+from tidemark.llm import bpe, chat, line_dedup, minhash, quality, suffix_dedup, token_counts, token_files
 from tidemark.llm.common import table
 from tidemark.session import new_table_path
 
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -71,7 +75,7 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_byte_bpe, op3_quality_rules, op6_line_dedup, op7_token_counts, op8_chat_format, op9_token_files,
+        op2_byte_bpe, op3_quality_rules, op5_minhash_dedup, op6_line_dedup, op7_token_counts, op8_chat_format, op9_token_files,
         op10_suffix_dedup,
     )
 }
