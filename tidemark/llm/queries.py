@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, line_dedup, minhash, quality, suffix_dedup, token_counts, token_files
+from tidemark.llm import bpe, chat, decontaminate, line_dedup, lm_score, minhash, quality, suffix_dedup, token_counts, token_files
 from tidemark.llm.common import table
 from tidemark.session import new_table_path
 
@@ -16,6 +16,11 @@ RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokeniz
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), RANKS, PATTERN)
 
@@ -27,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -75,7 +84,7 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_byte_bpe, op3_quality_rules, op5_minhash_dedup, op6_line_dedup, op7_token_counts, op8_chat_format, op9_token_files,
+        op1_decontaminate, op2_byte_bpe, op3_quality_rules, op4_lm_score, op5_minhash_dedup, op6_line_dedup, op7_token_counts, op8_chat_format, op9_token_files,
         op10_suffix_dedup,
     )
 }

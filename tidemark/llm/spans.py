@@ -40,14 +40,16 @@ def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, multiplier: in
 def span_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, multiplier: int = MULTIPLIERS[0]) -> np.ndarray:
     """Hashes of buffer[start:end] for spans shorter than 16 KB, with memory for one chunk at a time."""
     out = np.zeros(len(start), np.uint64)
-    order = np.argsort(start, kind="stable")
-    s, e = start[order], end[order]
+    if len(start) > 1 and (np.diff(start) < 0).any():
+        order = np.argsort(start, kind="stable")
+        out[order] = span_hashes(buffer, start[order], end[order], multiplier)
+        return out
     i = 0
-    while i < len(s):
-        x = int(s[i])
-        j = int(np.searchsorted(s, x + CHUNK))
+    while i < len(start):
+        x = int(start[i])
+        j = int(np.searchsorted(start, x + CHUNK))
         sums = prefix(buffer[x : x + CHUNK + _ROOM], multiplier)
-        out[order[i:j]] = between(sums, s[i:j] - x, e[i:j] - x, multiplier)
+        out[i:j] = between(sums, start[i:j] - x, end[i:j] - x, multiplier)
         i = j
     return out
 
