@@ -1,6 +1,6 @@
 """Operator 1, benchmark decontamination by latent semantic retrieval.
 
-Passages of 24 words are TF-IDF vectors over hashed words (with squared IDF, so that rare words count). A randomised SVD over the passages of all documents gives a
+Passages of 24 words (12 for items shorter than that) are TF-IDF vectors over hashed words (with squared IDF, so that rare words count). A randomised SVD over the passages of all documents gives a
 latent basis: ``A' A R`` for a random ``R`` is a sum over passages, added up by Spark; its size is fixed, and
 its orthonormal columns are the basis. Windows of every document are compared with the passages of the
 benchmark by cosine in the latent space; candidates are confirmed by longest common subsequence, and paraphrases
@@ -124,45 +124,49 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
-def _item_vectors(items: list[tuple[int, list[int]]], basis: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Latent vectors of all passages of the items, the item of each, and the weight of its words."""
+def _passages(items: list[tuple[int, list[int]]], basis: np.ndarray, idf: np.ndarray, tiles: int) -> tuple[np.ndarray, ...]:
+    """Latent vectors of the passages of the items searched with windows of so many tiles, their items and least weights."""
+    size = tiles * TILE
     vectors, owner, weights = [], [], []
     for k, (_, words) in enumerate(items):
-        starts = [*range(0, max(1, len(words) - PASSAGE + 1), PASSAGE // 2)]
-        if len(words) > PASSAGE:
-            starts.append(len(words) - PASSAGE)
+        if (len(words) >= PASSAGE) != (tiles == TILES):
+            continue
+        starts = [*range(0, max(1, len(words) - size + 1), size // 2), max(0, len(words) - size)]
         for s in dict.fromkeys(starts):
-            features = np.array(words[s : s + PASSAGE], np.int64) % FEATURES
+            features = np.array(words[s : s + size], np.int64) % FEATURES
             vectors.append(basis[features].sum(axis=0))
-            weights.append(idf[np.unique(features)].sum())
+            weights.append(WEIGHT_SHARED * idf[np.unique(features)].sum())
             owner.append(k)
-    return _unit(np.array(vectors, np.float32).reshape(-1, RANK)), np.array(owner, np.int64), np.array(weights)
+    across = np.ascontiguousarray(_unit(np.array(vectors, np.float32).reshape(-1, RANK)).T)
+    return tiles, across, np.array(owner, np.int64), np.array(weights)
 
 
 def _search(basis: np.ndarray, idf: np.ndarray, items: list[tuple[int, list[int]]]):
-    vectors, owner, weights = _item_vectors(items, basis, idf)
     member = np.zeros((len(items), FEATURES + 1), np.float32)
     for k, (_, words) in enumerate(items):
         features = np.array(words, np.int64) % FEATURES
         member[k, features] = idf[features]
-    need = WEIGHT_SHARED * weights
-    across = np.ascontiguousarray(vectors.T)
+    kinds = [_passages(items, basis, idf, TILES), _passages(items, basis, idf, TILES // 2)]
 
     def candidates(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tiles whose window is close to a passage and has words of its item, and the item."""
         tiles = np.concatenate([basis[table[i : i + 8192]].sum(axis=1) for i in range(0, len(table) + 1, 8192)])
         padded = np.vstack([tiles, np.zeros((TILES - 1, RANK), np.float32)])
-        windows = _unit(sum(padded[i : i + len(tiles)] for i in range(TILES)))
         cells = np.vstack([table, np.full((TILES - 1, TILE), FEATURES, np.uint16)])
         found = [np.zeros((2, 0), np.int64)]
-        for i in range(0, len(windows), 2048):
-            close = np.flatnonzero((windows[i : i + 2048] @ across).ravel() >= COSINE)
-            tile, passage = close // len(owner) + i, close % len(owner)
-            item = owner[passage]
-            hits = sum(member[item[:, None], cells[tile + k]].sum(axis=1) for k in range(TILES))
-            good = hits >= need[passage]
-            found.append(np.unique(np.stack([tile[good], item[good]]), axis=1))
-        both = np.concatenate(found, axis=1)
+        for count, across, owner, need in kinds:
+            if not len(owner):
+                continue
+            for i in range(0, len(tiles), 2048):
+                n = min(2048, len(tiles) - i)
+                windows = _unit(sum(padded[i + k : i + k + n] for k in range(count)))
+                close = np.flatnonzero((windows @ across).ravel() >= COSINE)
+                tile, passage = close // len(owner) + i, close % len(owner)
+                item = owner[passage]
+                shared = sum(member[item[:, None], cells[tile + k]].sum(axis=1) for k in range(count))
+                good = shared >= need[passage]
+                found.append(np.unique(np.stack([tile[good], item[good]]), axis=1))
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
         return both[0], both[1]
 
     known = [np.array(sorted(set(words)), np.uint32) for _, words in items]
