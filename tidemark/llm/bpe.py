@@ -99,31 +99,18 @@ class ByteBPE:
 
 
 def _encoder(ranks: dict[bytes, int], pattern: str) -> tuple[ByteBPE, PartEncoder]:
-    """The worker's encoder; matches it has seen are remembered up to a bound."""
+    """The worker's encoder; words it has seen are remembered up to a bound."""
     store = worker_store("bpe")
     key = (len(ranks), hash(frozenset(ranks.items())), pattern)
     if store.get("key") != key:
         store.clear()
-        store["key"], store["model"], store["matches"] = key, ByteBPE(ranks, pattern), {}
-    model, matches = store["model"], store["matches"]
-
-    def encode_all(parts: list[str]) -> list[bytes]:
-        if len(matches) > 500_000:
-            matches.clear()
-        out = []
-        for part in parts:
-            ids = []
-            for match in model.split(part):
-                known = matches.get(match)
-                if known is None:
-                    known = np.array(model.piece(match.encode()), "<u4").tobytes()
-                    if len(match) < 100:
-                        matches[match] = known
-                ids.append(known)
-            out.append(b"".join(ids))
-        return out
-
-    return model, PartEncoder(store, encode_all)
+        store["key"], store["model"] = key, ByteBPE(ranks, pattern)
+    model = store["model"]
+
+    def encode_all(matches: list[str]) -> list[bytes]:
+        return [np.array(model.piece(m.encode()), "<u4").tobytes() for m in matches]
+
+    return model, PartEncoder(store, model.split, encode_all)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

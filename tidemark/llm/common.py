@@ -73,8 +73,8 @@ def worker_store(name: str) -> dict:
 #: Not before a blank that follows a blank: no token of the split pattern holds a blank after a non-blank.
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 _BLANK_PAIR = re.compile(r"\s ")
-MEMO_ENTRIES = 800_000
-LONG_PART = 200
+MEMO_ENTRIES = 900_000
+LONG_WORD = 100
 
 
 def safe_parts(text: str) -> list[str]:
@@ -89,33 +89,45 @@ def safe_parts(text: str) -> list[str]:
 
 
 class PartEncoder:
-    """Ids of whole texts as packed little-endian numbers, with a bounded memo of the parts already encoded.
+    """Ids of whole texts as packed little-endian numbers, with a bounded memo of words already encoded.
 
-    ``encode_all`` gets distinct strings and returns the packed ids of each. The memo only
-    saves time: when it is full it starts anew.
+    ``split`` cuts a string into the matches of the split pattern, ``encode_all`` gets distinct matches and returns the
+    packed ids of each. A part of letters only is one match with the blank before it. The memo only saves time:
+    when it is full it starts anew.
     """
 
-    def __init__(self, store: dict, encode_all: Callable[[list[str]], list[bytes]]):
-        self.first, self.later, self.encode_all = store.setdefault("first", {}), store.setdefault("later", {}), encode_all
+    def __init__(self, store: dict, split: Callable[[str], list[str]], encode_all: Callable[[list[str]], list[bytes]]):
+        self.words, self.others = store.setdefault("words", {}), store.setdefault("others", {})
+        self.split, self.encode_all = split, encode_all
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > MEMO_ENTRIES:
-            self.first.clear()
-            self.later.clear()
+        words, others = self.words, self.others
+        if len(words) + len(others) > MEMO_ENTRIES:
+            words.clear()
+            others.clear()
         parts = [safe_parts(t) for t in texts]
-        heads, tails = {p[0] for p in parts}, set()
+        new = set()
         for p in parts:
-            tails.update(p[1:])
-        long = []
-        for memo, wanted, lead in ((self.first, heads, ""), (self.later, tails, " ")):
-            new = [w for w in wanted if w not in memo]
-            memo.update(zip(new, self.encode_all([lead + w for w in new])))
-            long += [(memo, w) for w in new if len(w) > LONG_PART]
-        later, out = self.later.__getitem__, []
-        for p in parts:
-            out.append(b"".join([self.first[p[0]], *map(later, p[1:])]))
-        for memo, w in long:
-            memo.pop(w, None)
+            new.update(p[1:])
+        new = [w for w in new if w not in words]
+        cuts = {w: self.split(" " + w) for w in new if not w.isalpha()}
+        heads = [self.split(p[0]) for p in parts]
+        matches = {m for cut in (*cuts.values(), *heads) for m in cut}
+        plain = {m for m in matches if m[0] == " " and m[1:].isalpha()}
+        fresh = list({w for w in new if w.isalpha()} | {m[1:] for m in plain if m[1:] not in words})
+        words.update(zip(fresh, self.encode_all([" " + w for w in fresh])))
+        rest = [m for m in matches - plain if m not in others]
+        others.update(zip(rest, self.encode_all(rest)))
+        found = {m: words[m[1:]] if m in plain else others[m] for m in matches}
+        for w, cut in cuts.items():  # for this call only
+            words[w] = b"".join([found[m] for m in cut])
+        get = words.__getitem__
+        out = [b"".join([*(found[m] for m in h), *map(get, p[1:])]) for h, p in zip(heads, parts)]
+        for w in (*cuts, *(w for w in fresh if len(w) > LONG_WORD)):
+            words.pop(w, None)
+        for m in rest:
+            if len(m) > LONG_WORD:
+                del others[m]
         return out
 
 

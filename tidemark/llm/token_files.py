@@ -36,28 +36,18 @@ def library_encoder(json_text: str) -> PartEncoder:
     store = worker_store("library")
     if store.get("json") != json_text:
         store.clear()
-        store["json"], store["matches"] = json_text, {}
-        store["model"] = Tokenizer.from_str(json_text)
+        store["json"], store["model"] = json_text, Tokenizer.from_str(json_text)
         store["model"].encode_special_tokens = True
-        store["split"] = regex.compile(PATTERN).findall
-    model, matches, split = store["model"], store["matches"], store["split"]
-
-    def encode_all(parts: list[str]) -> list[bytes]:
-        if len(matches) > 500_000:
-            matches.clear()
-        cut = [split(p) for p in parts]
-        new = list({m for c in cut for m in c if m not in matches})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            encoded = model.encode_batch_fast(some, add_special_tokens=False)
-            matches.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
-        out = [b"".join(map(matches.__getitem__, c)) for c in cut]
-        for m in new:
-            if len(m) > 100:
-                del matches[m]
+    model = store["model"]
+
+    def encode_all(matches: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(matches), 4096):
+            encoded = model.encode_batch_fast(matches[i : i + 4096], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in encoded]
         return out
 
-    return PartEncoder(store, encode_all)
+    return PartEncoder(store, regex.compile(PATTERN).findall, encode_all)
 
 
 def tokenize(docs: DataFrame, json_path: str, end_id: int | None = END_ID) -> DataFrame:
