@@ -24,6 +24,7 @@ SHINGLE = 4
 VALUES, BITS, CHUNKS = 64, 14, 14
 DISTANCE = 27
 PERCENT = 80
+LEADERS = 3
 _FOLD = np.uint64(0x9FB21C651E98DF25)
 _PIECE = 1 << 22
 _LONG_WORD = 1 << 13
@@ -155,22 +156,51 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.filter(sizes & (distance(F.col("sa"), F.col("sb")) <= DISTANCE)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs that share enough of their whole shingle sets."""
-    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = cut_lineage(rows.join(wanted, "doc_id").mapInArrow(_sets_of, "node long, shingles array<long>"), "shingle-sets")
-    a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    union = F.size("sa") + F.size("sb") - F.col("common")
-    return cut_lineage(both.filter(100 * F.col("common") >= PERCENT * union).select("a", "b").distinct(), "confirmed")
+class _Links:
+    """Confirmed links so far, the components they make, and the shingle sets read for that."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, links: DataFrame):
+        self.rows, self.nodes, self.links, self.sets = rows, nodes, links, None
+        self.found = components(links)
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirm candidate pairs on their whole shingle sets."""
+        near = cut_lineage(_near(pairs, self.nodes), "near")
+        wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+        wanted = cut_lineage(wanted, "wanted")
+        if not wanted.isEmpty():
+            read = self.rows.join(wanted, "doc_id").mapInArrow(_sets_of, "node long, shingles array<long>")
+            read = cut_lineage(read, "shingle-sets")
+            self.sets = read if self.sets is None else self.sets.unionByName(read)
+        if self.sets is None:
+            return
+        a, b = self.sets.toDF("a", "sa"), self.sets.toDF("b", "sb")
+        both = near.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        union = F.size("sa") + F.size("sb") - F.col("common")
+        good = both.filter(100 * F.col("common") >= PERCENT * union).select("a", "b").distinct()
+        self.links = self.links.unionByName(cut_lineage(good, "confirmed"))
+        self.found = components(self.links)
+
+    def place(self, members: DataFrame, leader: Column) -> DataFrame:
+        """The members of buckets that still hold several components, with their own and a chosen leader's component."""
+        of = self.found.select(F.col("node").alias("n"), F.col("component").alias("c"))
+        placed = members.select("key", "node").join(of, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("c", "node").alias("c"))
+        placed = cut_lineage(placed, "placed")
+        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), leader.alias("leader")).filter("lo < hi")
+        mixed = cut_lineage(mixed.select("key", "leader"), "mixed")
+        live = placed.join(mixed, "key").join(of.toDF("n", "lc"), F.col("leader") == F.col("n"), "left")
+        return cut_lineage(live.select("key", "node", "c", "leader", F.coalesce("lc", "leader").alias("lc")), "live")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row.
 
     Linked are documents whose sets of four-word shingles share 80 of 100 or more. Documents of equal sets are one node.
-    First each document is compared with the smallest of every bucket it is in; where a bucket then still holds
-    different components, all its pairs across components are compared, and none else could change the result.
+    In a few rounds each document is compared with one leader of every bucket it is in, as long as the bucket holds
+    several components; so large groups join without pairs of all with all. Buckets that then still hold several
+    are compared across components, pair by pair; pairs inside a component could not change the result.
 
     Texts without words have no shingles and no links; shorter texts are one shingle. Rows with one ``doc_id`` count as one
     document. Rows without ``doc_id`` have no component and are kept. An empty table gives an empty one.
@@ -189,29 +219,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     filed = nodes.select("node", "signature").mapInArrow(_file, "key long, node long")
     buckets = filed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("top")).filter("leader < top")
-    buckets = cut_lineage(buckets.select("key", "leader"), "buckets")
-    members = cut_lineage(filed.join(buckets, "key"), "members")
-    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    near = cut_lineage(_near(pairs, nodes), "near")
-    links = _confirmed(near, rows)
+    members = cut_lineage(filed.join(cut_lineage(buckets.select("key"), "buckets"), "key"), "members")
     # a document id may stand for several classes, if rows repeat it
     again = linked.join(classes.withColumnRenamed("node", "a"), print_).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     repeated = again.join(classes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
-    found = components(links.unionByName(repeated))
-
-    place = found.select(F.col("node").alias("n"), F.col("component").alias("c"))
-    placed = members.join(place, F.col("node") == F.col("n"), "left").withColumn("c", F.coalesce("c", "node")).drop("n")
-    head = found.select(F.col("node").alias("n"), F.col("component").alias("lc"))
-    placed = placed.join(head, F.col("leader") == F.col("n"), "left").withColumn("lc", F.coalesce("lc", "leader")).drop("n")
-    placed = cut_lineage(placed, "placed")
-    odd = placed.filter("c <> lc")
-    mixed = cut_lineage(odd.select("key").distinct(), "mixed")
-    rest = cut_lineage(placed.join(mixed, "key", "left_semi").filter("node <> leader"), "mixed-members")
+    state = _Links(rows, nodes, cut_lineage(repeated.distinct(), "repeated"))
+    for turn in range(LEADERS):
+        leader = F.min("node") if turn == 0 else F.min_by("node", F.xxhash64("node", "key", F.lit(turn)))
+        members = state.place(members, leader)
+        state.add(members.filter("c <> lc").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
+    rest = state.place(members, F.min_by("node", F.xxhash64("node", "key", F.lit(-1))))
     x = rest.filter("c <> lc").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
     y = rest.select("key", F.col("node").alias("y"), F.col("c").alias("cy"))
     across = x.join(y, "key").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _confirmed(cut_lineage(_near(across, nodes), "near-across"), rows)
-    found = components(links.unionByName(repeated).unionByName(more))
+    state.add(across)
+    found = state.found
 
     member = described.join(classes, print_, "left").join(found, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
