@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch, id_and_text
 from tidemark.llm.words import store_words, unpack, word_hashes
 
-FEATURES, RANK = 1 << 13, 48
+FEATURES, RANK = 1 << 13, 64
 TILE, TILES = 6, 4
 PASSAGE = TILE * TILES
-COSINE = 0.75
+COSINE = 0.65
 #: Share of a passage's weight that the words which a window shares with its item must have.
 WEIGHT_SHARED = 0.4
 #: Share of an item's words that must stand in a document in order: alone, or with the answer.
@@ -170,6 +170,7 @@ def _search(basis: np.ndarray, idf: np.ndarray, items: list[tuple[int, list[int]
         return both[0], both[1]
 
     known = [np.array(sorted(set(words)), np.uint32) for _, words in items]
+    rarity = [idf[k % FEATURES] for k in known]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,6 +195,8 @@ def _search(basis: np.ndarray, idf: np.ndarray, items: list[tuple[int, list[int]
                 inside = np.isin(region, known[k])
                 if inside.sum() < least:  # a common subsequence cannot be longer
                     continue
+                if rarity[k][np.isin(known[k], region)].sum() < PARAPHRASE * rarity[k].sum():  # only common words agree
+                    continue
                 region = region[inside].tolist()
                 shared = common_subsequence(wanted, region)
                 answer = wanted[-ANSWER_WORDS:]

@@ -88,7 +88,7 @@ def count_tokens(files: DataFrame, end_id: int = END_ID) -> DataFrame:
     at = at.withColumn("global", F.transform("ends", lambda e: e + F.col("start")))
     at = at.withColumns({
         "done": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)),
-        "carry": F.coalesce(F.max(F.element_at("global", -1)).over(before), F.lit(-1).cast("long")),
+        "carry": F.coalesce(F.max(F.try_element_at("global", F.lit(-1))).over(before), F.lit(-1).cast("long")),
         "last_block": F.lead("block").over(upto).isNull(),
     })
     cuts = F.concat(
