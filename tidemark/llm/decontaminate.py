@@ -45,6 +45,18 @@ def _tiled(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray,
     return table.reshape(-1, size), doc, (np.arange(len(doc)) - begin[doc]) * size
 
 
+def _summed(vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum of the vectors of each row's features, in pieces that stay in the processor's cache."""
+    out = np.empty((len(table), vectors.shape[1]), np.float32)
+    for i in range(0, len(table), 512):
+        some = table[i : i + 512]
+        total = vectors[some[:, 0]]
+        for k in range(1, some.shape[1]):
+            total += vectors[some[:, k]]
+        out[i : i + 512] = total
+    return out
+
+
 def _document_frequency(words: DataFrame) -> tuple[np.ndarray, int]:
     """How many passages hold each feature, and the number of passages. Fixed size."""
 
@@ -79,7 +91,7 @@ def _sketch(words: DataFrame, weight: np.ndarray, random: np.ndarray) -> np.ndar
             table = _tiled(*unpack(b.column("words")), PASSAGE)[0]
             for i in range(0, len(table), 1 << 13):
                 some = table[i : i + (1 << 13)]
-                latent = weighted[some].sum(axis=1)
+                latent = _summed(weighted, some)
                 flat = some.ravel()
                 order = np.argsort(flat, kind="stable")
                 borders = np.flatnonzero(np.diff(flat[order].astype(np.int32), prepend=-1))
@@ -150,7 +162,7 @@ def _search(basis: np.ndarray, idf: np.ndarray, items: list[tuple[int, list[int]
 
     def candidates(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tiles whose window is close to a passage and has words of its item, and the item."""
-        tiles = np.concatenate([basis[table[i : i + 8192]].sum(axis=1) for i in range(0, len(table) + 1, 8192)])
+        tiles = _summed(basis, table)
         padded = np.vstack([tiles, np.zeros((TILES - 1, RANK), np.float32)])
         cells = np.vstack([table, np.full((TILES - 1, TILE), FEATURES, np.uint16)])
         found = [np.zeros((2, 0), np.int64)]
