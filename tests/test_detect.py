@@ -203,3 +203,26 @@ def test_settings_per_row(spark, rng):
         a = by_series(alone, "score", "scale", "change_point", "threshold")
         b = by_series(together.where(F.col("param_id") == i), "score", "scale", "change_point", "threshold")
         assert a == b
+
+
+def test_missing_values_do_not_spread(rng):
+    x = rng.normal(size=200)
+    whole = detectors.change_scores(x[:120], 0.4, 1, 4)
+    gaps = x.copy()
+    gaps[[30, 31, 130]] = np.nan
+    scores = detectors.change_scores(gaps, 0.4, 1, 4)
+    assert np.array_equal(np.flatnonzero(np.isnan(scores)), [30, 31, 130])
+    assert np.allclose(scores[:30], whole[:30])
+    later = gaps.copy()
+    later[150:] = np.nan
+    assert np.allclose(detectors.change_scores(later, 0.4, 1, 4)[:150], scores[:150], equal_nan=True)
+
+
+def test_base_fit_uses_all_train_rows(spark):
+    from tidemark.plans.online import base_jobs
+    from tidemark.spec import GPSpec
+
+    rows = [("a", t, [float(t)], float(t % 12), 400) for t in range(450)]
+    series = spark.createDataFrame(rows, "series_id string, t long, x array<double>, y double, n_train long")
+    jobs = base_jobs(series, ["series_id"], GPSpec(kernel=(("white",),)), None).collect()
+    assert len(jobs[0].ys) == 400

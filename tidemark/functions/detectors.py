@@ -104,7 +104,16 @@ def trailing_mean(v: np.ndarray, n: int) -> np.ndarray:
 def change_scores(
     x: np.ndarray, r: float, order: int, smooth: int, density: str = "after", smooth2: int | None = None
 ) -> np.ndarray:
-    """Two-stage change score of each value; 0 until all windows are full."""
+    """Two-stage change score of each value; 0 until all windows are full.
+
+    A missing value has no score and changes nothing: the next one continues from the values before it. So a
+    score never depends on a later value.
+    """
+    missing = ~np.isfinite(x)
+    if missing.any():
+        out = np.full(len(x), np.nan)
+        out[~missing] = change_scores(x[~missing], r, order, smooth, density, smooth2)
+        return out
     smooth2 = round(smooth / 2) if smooth2 is None else smooth2
     first = trailing_mean(sdar_scores(x, r, order, density), smooth)
     second = trailing_mean(sdar_scores(first, r, order, density), smooth2)

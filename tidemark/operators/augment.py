@@ -16,10 +16,10 @@ from tidemark.session import task_count
 from tidemark.spec import OnlineSpec, SeriesSpec
 
 
-def history(rows: DataFrame, ends: DataFrame, spec: SeriesSpec, end: str, length: int) -> DataFrame:
-    """The last ``length`` rows up to each end position, as one ordered array ``rows`` per end.
+def history(rows: DataFrame, ends: DataFrame, spec: SeriesSpec, end: str, length: int | None) -> DataFrame:
+    """The last ``length`` rows (all without one) up to each end position, as one ordered array ``rows`` per end.
 
-    ``rows`` needs ``t, x, y``; the array is bounded by ``length``.
+    ``rows`` needs ``t, x, y``; the array is bounded by ``length`` where given.
     """
     groups = [c for c in ends.columns]
     slim = rows.select(*spec.keys, "t", "x", F.col(spec.target).alias("_y"))

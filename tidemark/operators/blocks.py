@@ -187,14 +187,17 @@ def expanding_moments(df: DataFrame, spec: SeriesSpec, value: str = "y", current
 
 
 def last_rows_join(
-    rows: DataFrame, ends: DataFrame, spec: SeriesSpec, end: str, length: int
+    rows: DataFrame, ends: DataFrame, spec: SeriesSpec, end: str, length: int | None
 ) -> DataFrame:
     """Range join: for each end position, the up to ``length`` rows of the series ending there.
 
     Rows are bucketed by ``length`` positions, so an end meets at most two buckets
-    and the join is an equi-join on key and bucket, however long the series is.
+    and the join is an equi-join on key and bucket, however long the series is. Without
+    ``length`` each end meets all rows up to it.
     """
     keys = list(spec.keys)
+    if length is None:
+        return rows.join(ends, keys).where(F.col("t") <= F.col(end))
     bucket = lambda c: F.floor(c / length).cast("long")
     first = F.greatest(F.col(end) - (length - 1), F.lit(0))
     wanted = ends.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(first), bucket(F.col(end))))))

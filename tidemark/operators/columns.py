@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from tidemark.spec import DUMMY_PREDICTION, SeriesSpec
 
-# More levels than this in one column is taken for a mistake, not for a category.
-MAX_LEVELS = 1_000
 
 
 def null_if_nan(c: Column) -> Column:
@@ -58,13 +56,11 @@ def condense(df: DataFrame, columns, name: str) -> DataFrame:
 
 
 def levels_of(df: DataFrame, columns) -> dict[str, list[str]]:
-    """Distinct levels of each column; keep them in the configuration for streams."""
+    """Distinct levels of each column, which become columns; keep them in the configuration for streams."""
     pairs = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("p")
     ).select("p.*")
-    rows = pairs.where(F.col("v").isNotNull()).distinct().orderBy("c", "v").limit(len(columns) * MAX_LEVELS + 1).collect()
-    if len(rows) > len(columns) * MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels per column: not categorical")
+    rows = pairs.where(F.col("v").isNotNull()).distinct().orderBy("c", "v").collect()
     return {c: [r.v for r in rows if r.c == c] for c in columns}
 
 

@@ -80,7 +80,7 @@ def _each(variants, name: str, several: bool):
 def base_jobs(
     series: DataFrame, keys, gp: GPSpec, cap: int | None, target: str = "y", chosen: DataFrame | None = None
 ) -> DataFrame:
-    """One job per key: its train rows, the last ``cap`` of them."""
+    """One job per key: its train rows, only the last ``cap`` of them if that is given."""
     train = series.where(F.col("t") < F.col("n_train")).withColumn("t_end", F.col("n_train"))
     return models.with_settings(models.training_arrays(train, keys, target, cap), gp, chosen)
 
@@ -88,12 +88,14 @@ def base_jobs(
 def refit_jobs(series: DataFrame, triggers: DataFrame, spec: SeriesSpec, online, rivals: bool) -> DataFrame:
     """Training sets ``xs, ys`` per trigger and model."""
     first = (online[0] if isinstance(online, (list, tuple)) else online).resolved(spec.season)
-    longest = max(first.max_samples, first.rival_cap, spec.season) if rivals else first.max_samples
+    longest = first.max_samples
+    if rivals:  # the rival that refits on its whole past needs all rows, unless a cap is given
+        longest = None if first.rival_cap is None else max(first.max_samples, first.rival_cap, spec.season)
     ends = triggers.select(*spec.keys, "refit_t", "scale")
     past = history(series, ends, spec, "refit_t", longest)
     jobs = augmented(past, spec, online).withColumn("model", F.lit(ONLINE))
     if rivals:
-        kinds = {RETRAIN: last_of(F.col("rows"), first.rival_cap), MOVING: last_of(F.col("rows"), spec.season)}
+        kinds = {RETRAIN: F.col("rows") if first.rival_cap is None else last_of(F.col("rows"), first.rival_cap), MOVING: last_of(F.col("rows"), spec.season)}
         options = F.array(*[F.struct(F.lit(m).alias("model"), r.alias("rows")) for m, r in kinds.items()])
         others = (
             past.withColumn("_k", F.explode(options))
@@ -129,7 +131,6 @@ def run_online(
     series = cut_lineage(series, "series")
     base_series = series if base_series is None else base_series
     base_keys = keys if base_keys is None else list(base_keys)
-    base_cap = first.max_samples if base_cap is None else base_cap
 
     state = cut_lineage(states(series, spec, online), "states")
     triggers = state.where("triggered").select(*keys, F.col("t").alias("refit_t"), "scale", "scale_old", "offset")
@@ -208,9 +209,8 @@ def periodic_refits(
     series: DataFrame, spec: SeriesSpec, gp: GPSpec, every: int, features=("x",), cap: int | None = None,
     chosen: DataFrame | None = None,
 ) -> DataFrame:
-    """Rival: refit after every ``every`` test rows on all rows so far (the last ``cap``)."""
+    """Rival: refit after every ``every`` test rows on all rows so far, or the last ``cap``."""
     keys = list(spec.keys)
-    cap = 10 * spec.season if cap is None else cap
     test = series.where(F.col("t") >= F.col("n_train"))
     done = F.floor((F.col("t") - F.col("n_train")) / every)
     in_force = F.when(done > 0, F.col("n_train") + done * every - 1).otherwise(BASE_MODEL).cast("long")
@@ -224,12 +224,11 @@ def moving_window_refits(
 ) -> DataFrame:
     """Rival: refit on a sliding window after every row, with a running correction of the bias.
 
-    The window has the length of the train part (the last ``cap`` rows of it). The
+    The window has the length of the train part (or the last ``cap`` rows of it). The
     correction is a linear recursion on past errors whose weights shrink by 0.6 per
     row, so it is a fold over a bounded frame.
     """
     keys = list(spec.keys)
-    cap = 10 * spec.season if cap is None else cap
     test = series.where(F.col("t") >= F.col("n_train"))
     in_force = F.when(F.col("t") > F.col("n_train"), F.col("t") - 1).otherwise(BASE_MODEL).cast("long")
     points = test.select(*keys, "t", "x", in_force.alias("refit_t"), "n_train")
@@ -271,7 +270,7 @@ def compare_methods(predictions: DataFrame, series: DataFrame, spec: SeriesSpec)
     )
 
 
-def _refit_often(series, points, spec: SeriesSpec, gp: GPSpec, features, cap: int, chosen, sliding: bool = False) -> DataFrame:
+def _refit_often(series, points, spec: SeriesSpec, gp: GPSpec, features, cap: int | None, chosen, sliding: bool = False) -> DataFrame:
     keys = list(spec.keys)
     # the base model of a key is its fit on the rows before the test part
     end = F.when(F.col("refit_t") == BASE_MODEL, F.col("n_train") - 1).otherwise(F.col("refit_t"))

@@ -86,7 +86,6 @@ def run_search(
     and configuration with test error, cross-validation errors and status.
     """
     keys = list(spec.keys)
-    cap = 10 * spec.season if cap is None else cap
     results = None
     for kind, rows in prepared.items():
         mine = [c for c in configs if c["dim_reduction"] == kind]
@@ -96,11 +95,12 @@ def run_search(
         # cv is FULL_FIT for the fit on all train rows, else the number of the random split
         ids = [*keys, "fold", "cv"]
         by_fold = spec.with_keys("fold")
-        train = rows.where(F.col("split") == TRAIN).where(F.col("t") >= F.col("n_train") - cap)
+        recent = F.lit(True) if cap is None else F.col("t") >= F.col("n_train") - cap
+        train = rows.where(F.col("split") == TRAIN).where(recent)
         inner = split_shuffled(
             train.drop("split").withColumnRenamed("fold", "_fold"), _renamed(by_fold)
         ).withColumnRenamed("fold", "cv").withColumnRenamed("_fold", "fold")
-        whole = rows.where((F.col("split") == TEST) | (F.col("t") >= F.col("n_train") - cap)).withColumn("cv", F.lit(FULL_FIT))
+        whole = rows.where((F.col("split") == TEST) | recent).withColumn("cv", F.lit(FULL_FIT))
         sets = cut_lineage(whole.select(*ids, "t", "x", spec.target, "split").unionByName(
             inner.select(*ids, "t", "x", spec.target, "split")), "sets")
         arrays = models.training_arrays(sets.where(F.col("split") == TRAIN), ids, spec.target)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,21 +26,14 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set to a fresh one only where it is unset.
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one inside the warehouse.
 
-    On a cluster the setting must name storage that every executor reaches.
+    Both must be storage that every executor reaches.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_folder()
-
-
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-tables"
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -137,7 +137,7 @@ class OnlineSpec:
     under_samp: bool = False
     rel_thr: float = 0.5
     rel_coef: float = 1.5
-    rival_cap: int | None = None  # max_samples when unset
+    rival_cap: int | None = None  # all rows when unset
     # whose output the "scaled" rival multiplies: the model in force, or the base model
     scale_of: str = "current"
     seed: int = 42
@@ -163,5 +163,4 @@ class OnlineSpec:
             scale_window=window,
             const_hazard=self.const_hazard_factor * season if self.const_hazard is None else self.const_hazard,
             max_samples=samples,
-            rival_cap=samples if self.rival_cap is None else self.rival_cap,
         )

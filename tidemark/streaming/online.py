@@ -71,7 +71,6 @@ def _stepper(spec, online: OnlineSpec, gp: GPSpec, n_train: int, d: int, reorder
     outputs = [f.split()[0] for f in OUTPUT.split(", ")]
     key_name = spec.keys[0]
     need = max(online.max_samples, season + burn_in_rows(online.cf_r, online.cf_order, online.cf_smooth), 2 * season + window)
-    cap = online.max_samples if base_cap is None else base_cap
 
     def fit(x, y, theta0):
         mean, std = _standard(x) if gp.standardize else (np.zeros(d), np.ones(d))
@@ -113,8 +112,9 @@ def _stepper(spec, online: OnlineSpec, gp: GPSpec, n_train: int, d: int, reorder
             if s["n"] <= n_train:
                 if s["n"] == n_train:
                     first = scores[season : at + 1]
+                    first = first[np.isfinite(first)]
                     s["threshold"] = float(np.percentile(first, online.cf_thr_perc)) if len(first) else np.inf
-                    begin = max(0, at + 1 - cap)
+                    begin = 0 if base_cap is None else max(0, at + 1 - base_cap)
                     s["train_x"], s["train_y"] = x[begin : at + 1].ravel(), y[begin : at + 1]
                     s["theta"] = s["base_theta"] = fit(x[begin : at + 1], s["train_y"], None)
                 continue
