@@ -89,18 +89,18 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.split(body, "\n"), lambda line: F.rlike(line, F.lit(WORD_CHAR))
     )
     own = [c for c in docs.columns if c not in MEASURES]
-    counts = docs.select(
-        *own,
-        let(words_of(body), lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _repeated(w).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        )).alias("_w"),
-        let(lines, lambda x: F.struct(
-            F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        )).alias("_l"),
-        F.length(F.regexp_replace(body, OTHERS, "")).cast("long").alias("n_symbols"),
-    )
+    words = let(words_of(body), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        _repeated(w).cast("long").alias("n_repeat_words"),
+        F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+    ))
+    by_line = let(lines, lambda x: F.struct(
+        F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+    ))
+    symbols = F.length(F.regexp_replace(body, OTHERS, "")).cast("long")
+    # one row per row: a filter on the verdict is not pushed below it, which would repeat the measures for every rule
+    once = F.array(F.struct(words.alias("_w"), by_line.alias("_l"), symbols.alias("n_symbols")))
+    counts = docs.select(*own, F.inline_outer(once))
     return counts.select(*own, *(F.col(source).alias(name) for name, source in MEASURES.items()))
 
 
