@@ -24,7 +24,8 @@ SHINGLE = 4
 VALUES, BITS, CHUNKS = 64, 14, 14
 DISTANCE = 27
 PERCENT = 80
-LEADERS = 3
+#: Tasks that share the documents holding one shingle.
+SALTS = 8
 _FOLD = np.uint64(0x9FB21C651E98DF25)
 _PIECE = 1 << 22
 _LONG_WORD = 1 << 13
@@ -120,7 +121,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One key for each chunk and each value of it that may be wrong."""
+    """One key for each chunk and each value of it that may be wrong; its low bits name that value."""
     tags = _seeds(VALUES)
     for b in batches:
         packed = b.column("signature").flatten().to_numpy().reshape(b.num_rows, -1)
@@ -131,7 +132,7 @@ def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = np.full(b.num_rows, tags[masked], np.uint64)
                 for k in chunk[chunk != masked]:
                     key = mix(key * _FOLD + values[:, k].astype(np.uint64))
-                keys.append(key.view(np.int64))
+                keys.append((key & ~np.uint64(VALUES - 1) | np.uint64(masked)).view(np.int64))
         node = b.column("node").to_numpy()
         yield batch(key=np.concatenate(keys), node=np.tile(node, VALUES))
 
@@ -163,10 +164,9 @@ class _Links:
         self.rows, self.nodes, self.links, self.sets = rows, nodes, links, None
         self.found = components(links)
 
-    def add(self, pairs: DataFrame) -> None:
-        """Confirm candidate pairs on their whole shingle sets."""
-        near = cut_lineage(_near(pairs, self.nodes), "near")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    def read_sets(self, wanted: DataFrame) -> bool:
+        """Have the shingle sets of the documents ``wanted (node)`` at hand; False if there are none at all."""
+        wanted = wanted.select(F.col("node").alias("doc_id")).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
         wanted = cut_lineage(wanted, "wanted")
@@ -174,33 +174,86 @@ class _Links:
             read = self.rows.join(wanted, "doc_id").mapInArrow(_sets_of, "node long, shingles array<long>")
             read = cut_lineage(read, "shingle-sets")
             self.sets = read if self.sets is None else self.sets.unionByName(read)
-        if self.sets is None:
+        return self.sets is not None
+
+    def _more(self, links: DataFrame) -> None:
+        self.links = self.links.unionByName(cut_lineage(links, "confirmed"))
+        self.found = components(self.links)
+
+    def add_pairs(self, pairs: DataFrame) -> None:
+        """Confirm candidate pairs on their whole shingle sets."""
+        near = cut_lineage(_near(pairs, self.nodes), "near")
+        if not self.read_sets(near.select(F.explode(F.array("a", "b")).alias("node"))):
             return
         a, b = self.sets.toDF("a", "sa"), self.sets.toDF("b", "sb")
         both = near.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         union = F.size("sa") + F.size("sb") - F.col("common")
-        good = both.filter(100 * F.col("common") >= PERCENT * union).select("a", "b").distinct()
-        self.links = self.links.unionByName(cut_lineage(good, "confirmed"))
-        self.found = components(self.links)
-
-    def place(self, members: DataFrame, leader: Column) -> DataFrame:
-        """The members of buckets that still hold several components, with their own and a chosen leader's component."""
-        of = self.found.select(F.col("node").alias("n"), F.col("component").alias("c"))
-        placed = members.select("key", "node").join(of, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("c", "node").alias("c"))
-        placed = cut_lineage(placed, "placed")
-        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), leader.alias("leader")).filter("lo < hi")
-        mixed = cut_lineage(mixed.select("key", "leader"), "mixed")
-        live = placed.join(mixed, "key").join(of.toDF("n", "lc"), F.col("leader") == F.col("n"), "left")
-        return cut_lineage(live.select("key", "node", "c", "leader", F.coalesce("lc", "leader").alias("lc")), "live")
+        self._more(both.filter(100 * F.col("common") >= PERCENT * union).select("a", "b").distinct())
+
+    def add_across(self, members: DataFrame) -> None:
+        """Find and confirm all links between components, inside the buckets ``members (key, node)``.
+
+        A shingle that only one component holds cannot be common to a pair looked for here. The number of other
+        shingles of a document, and the smallest set of its bucket, bound its similarity to any partner there; most documents
+        leave by that. What stays is joined on the bucket and confirmed in the join, so pairs are never rows.
+        """
+        own = self.found.select(F.col("node").alias("n"), F.col("component").alias("c"))
+        live = members.join(own, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("c", "node").alias("c"))
+        live = cut_lineage(_mixed(cut_lineage(live, "placed")), "live")
+        of = live.select("node", "c").distinct()
+        if not self.read_sets(of):
+            return
+        held = of.join(self.sets, "node").select("node", "c", F.explode("shingles").alias("s"))
+        held = cut_lineage(held, "held")
+        common = held.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+        salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+        salted = held.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        useful = salted.join(common.select("s", salts.alias("salt")), ["s", "salt"])
+        useful = useful.groupBy("node").agg(F.collect_list("s").alias("useful"))  # at most the set of one document
+        parts = of.join(useful, "node").join(self.nodes, "node")
+        parts = cut_lineage(parts.select("node", "c", "n_shingles", "signature", "useful", F.size("useful").alias("u")), "parts")
+
+        sized = live.select("key", "node").join(parts.select("node", "c", "n_shingles", "u"), "node")
+        bounds = sized.groupBy("key").agg(F.min("n_shingles").alias("least"), F.max("u").alias("most"))
+        sized = sized.join(bounds, "key").withColumn("m", F.least("u", "most"))
+        able = sized.filter(100 * F.col("m") >= PERCENT * (F.col("n_shingles") + F.greatest("least", "m") - F.col("m")))
+        able = cut_lineage(_mixed(able.select("key", "node", "c")), "able")
+        full = able.select("key", "node").join(parts, "node").select("key", "node", "c", "n_shingles", "u", "signature", "useful")
+        x, y = full.alias("x"), full.alias("y")
+        col = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
+        (na, nb), (ua, ub), (sa, sb) = col("n_shingles"), col("u"), col("signature")
+        bound = (100 + PERCENT) * F.least(ua, ub) >= PERCENT * (na + nb)
+        cheap = (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & bound
+        near = _filed_once(F.col("x.key"), sa, sb) & (distance(sa, sb) <= DISTANCE)
+        alike = (100 + PERCENT) * F.size(F.array_intersect("x.useful", "y.useful")) >= PERCENT * (na + nb)
+        confirmed = F.when(cheap, F.when(near, alike).otherwise(False)).otherwise(False)
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & confirmed)
+        self._more(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The rows of ``members (key, node, c)`` whose bucket holds several components."""
+    several = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    return members.join(several.select("key"), "key")
+
+
+def _filed_once(key: Column, a: Column, b: Column) -> Column:
+    """Of a chunk that is equal as a whole, and so filed alike under each of its values, only the first counts."""
+    masked = key.bitwiseAND(F.lit(VALUES - 1)).cast("int")
+    lane = F.floor(masked / 4).cast("int")
+    differ = F.get(a, lane).bitwiseXOR(F.get(b, lane))
+    mask = F.array(*[F.lit(((1 << BITS) - 1) << (i * (BITS + 1))) for i in range(4)])
+    wrong = differ.bitwiseAND(F.get(mask, masked % 4)) != 0
+    return wrong | masked.isin([int(chunk[0]) for chunk in np.array_split(np.arange(VALUES), CHUNKS)])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row.
 
     Linked are documents whose sets of four-word shingles share 80 of 100 or more. Documents of equal sets are one node.
-    In a few rounds each document is compared with one leader of every bucket it is in, as long as the bucket holds
-    several components; so large groups join without pairs of all with all. Buckets that then still hold several
-    are compared across components, pair by pair; pairs inside a component could not change the result.
+    Each document is first compared with one leader of every bucket it is in: the member that meets the most others,
+    as the original of many copies does; so large groups join without pairs of all with all. Buckets that then still hold several
+    components are searched for links across components (``_Links.add_across``); pairs inside a component could not change the result.
 
     Texts without words have no shingles and no links; shorter texts are one shingle. Rows with one ``doc_id`` count as one
     document. Rows without ``doc_id`` have no component and are kept. An empty table gives an empty one.
@@ -218,21 +271,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = cut_lineage(first.filter(same).select("node", "signature", "n_shingles").distinct(), "nodes")
 
     filed = nodes.select("node", "signature").mapInArrow(_file, "key long, node long")
-    buckets = filed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("top")).filter("leader < top")
-    members = cut_lineage(filed.join(cut_lineage(buckets.select("key"), "buckets"), "key"), "members")
+    buckets = filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut_lineage(filed.join(cut_lineage(buckets, "buckets"), "key"), "members")
     # a document id may stand for several classes, if rows repeat it
     again = linked.join(classes.withColumnRenamed("node", "a"), print_).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     repeated = again.join(classes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
     state = _Links(rows, nodes, cut_lineage(repeated.distinct(), "repeated"))
-    for turn in range(LEADERS):
-        leader = F.min("node") if turn == 0 else F.min_by("node", F.xxhash64("node", "key", F.lit(turn)))
-        members = state.place(members, leader)
-        state.add(members.filter("c <> lc").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
-    rest = state.place(members, F.min_by("node", F.xxhash64("node", "key", F.lit(-1))))
-    x = rest.filter("c <> lc").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    y = rest.select("key", F.col("node").alias("y"), F.col("c").alias("cy"))
-    across = x.join(y, "key").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    state.add(across)
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = members.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    led = members.join(weighed, "key").filter("node <> leader")
+    state.add_pairs(led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
+    state.add_across(members.select("key", "node"))
     found = state.found
 
     member = described.join(classes, print_, "left").join(found, "node", "left")
