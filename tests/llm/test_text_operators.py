@@ -249,6 +249,54 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def _leak_brute(item, text):
+    """The rule by definition: the best stretch of the text, with the longest common subsequence as a table."""
+
+    def common(a, b):
+        row = [0] * (len(a) + 1)
+        for w in b:
+            before = row[:]
+            for i, v in enumerate(a):
+                row[i + 1] = before[i] + 1 if v == w else max(before[i + 1], row[i])
+        return row[-1]
+
+    best = None
+    reach = 2 * len(item) + 36
+    if sum(w in item for w in text) >= 0.6 * len(item):
+        for i in range(max(1, len(text) - reach + 1)):
+            part = [w for w in text[i : i + reach] if w in item]
+            shared = common(item, part) if len(part) >= 0.6 * len(item) else 0
+            told = shared >= 0.6 * len(item) and common(item[-5:], part) >= 0.8 * len(item[-5:])
+            if shared >= 0.75 * len(item) or told:
+                best = max(best or (0.0, False), (shared / len(item), told))
+    return best
+
+
+@pytest.mark.parametrize("rarest", [False, True])
+def test_changed_items_equal_brute_force(spark, rarest):
+    r = random.Random(16)
+    items = [(i, _prose(r, r.randint(6, 60))) for i in range(20)]
+    rows, want, qualify = [], {}, 0
+    for i in range(100):
+        item = items[i % 20][1]
+        leaked = item[:]
+        places = sorted(range(len(item) - 5), key=lambda k: (item[k][0] != "w" if rarest else 0, r.random()))
+        for k in places[: round(len(item) * r.uniform(0.12, 0.35))]:
+            leaked[k] = f"w{r.randint(0, 3000)}"
+        words = _prose(r, r.randint(0, 100))
+        at = r.randint(0, len(words))
+        rows.append((i, words[:at] + leaked + words[at:]))
+        qualify += _leak_brute(item, leaked) is not None
+        for k, other in items:
+            found = _leak_brute(other, rows[-1][1])
+            if found:
+                want[i, k] = found
+    assert qualify >= 80
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(x.doc_id, x.item_id): (x.overlap, x.answer) for x in decontaminate.find_leaks(docs, bench).collect()} == want
+
+
 def test_common_subsequence():
     assert decontaminate.common_subsequence([1, 2, 3, 4], [9, 1, 3, 7, 4, 2]) == 3 and decontaminate.common_subsequence([1, 1], [1]) == 1
 

@@ -3,8 +3,9 @@
 Passages of 24 words (12 for items shorter than that) are TF-IDF vectors over hashed words (with squared IDF, so that rare words count). A randomised SVD over the passages of all documents gives a
 latent basis: ``A' A R`` for a random ``R`` is a sum over passages, added up by Spark; its size is fixed, and
 its orthonormal columns are the basis. Windows of every document are compared with the passages of the
-benchmark by cosine in the latent space; candidates are confirmed by longest common subsequence, and paraphrases
-in addition by the answer, the last words of an item.
+benchmark by cosine in the latent space. That search is approximate, so a second one adds every stretch of a document
+that shares enough of an item's rarest words; it misses nothing that the rule below accepts. Candidates of both are
+confirmed by longest common subsequence, and paraphrases in addition by the answer, the last words of an item.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, id_and_text
-from tidemark.llm.words import store_words, unpack, word_hashes
+from tidemark.llm.words import bucket_counts, store_words, unpack, word_hashes
 
 FEATURES, RANK = 1 << 13, 64
 TILE, TILES = 6, 4
@@ -28,6 +29,8 @@ WEIGHT_SHARED = 0.4
 #: Share of an item's words that must stand in a document in order: alone, or with the answer.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.6, 0.8
 ANSWER_WORDS = 5
+#: Buckets in which words are counted to tell an item's rarest words. Collisions cost time, never a leak.
+COUNTED = 1 << 16
 #: The benchmark is searched in blocks of so many items and characters, which bounds what is broadcast.
 BLOCK_ITEMS, BLOCK_CHARS = 1000, 2_000_000
 
@@ -153,7 +156,94 @@ def _passages(items: list[tuple[int, list[int]]], basis: np.ndarray, idf: np.nda
     return tiles, across, np.array(owner, np.int64), np.array(weights)
 
 
-def _search(basis: np.ndarray, idf: np.ndarray, items: list[tuple[int, list[int]]]):
+def stretch(words: int) -> int:
+    """How many words of a document are searched together for an item of so many words."""
+    return 2 * (words + TILE) + PASSAGE
+
+
+def leak(item: list[int], text: np.ndarray) -> tuple[float, bool] | None:
+    """Share of the item's words found in order within one stretch of the text, and whether the answer is; None if no
+    stretch holds the item by the rule."""
+    at = np.flatnonzero(np.isin(text, np.array(item, np.uint32)))
+    least = PARAPHRASE * len(item)
+    if len(at) < least:  # a common subsequence cannot be longer
+        return None
+    answer = item[-ANSWER_WORDS:]
+
+    def judged(some: list[int]) -> tuple[float, bool] | None:
+        shared = common_subsequence(item, some)
+        if shared < least:
+            return None
+        told = common_subsequence(answer, some) >= ANSWER * len(answer)
+        return (shared / len(item), told) if told or shared >= COPY * len(item) else None
+
+    inside = text[at].tolist()
+    found = judged(inside)
+    if found is None or at[-1] - at[0] < stretch(len(item)):
+        return found
+    ends = np.searchsorted(at, at + stretch(len(item)))
+    whole = np.diff(ends, prepend=0) > 0  # others lie within the stretch before
+    each = [judged(inside[x:y]) for x, y in enumerate(ends.tolist()) if whole[x] and y - x >= least]
+    return max((f for f in each if f), default=None)
+
+
+def _rare_words(items: list[tuple[int, list[int]]], counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rare words and the items they belong to, sorted by word; by item how many must occur together, and how close.
+
+    Of an item's n words a leak has at least m = PARAPHRASE * n in order. Leaving out any m - k of the n places leaves k
+    that the leak has, so the rarest n - m + k places are enough to find all of them.
+    """
+    words, owner, needed, reach = [], [], [], []
+    for k, (_, item) in enumerate(items):
+        least = max(1, int(np.ceil(PARAPHRASE * len(item) - 1e-6)))
+        needed.append(min(least, 2 + len(item) // 8))
+        reach.append(stretch(len(item)))
+        own = np.array(item, np.uint32)
+        rarest = own[np.argsort(counts[own % COUNTED], kind="stable")[: len(item) - least + needed[-1]]]
+        words.append(np.unique(rarest))
+        owner.append(np.full(len(words[-1]), k))
+    words, owner = np.concatenate(words), np.concatenate(owner)
+    order = np.argsort(words, kind="stable")
+    return words[order], owner[order], np.array(needed), np.array(reach)
+
+
+def _rare_stretches(words: np.ndarray, first: np.ndarray, rare: np.ndarray, owner: np.ndarray, needed: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Documents, items, first and last word (exclusive) of the surroundings in which enough rare words of an item meet."""
+    left = np.searchsorted(rare, words)
+    some = np.flatnonzero(rare[np.minimum(left, len(rare) - 1)] == words)
+    left = left[some]
+    many = np.searchsorted(rare, words[some], "right") - left
+    place = np.repeat(some, many)
+    item = owner[np.repeat(left - np.cumsum(many) + many, many) + np.arange(len(place))]
+    order = np.argsort(item, kind="stable")  # places are in order already
+    place, item = place[order], item[order]
+    doc = np.searchsorted(first, place, "right") - 1
+    last = np.arange(len(place)) + needed[item] - 1
+    i = np.flatnonzero(last < len(place))
+    j = last[i]
+    i = i[(item[i] == item[j]) & (doc[i] == doc[j]) & (place[j] - place[i] < reach[item[i]])]
+    j = last[i]
+    low = np.maximum(first[doc[i]], place[j] - reach[item[i]] + 1)
+    high = np.minimum(first[doc[i] + 1], place[i] + reach[item[i]])
+    return doc[i], item[i], low, high
+
+
+def _merged(*parts: tuple[np.ndarray, ...]) -> Iterator[tuple[int, int, int, int]]:
+    """Document, item, first and last word of all stretches; those of one document and item that overlap become one."""
+    doc, item, low, high = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((low, doc, item))
+    doc, item, low, high = doc[order], item[order], low[order], high[order]
+    span = int(high.max(initial=0)) + 1
+    group = np.cumsum(np.diff(item, prepend=-1).astype(bool) | np.diff(doc, prepend=-1).astype(bool))
+    end = np.maximum.accumulate(group * span + high) - group * span
+    new = np.ones(len(doc), bool)
+    new[1:] = (group[1:] != group[:-1]) | (low[1:] > end[:-1])
+    opens = np.flatnonzero(new)
+    closes = np.append(opens[1:], len(doc)) - 1
+    yield from zip(doc[opens].tolist(), item[opens].tolist(), low[opens].tolist(), end[closes[: len(opens)]].tolist())
+
+
+def _search(basis: np.ndarray, idf: np.ndarray, counts: np.ndarray, items: list[tuple[int, list[int]]]):
     member = np.zeros((len(items), FEATURES + 1), np.float32)
     for k, (_, words) in enumerate(items):
         features = np.array(words, np.int64) % FEATURES
@@ -181,8 +271,7 @@ def _search(basis: np.ndarray, idf: np.ndarray, items: list[tuple[int, list[int]
         both = np.unique(np.concatenate(found, axis=1), axis=1)
         return both[0], both[1]
 
-    known = [np.array(sorted(set(words)), np.uint32) for _, words in items]
-    rarity = [idf[k % FEATURES] for k in known]
+    rare = _rare_words(items, counts)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,32 +279,13 @@ def _search(basis: np.ndarray, idf: np.ndarray, items: list[tuple[int, list[int]
             table, doc, at = _tiled(words, first, TILE)
             ids, out = b.column("doc_id").to_pylist(), {}
             tile, item = candidates(table)
-            order = np.lexsort((tile, doc[tile], item))
-            tile, item = tile[order], item[order]
-            new = np.ones(len(tile), bool)  # windows of one document and item that overlap are one region
-            new[1:] = (item[1:] != item[:-1]) | (doc[tile[1:]] != doc[tile[:-1]]) | (np.diff(tile) > TILES)
-            opens = np.flatnonzero(new)
-            closes = np.append(opens[1:], len(tile)) - 1
-            for x, y in zip(opens.tolist(), closes.tolist()):
-                d, k = int(doc[tile[x]]), int(item[x])
-                wanted = items[k][1]
-                room = len(wanted) + TILE
-                low = max(first[d], first[d] + at[tile[x]] - room)
-                high = min(first[d + 1], first[d] + at[tile[y]] + PASSAGE + room)
-                region = words[low:high]
-                least = PARAPHRASE * len(wanted)
-                inside = np.isin(region, known[k])
-                if inside.sum() < least:  # a common subsequence cannot be longer
-                    continue
-                if rarity[k][np.isin(known[k], region)].sum() < PARAPHRASE * rarity[k].sum():  # only common words agree
-                    continue
-                region = region[inside].tolist()
-                shared = common_subsequence(wanted, region)
-                answer = wanted[-ANSWER_WORDS:]
-                told = common_subsequence(answer, region) >= ANSWER * len(answer)
-                if shared >= COPY * len(wanted) or (shared >= least and told):
-                    best = out.get((d, k), (0.0, False))
-                    out[d, k] = max(best, (shared / len(wanted), told))
+            room = np.array([len(w) + TILE for _, w in items], np.int64)[item]
+            begin = first[doc[tile]] + at[tile]
+            near = (doc[tile], item, np.maximum(first[doc[tile]], begin - room), np.minimum(first[doc[tile] + 1], begin + PASSAGE + room))
+            for d, k, low, high in _merged(near, _rare_stretches(words, first, *rare)):
+                found = leak(items[k][1], words[low:high])
+                if found:
+                    out[d, k] = max(out.get((d, k), (0.0, False)), found)
             if out:
                 yield batch(
                     doc_id=pa.array([ids[d] for d, _ in out], pa.int64()), item_id=pa.array([items[k][0] for _, k in out], pa.int64()),
@@ -243,14 +313,17 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[int]]]]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, overlap, answer``: documents that hold an item, word for word or paraphrased.
 
-    ``overlap`` is the share of the item's words found in order in one region of the document, ``answer`` whether its last
-    words are among them. Case and punctuation do not matter. Rows with one ``doc_id`` count as one document, a
+    ``overlap`` is the share of the item's words found in order in one stretch of the document (of twice the item's words
+    and 36 more), ``answer`` whether its last words are among them. Case and punctuation do not matter. Rows with one ``doc_id`` count as one document, a
     null id as one more; items that repeat are found each. Null and empty texts and items have no words and match nothing;
     without documents or items the result is empty.
     """
     spark = docs.sparkSession
     words = store_words(id_and_text(docs), "words")
-    basis = spark.sparkContext.broadcast(latent_basis(words))
+    counts = np.zeros(COUNTED, np.int64)
+    for row in bucket_counts(words, COUNTED).toLocalIterator():  # at most a row per bucket
+        counts[row.bucket] = row.n
+    basis = spark.sparkContext.broadcast((*latent_basis(words), counts))
     schema = "doc_id long, item_id long, overlap double, answer boolean"
     found = spark.createDataFrame([], schema)
     for items in _blocks(benchmark):
