@@ -22,6 +22,7 @@ from tidemark.llm import (  # noqa: E402
 )
 from tidemark.llm.components import components  # noqa: E402
 from tidemark.llm.oracles import ORACLES  # noqa: E402
+from tidemark.llm.words import word_hashes  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -314,6 +315,22 @@ def test_scores_prefer_held_out_text_of_the_corpus(spark):
     assert out[1002].n_tokens == 0 and out[1002].log_likelihood == 0 and out[1002].per_token is None and out[None].n_tokens == 1
 
 
+@pytest.mark.parametrize("common", [lm_score.COMMON, 10])  # words looked up, words joined
+def test_scores_tell_rare_words_of_one_class_apart(spark, monkeypatch, common):
+    monkeypatch.setattr(lm_score, "COMMON", common)
+    r = random.Random(9)
+    kind = lambda w: int(word_hashes([w])[0][0]) % lm_score.BUCKETS % lm_score.SHARED
+    one = [w for w in (f"q{i}" for i in range(400)) if kind(w) == 5]
+    seen, other, once = one[:3]
+    text = lambda w: f"f1 f2 {w} f3 f4"
+    train = [(i, " ".join(f"f{r.randrange(150)}" for _ in range(150))) for i in range(300)]
+    rows = [*train, (1000, text(seen)), (1001, text(other)), (1002, text(once)), (1003, f"{seen} " * 29), (1004, other), (1005, "?! ... é-1")]
+    out = {x.doc_id: x for x in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    score = lambda i: out[i].log_likelihood
+    assert score(1000) - score(1001) == pytest.approx(np.log(30 / 2)) and score(1001) - score(1002) == pytest.approx(np.log(2))
+    assert out[1003].n_tokens == 29 and out[1005].n_tokens == 8 and score(1005) < 0
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "line_dedup", "minhash_dedup", "decontamination", "byte_bpe"]

@@ -1,8 +1,9 @@
 """Operator 4, document scores by masked pseudo-likelihood.
 
 A small network predicts every token from the two tokens on each side: a vector for each token and place, their sum
-through tanh, a softmax over token classes. Frequent words are classes of their own, the others share classes by hash;
-word counts are taken over the whole corpus. Training passes over every document once: in each round
+through tanh, a softmax over token classes. Frequent words are classes of their own, the others share classes by hash.
+A token's probability is that of its class times that of the word within its class, from the counts of all words of the
+whole corpus; one more count per class is for words that do not occur in it. Symbols are tokens too. Training passes over every document once: in each round
 all tasks start from the same weights, train on their share with mini-batches, and Spark averages the
 weights, weighted by tokens. A document's score is the sum of the log-probabilities of its tokens.
 """
@@ -13,17 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, id_and_text
-from tidemark.llm.words import bucket_counts, store_words, unpack
+from tidemark.llm.words import store_words, unpack, word_counts
+from tidemark.session import cut_lineage
 
 BUCKETS = 1 << 16
 FREQUENT, SHARED = 96, 32
 CLASSES, NONE = FREQUENT + SHARED, FREQUENT + SHARED
 SIDE, HIDDEN = 2, 16
 ROUNDS, STEP, BATCH = 2, 0.05, 4096
+#: Words with at least one in so many tokens (so at most as many words) are looked up in tasks, all others are joined.
+COMMON = 1 << 14
 
 
 class Network:
@@ -85,16 +90,16 @@ def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack(sides, axis=1) if n else np.zeros((0, 2 * SIDE), np.int64)
 
 
-def class_table(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every bucket and share of every class; of fixed size."""
-    counts = np.zeros(BUCKETS, np.int64)
-    for row in bucket_counts(words, BUCKETS).toLocalIterator():  # at most a row per bucket
-        counts[row.bucket] = row.n
+def class_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Class of every bucket and tokens of every class; of fixed size."""
+    buckets = np.zeros(BUCKETS, np.int64)
+    sums = counts.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("n").alias("n"))
+    for row in sums.toLocalIterator():  # at most a row per bucket
+        buckets[row.bucket] = row.n
     table = FREQUENT + np.arange(BUCKETS) % SHARED
-    top = np.argsort(-counts, kind="stable")[:FREQUENT]
+    top = np.argsort(-buckets, kind="stable")[:FREQUENT]
     table[top] = np.arange(FREQUENT)
-    share = np.bincount(table, weights=counts, minlength=CLASSES) / max(1, counts.sum())
-    return table.astype(np.int64), share
+    return table.astype(np.int64), np.bincount(table, weights=buckets, minlength=CLASSES)
 
 
 def _trained(words: DataFrame, table, net: Network, turn: int, rounds: int) -> Network:
@@ -123,21 +128,27 @@ def _trained(words: DataFrame, table, net: Network, turn: int, rounds: int) -> N
     return Network(flat)
 
 
-def fit(words: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, Network]:
-    """Class table and trained network. Every document is trained on in one of the rounds."""
-    table, share = class_table(words)
-    net = Network.start(share)
+def fit(words: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, np.ndarray, Network]:
+    """Word counts, class table, tokens by class and trained network. Every document is trained on in one of the rounds."""
+    counts = cut_lineage(word_counts(words), "word-counts")
+    table, totals = class_table(counts)
+    net = Network.start(totals / max(1, totals.sum()))
     for turn in range(rounds):
         net = _trained(words, table, net, turn, rounds)
-    return table, net
+    return counts, table, totals, net
 
 
-def score_words(words: DataFrame, table: np.ndarray, net: Network) -> DataFrame:
-    shared = words.sparkSession.sparkContext.broadcast((table, net.flat))
+def score_words(words: DataFrame, counts: DataFrame, table: np.ndarray, totals: np.ndarray, net: Network) -> DataFrame:
+    """Sums of log P(class) + log P(word | class), the latter (n + [n = 0]) / (tokens of the class + 1)."""
+    common = F.col("n") * COMMON >= int(totals.sum())
+    found = sorted((row.word, row.n) for row in counts.filter(common).collect())  # at most COMMON rows
+    names = np.array([w for w, _ in found] + [1 << 32], np.int64)  # the last is no word
+    logs = np.log(np.array([n for _, n in found] + [1], float))
+    shared = words.sparkSession.sparkContext.broadcast((table, np.log(totals + 1), names, logs, net.flat))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, flat = shared.value
-        own = Network(flat)
+        table, class_logs, names, logs, flat = shared.value
+        own, row = Network(flat), TaskContext.get().partitionId() << 40
         for b in batches:
             packed, first = unpack(b.column("words"))
             classes = table[packed % BUCKETS]
@@ -146,10 +157,27 @@ def score_words(words: DataFrame, table: np.ndarray, net: Network) -> DataFrame:
             for i in range(0, len(classes), BATCH):
                 log_p = own.forward(around[i : i + BATCH])[1]
                 each[i + 1 : i + 1 + len(log_p)] = log_p[np.arange(len(log_p)), classes[i : i + BATCH]]
+            at = np.searchsorted(names, packed)
+            known = names[at] == packed
+            each[1:] += np.where(known, logs[at], 0) - class_logs[classes]
             sums = np.cumsum(each)
-            yield batch(doc_id=b.column("doc_id"), n_tokens=np.diff(first).astype(np.int64), log_likelihood=sums[first[1:]] - sums[first[:-1]])
-
-    return words.mapInArrow(score, "doc_id long, n_tokens long, log_likelihood double")
+            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            pairs, k = np.unique((doc[~known] << 32) | packed[~known].astype(np.int64), return_counts=True)
+            begin = pa.array(np.searchsorted(pairs >> 32, np.arange(len(first))), pa.int32())
+            rare = pa.StructArray.from_arrays([pa.array(pairs & 0xFFFFFFFF), pa.array(k.astype(np.int32))], names=["word", "k"])
+            yield batch(
+                row=row + np.arange(len(first) - 1), doc_id=b.column("doc_id"), n_tokens=np.diff(first).astype(np.int64),
+                log_likelihood=sums[first[1:]] - sums[first[:-1]], rare=pa.ListArray.from_arrays(begin, rare),
+            )
+            row += len(first) - 1
+
+    schema = "row long, doc_id long, n_tokens long, log_likelihood double, rare array<struct<word: long, k: int>>"
+    scored = cut_lineage(words.mapInArrow(score, schema), "scored")
+    pairs = scored.select("row", F.inline("rare"))
+    more = counts.filter(~common & (F.col("n") > 1)).select("word", F.log("n").alias("log_n"))  # 0 for words that occur once or never
+    rest = pairs.join(more, "word").groupBy("row").agg(F.sum(F.col("k") * F.col("log_n")).alias("rest"))
+    whole = F.col("log_likelihood") + F.coalesce("rest", F.lit(0.0))
+    return scored.drop("rare").join(rest, "row", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"))
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -158,6 +186,6 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Null and empty texts have no tokens, a sum of 0 and a null mean. Rows are scored one by one, so repeated rows repeat, and
     train the network as often as they occur; ids may be null. An empty table gives an empty one.
     """
-    words = store_words(id_and_text(docs), "words")
+    words = store_words(id_and_text(docs), "words", symbols=True)
     scored = score_words(words, *fit(words, rounds))
     return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

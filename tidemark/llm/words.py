@@ -17,19 +17,27 @@ _LONGEST = 1 << 13
 #: ASCII letters and digits and all other than ASCII belong to words.
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), 32]] = True
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], symbols: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the lower-case words of all texts in a row, and the n+1 places where texts begin.
 
-    Words of more than 8 KB count as several.
+    Words of more than 8 KB count as several. With ``symbols``, each character that is neither in a word nor blank is a
+    word of its own.
     """
     raw = [t.lower().encode("utf-8", "replace") + b" " for t in texts]
     offsets = np.cumsum([0, *map(len, raw)])
     text = np.frombuffer(b"".join(raw), np.uint8)
     inside = _IN_WORD[text]
     edges = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if symbols:
+        alone = ~(inside | _BLANK[text])
+        start = np.flatnonzero((edges[:-1] == 1) | alone)
+        end = np.flatnonzero((edges[1:] == -1) | alone) + 1
+    else:
+        start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if len(start) and (end - start).max() > _LONGEST:
         cuts = [np.arange(a, b, _LONGEST) for a, b in zip(start, end)]
         end = np.concatenate([np.append(c[1:], b) for c, b in zip(cuts, end)])
@@ -38,13 +46,13 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(start, offsets)
 
 
-def store_words(rows: DataFrame, name: str) -> DataFrame:
+def store_words(rows: DataFrame, name: str, symbols: bool = False) -> DataFrame:
     """``doc_id`` and ``words`` (packed little-endian hashes) of ``rows (doc_id, text)``, written to the shared folder."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, texts in slices(b.column("text"), 1024):
-                hashes, first = word_hashes(texts)
+                hashes, first = word_hashes(texts, symbols)
                 packed = [hashes[x:y].astype("<u4").tobytes() for x, y in zip(first[:-1], first[1:])]
                 yield batch(doc_id=b.column("doc_id").slice(i, len(texts)), words=pa.array(packed, pa.binary()))
 
@@ -69,3 +77,14 @@ def bucket_counts(words: DataFrame, buckets: int) -> DataFrame:
         yield batch(bucket=pa.array(some, pa.int32()), n=total[some])
 
     return words.select("words").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def word_counts(words: DataFrame) -> DataFrame:
+    """``word, n``: how often each word occurs. A row per distinct word, so the table grows with the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word, n = np.unique(unpack(b.column("words"))[0], return_counts=True)
+            yield batch(word=word.astype(np.int64), n=n.astype(np.int64))
+
+    return words.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
