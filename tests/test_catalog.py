@@ -34,3 +34,8 @@ def test_every_oracle_has_a_query():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["series_id", "model", "t", "prediction", "lower_conf", "upper_conf"] and df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["q_pivot_scenarios_by_season", "q_fold_summary_by_season"])
+def test_every_season_is_kept(spark, name):
+    assert {r.season for r in entry.queries()[name](spark, FOLDER).select("season").distinct().collect()} == {20, 50, 100}

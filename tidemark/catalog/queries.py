@@ -359,6 +359,12 @@ def q_pivot_scenarios(spark, sf):
     return rounded(metrics.pivot_scenarios(runs, range(7)))
 
 
+def q_pivot_scenarios_by_season(spark, sf):
+    """Every run: the season stays a key."""
+    runs = _runs(spark, sf).withColumn("rmse_ratio", F.col("rmse") / F.col("rmse_base"))
+    return rounded(metrics.pivot_scenarios(runs, range(7), ["param_id", "season"]))
+
+
 def q_rmse_ratio(spark, sf):
     runs = _runs(spark, sf)
     base = runs.groupBy("scenario_id", "season").agg(F.avg("rmse").alias("rmse_base"))
@@ -371,6 +377,13 @@ def q_fold_summary(spark, sf):
     return rounded(out.withColumn("folds", F.array_join(F.transform("rmse", lambda v: v.cast("long").cast("string")), ",")).drop("rmse"))
 
 
+def q_fold_summary_by_season(spark, sf):
+    """Every run: the season stays a key."""
+    runs = _runs(spark, sf).withColumnRenamed("scenario_id", "fold")
+    out = metrics.fold_summary(runs, ["param_id", "season"], prefix="")
+    return rounded(out.withColumn("folds", F.array_join(F.transform("rmse", lambda v: v.cast("long").cast("string")), ",")).drop("rmse"))
+
+
 def q_best_setting(spark, sf):
     """Best usable result row per season: lowest mean error, deviation known and not 0."""
     runs = _runs(spark, sf).groupBy("season", F.col("param_id").alias("config_id")).agg(

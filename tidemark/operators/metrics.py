@@ -55,7 +55,7 @@ def run_summary(runs: DataFrame, param: str = "param_id", group: str = "season")
     )
 
 
-def pivot_scenarios(runs: DataFrame, scenarios, param: str = "param_id", scenario: str = "scenario_id") -> DataFrame:
+def pivot_scenarios(runs: DataFrame, scenarios, param: str | list[str] = "param_id", scenario: str = "scenario_id") -> DataFrame:
     """Wide form: one column per metric and known scenario."""
     values = ("rmse", "rmse_ratio", "rmse_base")
     return runs.groupBy(param).agg(
