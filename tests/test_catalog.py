@@ -8,6 +8,7 @@ sys.path.insert(0, str(Path(__file__).parent.parent / "tools"))
 import check_oracles  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from tidemark.catalog import queries  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,3 +40,15 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["q_pivot_scenarios_by_season", "q_fold_summary_by_season"])
 def test_every_season_is_kept(spark, name):
     assert {r.season for r in entry.queries()[name](spark, FOLDER).select("season").distinct().collect()} == {20, 50, 100}
+
+
+def test_search_runs_the_documented_share(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.search, "run_search", lambda rows, spec, configs, *_, **__: seen.extend(configs))
+    queries._searched(spark, FOLDER)
+    assert len(seen) == len({c["config_id"] for c in seen}) == 1958 == int(0.1 * queries.search.grid_size())
+
+
+def test_prepared_features_are_the_defaults(spark):
+    names = entry.queries()["q_prepare"](spark, FOLDER).columns
+    assert all(f"stat_y_lag{k}" in names for k in (1, 2, 3, 4, 5, 6, 7, 14)) and "cal_Karfreitag_Counter" in names
