@@ -86,4 +86,43 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY, "op6_line_dedup": LINES, "op8_chat_format": CHATS}
+
+
+def _crc_of_nibble(value: int) -> int:
+    for _ in range(4):
+        value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)  # fixed value: the reversed polynomial of CRC-32
+    return value
+
+
+_NIBBLES = [_crc_of_nibble(i) for i in range(16)]
+
+
+def _half_byte(crc: str, nibble: str) -> str:
+    return f"xor(nibbles[(xor({crc}, {nibble}) & 15) + 1], {crc} >> 4)"
+
+
+def _highest(shards: int) -> str:
+    return f"arg_max(s, md5(coalesce(doc_id::VARCHAR, '') || '/' || s)) FILTER (WHERE s < {shards})::INT"
+
+
+SHARDS = f"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, {_NIBBLES}::BIGINT[] AS nibbles FROM documents
+), c AS (
+  SELECT r, doc_id, length(h) // 2 + 16 AS size, xor(4294967295, list_reduce(list_prepend(4294967295,
+    list_transform(regexp_extract_all(h, '..'), lambda b: ('0x' || b)::BIGINT)),
+    lambda x, b: {_half_byte(_half_byte("x", "(b & 15)"), "(b >> 4)")})) AS text_crc32
+  FROM t
+), p AS (
+  SELECT r, any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(text_crc32) AS text_crc32,
+    {_highest(40)} AS shard, {_highest(41)} AS grown_shard
+  FROM c, (SELECT unnest(range(41)) AS s) GROUP BY r
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard
+    ORDER BY md5(coalesce(doc_id::VARCHAR, '') || '/' || size || '/' || text_crc32), doc_id) - 1 AS slot, grown_shard
+FROM p
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": QUALITY, "op6_line_dedup": LINES, "op8_chat_format": CHATS, "op13_sharding": SHARDS,
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, line_dedup, lm_score, minhash, quality, suffix_dedup, token_counts, token_files
+from tidemark.llm import bpe, chat, decontaminate, line_dedup, lm_score, minhash, quality, sharding, suffix_dedup, token_counts, token_files
 from tidemark.llm.common import table
 from tidemark.session import new_table_path
 
@@ -82,9 +82,16 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
 
 
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 40 shards of equal weight, and where a 41st would leave them."""
+    rows = sharding.manifest(table(spark, folder, "documents").select("doc_id", "text"), 40, 41)
+    moved = rows.withColumn("law", F.lit("key"))
+    return moved.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_byte_bpe, op3_quality_rules, op4_lm_score, op5_minhash_dedup, op6_line_dedup, op7_token_counts, op8_chat_format, op9_token_files,
-        op10_suffix_dedup,
+        op10_suffix_dedup, op13_sharding,
     )
 }
