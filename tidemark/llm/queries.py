@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, line_dedup, lm_score, minhash, quality, sharding, suffix_dedup, token_counts, token_files
+from tidemark.llm import bpe, chat, decontaminate, line_dedup, lm_score, minhash, periodic_runs, quality, sharding, suffix_dedup, token_counts, token_files
 from tidemark.llm.common import table
 from tidemark.session import new_table_path
 
@@ -82,6 +82,17 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of all documents, a tenth of them made periodic first."""
+    docs = periodic_runs.plant_runs(table(spark, folder, "documents"))
+    found = periodic_runs.find_runs(docs).withColumn("longest", periodic_runs.longest_run(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period",
+        F.expr("longest.length * 1000 div longest.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.run_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 40 shards of equal weight, and where a 41st would leave them."""
     rows = sharding.manifest(table(spark, folder, "documents").select("doc_id", "text"), 40, 41)
@@ -92,6 +103,6 @@ def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_byte_bpe, op3_quality_rules, op4_lm_score, op5_minhash_dedup, op6_line_dedup, op7_token_counts, op8_chat_format, op9_token_files,
-        op10_suffix_dedup, op13_sharding,
+        op10_suffix_dedup, op12_periodic_runs, op13_sharding,
     )
 }
