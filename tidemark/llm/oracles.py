@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.line_dedup import MIN_CHARS, MIN_DOCS
+from tidemark.llm.phrases import COVERED_PERCENT, MIN_COUNT, TOP
 from tidemark.llm.quality import RULES, STOP_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -123,6 +124,50 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 FROM p
 """
 
+PHRASES = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), p AS (
+  SELECT d, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
+  FROM (SELECT d, lang, string_split_regex(text, '[.,;:!?\x0A-\x0D]') AS ps FROM d)
+), w AS (
+  SELECT d, i, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
+  FROM (SELECT d, i, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)
+), g AS (
+  SELECT lang, w AS p1, w || ' ' || lead(w, 1) OVER o AS p2, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS p3,
+    w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS p4
+  FROM w WINDOW o AS (PARTITION BY d, i ORDER BY pos)
+), f AS (
+  SELECT lang, 1 AS k, p1 AS phrase, count(*) AS f FROM g GROUP BY ALL
+  UNION ALL SELECT lang, 2, p2, count(*) FROM g WHERE p2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, p3, count(*) FROM g WHERE p3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, p4, count(*) FROM g WHERE p4 IS NOT NULL GROUP BY ALL
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= {MIN_COUNT}
+), cuts AS (
+  SELECT lang, k, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+), scored AS (
+  SELECT cuts.*, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f + r.f))::BIGINT AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head AND l.k = cut
+    JOIN f r ON r.lang = cuts.lang AND r.phrase = tail AND r.k = cuts.k - cut
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT DISTINCT lang, array_to_string(ws[i:i + n - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS n FROM c))
+), kept AS (
+  SELECT * FROM best WHERE NOT EXISTS (
+    SELECT 1 FROM inside x WHERE x.lang = best.lang AND x.phrase = best.phrase AND 100 * x.a >= {COVERED_PERCENT} * best.a)
+), total AS (
+  SELECT lang, count(*) AS n FROM w GROUP BY lang
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept JOIN total USING (lang)
+) WHERE rank <= {TOP}
+"""
+
 ORACLES: dict[str, str] = {
-    "op3_quality_rules": QUALITY, "op6_line_dedup": LINES, "op8_chat_format": CHATS, "op13_sharding": SHARDS,
+    "op3_quality_rules": QUALITY, "op6_line_dedup": LINES, "op8_chat_format": CHATS, "op11_phrases": PHRASES, "op13_sharding": SHARDS,
 }

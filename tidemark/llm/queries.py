@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, line_dedup, lm_score, minhash, periodic_runs, quality, sharding, suffix_dedup, token_counts, token_files
+from tidemark.llm import bpe, chat, decontaminate, line_dedup, lm_score, minhash, periodic_runs, phrases, quality, sharding, suffix_dedup, token_counts, token_files
 from tidemark.llm.common import table
 from tidemark.session import new_table_path
 
@@ -82,6 +82,12 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of every language of all documents."""
+    mined = phrases.mine_phrases(table(spark, folder, "documents").select("lang", "text"))
+    return phrases.top_phrases(mined).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of all documents, a tenth of them made periodic first."""
     docs = periodic_runs.plant_runs(table(spark, folder, "documents"))
@@ -103,6 +109,6 @@ def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_byte_bpe, op3_quality_rules, op4_lm_score, op5_minhash_dedup, op6_line_dedup, op7_token_counts, op8_chat_format, op9_token_files,
-        op10_suffix_dedup, op12_periodic_runs, op13_sharding,
+        op10_suffix_dedup, op11_phrases, op12_periodic_runs, op13_sharding,
     )
 }
