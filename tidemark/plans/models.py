@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -18,15 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import gp as numerics
+from tidemark.functions.config import explode_config
 from tidemark.operators.augment import as_arrays
 from tidemark.session import task_count
 from tidemark.spec import GPSpec
 
 CHUNK_ROWS = 2_048
+#: Starts that a row of a search fits side by side, and rows that a task gets.
+STARTS_PER_ROW, JOBS_PER_TASK = 64, 8
 DOUBLES = T.ArrayType(T.DoubleType())
 FITTED = [
     T.StructField("theta", DOUBLES),
     T.StructField("likelihood", T.DoubleType()),
+    T.StructField("converged", T.BooleanType()),
     T.StructField("x_mean", DOUBLES),
     T.StructField("x_std", DOUBLES),
     T.StructField("status", T.StringType()),
@@ -82,7 +87,7 @@ def _standard(x: np.ndarray, skip: np.ndarray):
 
 
 def fit(jobs: DataFrame, gp: GPSpec, features=("x",)) -> DataFrame:
-    """Fit every job; adds ``theta, likelihood, x_mean, x_std, status, error``.
+    """Fit every job; adds ``theta, likelihood, converged, x_mean, x_std, status, error``.
 
     Starts from ``theta0`` when the column is there, else from the kernel's start
     values. A failing job gives a row with its error and stops nothing. Columns named
@@ -97,7 +102,7 @@ def fit(jobs: DataFrame, gp: GPSpec, features=("x",)) -> DataFrame:
         for batch in batches:
             found = [_fit_one(job, skip, period, seed) for job in batch.to_dict("records")]
             out = batch.copy()
-            for name in ("theta", "likelihood", "x_mean", "x_std", "status", "error"):
+            for name in ("theta", "likelihood", "converged", "x_mean", "x_std", "status", "error"):
                 out[name] = [f[name] for f in found]
             yield out
 
@@ -107,7 +112,7 @@ def fit(jobs: DataFrame, gp: GPSpec, features=("x",)) -> DataFrame:
 
 
 def _fit_one(job: dict, skip: np.ndarray, period: int | None, seed: int) -> dict:
-    out = dict(theta=None, likelihood=None, x_mean=None, x_std=None, status="ok", error=None)
+    out = dict(theta=None, likelihood=None, converged=None, x_mean=None, x_std=None, status="ok", error=None)
     try:
         x, y, mean, std = _training_set(job["xs"], job["ys"], job["standardize"], skip)
         theta0 = job.get("theta0")
@@ -115,12 +120,152 @@ def _fit_one(job: dict, skip: np.ndarray, period: int | None, seed: int) -> dict
             kernel_of(job["kernel"]), (x - mean) / std, y, job["alpha"], job["normalize_y"],
             theta0=theta0, period=period, restarts=int(job["n_restarts"]), seed=seed,
         )
-        out |= dict(theta=fitted.theta.tolist(), likelihood=fitted.likelihood, x_mean=mean.tolist(), x_std=std.tolist())
+        out |= dict(theta=fitted.theta.tolist(), likelihood=fitted.likelihood, converged=fitted.converged, x_mean=mean.tolist(), x_std=std.tolist())
     except (ValueError, ArithmeticError, np.linalg.LinAlgError) as problem:
         out |= dict(status="failed", error=str(problem))
     return out
 
 
+def grid_rows(configs: list[dict]) -> list[dict]:
+    """Configurations by kernel as literal rows ``kernel, part, runs``, with at most ``STARTS_PER_ROW`` starts in a row.
+
+    A run is some starts of one configuration, so restarts are spread over rows as well.
+    """
+    entries: list[dict] = []
+    for kernel, group in groupby(sorted(configs, key=lambda c: (c["kernel"], c["config_id"])), lambda c: c["kernel"]):
+        runs, held = [], 0
+        for c in group:
+            first = 0
+            while first <= c["n_restarts"]:
+                starts = min(c["n_restarts"] + 1 - first, STARTS_PER_ROW - held)
+                runs.append({k: c[k] for k in ("config_id", *SETTINGS)} | {"first": first, "starts": starts})
+                first, held = first + starts, held + starts
+                if held == STARTS_PER_ROW:
+                    entries.append({"kernel": kernel, "part": len(entries), "runs": json.dumps(runs)})
+                    runs, held = [], 0
+        if runs:
+            entries.append({"kernel": kernel, "part": len(entries), "runs": json.dumps(runs)})
+    return entries
+
+
+def _spread(jobs: DataFrame, rows: int, by) -> DataFrame:
+    """Jobs over tasks of at most ``JOBS_PER_TASK``, ``rows`` of them in all."""
+    return jobs.repartition(max(task_count(jobs), -(-rows // JOBS_PER_TASK)), F.xxhash64(*by))
+
+
+def fit_grid(arrays: DataFrame, ids, configs: list[dict], gp: GPSpec, features=("x",), together: str | None = None) -> DataFrame:
+    """The best start of every configuration on every training set ``ids, xs, ys``: ``ids, config_id``, its settings, and what ``fit`` adds.
+
+    A job is one kernel with the training sets that differ only in the column ``together`` (say, the splits of a cross
+    validation; few by nature): every set has one matrix of distances, and all its configurations and starts go side by
+    side. Starts and results are those of ``fit`` for each configuration alone.
+    """
+    ids, period, seed = list(ids), gp.period, gp.seed
+    skip = np.array([f.startswith(("public", "school")) for f in features])
+    entries = grid_rows(configs)
+    groups = [c for c in ids if c != together]
+    number = F.col(together) if together else F.lit(0)
+    sets = arrays.groupBy(*groups).agg(F.collect_list(F.struct(number.cast("int").alias("number"), "xs", "ys")).alias("sets"))
+    sets = sets.select(*groups, F.col("sets.number").alias("numbers"), F.col("sets.xs").alias("xs"), F.col("sets.ys").alias("ys"))
+    jobs = explode_config(sets, entries, "kernel string, part int, runs string")
+    settings = "config_id int, kernel string, alpha double, n_restarts int, standardize boolean, normalize_y boolean"
+    found = "theta array<double>, likelihood double, converged boolean, x_mean array<double>, x_std array<double>, status string, error string"
+    own = T.StructType.fromDDL(f"number int, {settings}, part int, {found}")
+    schema = T.StructType([*(jobs.schema[c] for c in groups), *own.fields])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [dict(zip(groups, (job[c] for c in groups)), part=job["part"], **run)
+                    for job in batch.to_dict("records") for run in _fit_runs(job, skip, period, seed)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    runs = _spread(jobs, arrays.count() * len(entries), [*groups, "part"]).mapInPandas(work, schema)
+    if together:
+        runs = runs.withColumnRenamed("number", together)
+    best = F.struct(F.coalesce("likelihood", F.lit(float("-inf"))), -F.col("part"))
+    fitted = [c for c in own.names if c not in ("number", "config_id", "part")]
+    return runs.groupBy(*ids, "config_id").agg(F.max_by(F.struct(*fitted), best).alias("best")).select(*ids, "config_id", "best.*")
+
+
+def _fit_runs(job: dict, skip: np.ndarray, period: int | None, seed: int) -> list[dict]:
+    """The best start of every run on every set of a job."""
+    kernel, out = kernel_of(job["kernel"]), []
+    runs = json.loads(job["runs"])
+    sets, means, todo = [], [], []
+    for number, xs, ys in zip(job["numbers"], job["xs"], job["ys"]):
+        for standardize in sorted({r["standardize"] for r in runs}):
+            mine = [r for r in runs if r["standardize"] == standardize]
+            try:
+                x, y, mean, std = _training_set(xs, ys, standardize, skip)
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError) as problem:
+                out += [_failed_run(number, r, str(problem)) for r in mine]
+                continue
+            todo += [(number, r, len(sets)) for r in mine]
+            sets.append(((x - mean) / std, y))
+            means.append((mean, std))
+    if not todo:
+        return out
+    starts = [numerics.starts_of(kernel, period, r["n_restarts"], seed)[r["first"] : r["first"] + r["starts"]] for _, r, _ in todo]
+    each = [len(s) for s in starts]
+    spread = lambda values: np.repeat(np.array(values), each)
+    fits = numerics.fit_starts(
+        kernel, sets, spread([k for *_, k in todo]), np.concatenate(starts), spread([float(r["alpha"]) for _, r, _ in todo]),
+        spread([r["normalize_y"] for _, r, _ in todo]), period,
+    )
+    for (number, run, k), end, n in zip(todo, np.cumsum(each), each):
+        best = max(fits[end - n : end], key=lambda f: f.likelihood)
+        if not np.isfinite(best.likelihood):
+            out.append(_failed_run(number, run, "kernel matrix is not positive definite"))
+            continue
+        mean, std = means[k]
+        out.append({c: run[c] for c in ("config_id", *SETTINGS)} | dict(
+            number=number, theta=best.theta.tolist(), likelihood=best.likelihood, converged=best.converged,
+            x_mean=mean.tolist(), x_std=std.tolist(), status="ok", error=None,
+        ))
+    return out
+
+
+def _failed_run(number: int, run: dict, error: str) -> dict:
+    empty = dict(theta=None, likelihood=None, converged=None, x_mean=None, x_std=None)
+    return {c: run[c] for c in ("config_id", *SETTINGS)} | empty | dict(number=number, status="failed", error=error)
+
+
+def score_grid(points: DataFrame, fitted: DataFrame, arrays: DataFrame, ids) -> DataFrame:
+    """``ids, config_id, rmse`` of every fitted configuration on the ``points (ids, t, x, y)`` of its set.
+
+    A training set meets its points in chunks and its models by kernel; only summed errors are shuffled.
+    """
+    ids = list(ids)
+    chunks = points.groupBy(*ids, F.floor(F.col("t") / CHUNK_ROWS).alias("chunk")).agg(
+        F.collect_list(F.struct("x", "y")).alias("rows")
+    ).select(*ids, "chunk", F.flatten(F.transform("rows", lambda r: r["x"])).alias("new_x"), F.col("rows.y").alias("new_y"))
+    model = F.struct("config_id", "theta", "alpha", "normalize_y", "x_mean", "x_std")
+    models = fitted.where(F.col("status") == "ok").groupBy(*ids, "kernel").agg(F.to_json(F.collect_list(model)).alias("models"))
+    jobs = chunks.join(arrays.select(*ids, "xs", "ys"), ids).join(models, ids)
+    schema = T.StructType([*(jobs.schema[c] for c in ids), *T.StructType.fromDDL("config_id int, squares double, n long").fields])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [[*(job[c] for c in ids), *scored] for job in batch.to_dict("records") for scored in _score_models(job)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    kernels = fitted.select("kernel").distinct().count()
+    sums = _spread(jobs, arrays.count() * kernels, [*ids, "kernel", "chunk"]).mapInPandas(work, schema)
+    return sums.groupBy(*ids, "config_id").agg(
+        F.when(F.count("squares") == F.count(F.lit(1)), F.sqrt(F.sum("squares") / F.sum("n"))).alias("rmse")
+    )
+
+
+def _score_models(job: dict) -> Iterator[tuple[int, float | None, int]]:
+    """Squared errors of each model of one kernel; null where a prediction or a value is missing."""
+    kernel, y, actual = kernel_of(job["kernel"]), np.asarray(job["ys"], dtype=float), np.asarray(job["new_y"], dtype=float)
+    x, new = np.asarray(job["xs"], dtype=float).reshape(len(y), -1), np.asarray(job["new_x"], dtype=float).reshape(len(actual), -1)
+    for m in json.loads(job["models"]):
+        mean, std = np.array(m["x_mean"]), np.array(m["x_std"])
+        found, _ = numerics.predict(kernel, m["theta"], (x - mean) / std, y, m["alpha"], m["normalize_y"], (new - mean) / std)
+        yield m["config_id"], float(((found - actual) ** 2).sum()), len(actual)
+
+
 def _training_set(xs, ys, standardize: bool, skip: np.ndarray):
     y = np.asarray(ys, dtype=float)
     if len(y) == 0:
@@ -140,7 +285,7 @@ def predict(points: DataFrame, models: DataFrame, on) -> DataFrame:
     ``CHUNK_ROWS`` rows, so a model in force for very long is applied by many tasks.
     """
     on = list(on)
-    extra = [c for c in models.columns if c not in (*on, "xs", "ys", "theta0", "likelihood", "error", "status",
+    extra = [c for c in models.columns if c not in (*on, "xs", "ys", "theta0", "likelihood", "converged", "error", "status",
                                                     "theta", "x_mean", "x_std", *SETTINGS)]
     chunks = (
         points.withColumn("_chunk", F.floor(F.col("t") / CHUNK_ROWS))

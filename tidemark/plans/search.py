@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.config import explode_config
-from tidemark.operators.metrics import fold_summary, rmse
+from tidemark.operators.metrics import fold_summary
 from tidemark.operators.splits import TEST, TRAIN, split_shuffled
 from tidemark.plans import models, online
 from tidemark.session import cut_lineage
@@ -82,7 +82,7 @@ def run_search(
     """Cross-validate, fit and test every configuration on every series.
 
     ``prepared`` has model rows (``t, x, y, fold, split, n_train``) per kind of dimension reduction. Training
-    sets are built once per series, fold and kind, and then meet their configurations. Returns one row per series
+    sets are built once per series, fold and kind, and then meet their configurations by kernel. Returns one row per series
     and configuration with test error, cross-validation errors and status.
     """
     keys = list(spec.keys)
@@ -103,14 +103,13 @@ def run_search(
         whole = rows.where((F.col("split") == TEST) | recent).withColumn("cv", F.lit(FULL_FIT))
         sets = cut_lineage(whole.select(*ids, "t", "x", spec.target, "split").unionByName(
             inner.select(*ids, "t", "x", spec.target, "split")), "sets")
-        arrays = models.training_arrays(sets.where(F.col("split") == TRAIN), ids, spec.target)
-        chosen = explode_config(arrays, mine, CONFIG_SCHEMA)
-        fitted = cut_lineage(models.fit(chosen, GPSpec(period=period), features[kind]), "search-fits")
-        points = sets.where(F.col("split") == TEST)
-        predicted = models.predict(points.select(*ids, "t", "x"), fitted, ids)
-        scored = predicted.join(points.select(*ids, "t", F.col(spec.target).alias("y")), [*ids, "t"])
-        errors = rmse(scored, [*ids, "config_id"]).drop("status")
-        one_kind = fitted.drop("xs", "ys").join(errors, [*ids, "config_id"], "left").withColumn("n_features", F.lit(len(features[kind])))
+        arrays = cut_lineage(models.training_arrays(sets.where(F.col("split") == TRAIN), ids, spec.target), "training-sets")
+        fitted = cut_lineage(models.fit_grid(arrays, ids, mine, GPSpec(period=period), features[kind], together="cv"), "search-fits")
+        points = sets.where(F.col("split") == TEST).select(*ids, "t", "x", F.col(spec.target).alias("y"))
+        errors = models.score_grid(points, fitted, arrays, ids)
+        one_kind = fitted.join(errors, [*ids, "config_id"], "left").withColumns(
+            {"dim_reduction": F.lit(kind), "n_features": F.lit(len(features[kind]))}
+        )
         results = one_kind if results is None else results.unionByName(one_kind)
     results = cut_lineage(results, "search")
     settings = ["config_id", "dim_reduction", "kernel", "alpha", "n_restarts", "standardize", "normalize_y"]
