@@ -49,9 +49,12 @@ def sample_docs(seed, n=60):
     return docs
 
 
-@pytest.mark.parametrize(("block", "longest", "least", "percent"), [(1_000_000, 4, 5, 80), (25, 4, 3, 50), (1, 3, 2, 80), (40, 6, 4, 100)])
-def test_phrases_equal_plain_counts(spark, monkeypatch, block, longest, least, percent):
-    monkeypatch.setattr(phrases, "BLOCK_WORDS", block)
+@pytest.mark.parametrize(("block", "longest", "least", "percent", "lookup"), [
+    (1_000_000, 4, 5, 80, 10**6), (25, 4, 3, 50, 10**6), (1, 3, 2, 80, 0), (40, 6, 4, 100, 12),  # looked up, joined, both
+])
+def test_phrases_equal_plain_counts(spark, monkeypatch, block, longest, least, percent, lookup):
+    for name, value in (("BLOCK_WORDS", block), ("PART_PHRASES", 50), ("PART_ROWS", 7), ("LOOKUP_WORDS", lookup), ("LOOKUP_PHRASES", lookup)):
+        monkeypatch.setattr(phrases, name, value)
     docs = sample_docs(block)
     df = spark.createDataFrame([(lang, text, "x", 1, 2) for lang, text in docs], "lang string, text string, phrase string, n int, a int")
     out = phrases.mine_phrases(df.repartition(5), longest=longest, least=least, covered_percent=percent).collect()

@@ -7,11 +7,13 @@ made from the one before:
 
 1. merge-join of the relation with itself on piece and next position: a phrase of k words begins where two frequent ones of
    k - 1 words follow each other (all parts of a frequent phrase are frequent);
-2. group-count: each block counts its own phrases, Spark sums the counts of all blocks by (first part, last part);
-3. semi-join: blocks get back which of their phrases are frequent, and drop all other places before the next level.
+2. group-count: each block counts its own phrases and cuts them into parts by hash of (first part, last part), packed; Spark
+   groups by part and sums. The number of parts follows from what was counted, so a group has a bounded size;
+3. semi-join: places of phrases that are not frequent are dropped before the next level. Frequent phrases are looked up in
+   tasks while they are few (the bound is checked before), otherwise joined to the blocks.
 
-Phrases are known by the numbers of their two parts, so counts are exact, without hashes; only frequent ones carry text. A
-very common word is one row per block and key. Nothing is broadcast unless Spark finds it below its own limit.
+Phrases are known by the numbers of their two parts, so counts are exact; hashes only deal them out. Only frequent ones
+carry text. A very common phrase is one entry per block.
 
 Null text: empty. Null language: ``und``. Null or repeated ids are documents of their own. Empty table: no rows. Texts are
 whole, however long; a block is closed by the document that fills it. Other columns are ignored.
@@ -29,14 +31,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, UPPER, batch
-from tidemark.session import cut_lineage
+from tidemark.llm.spans import MULTIPLIERS, mix
+from tidemark.session import cut_lineage, new_table_path
 
 #: The ends of pieces, the language of texts without one, and the scale of the score.
 PIECE_ENDS, NO_LANGUAGE, SCALE = b".,;:!?\n\x0b\x0c\r", "und", 2_000_000
 LONGEST, MIN_COUNT, COVERED_PERCENT, TOP = 4, 30, 80, 2000
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 2_000_000
+#: Phrases that a counting group holds, on average, and rows that are numbered together.
+PART_PHRASES, PART_ROWS = 1_000_000, 500_000
+#: Frequent words or phrases are looked up in tasks up to so many rows and bytes of text, else joined.
+LOOKUP_WORDS, LOOKUP_PHRASES, LOOKUP_BYTES = 400_000, 3_000_000, 16 << 20
 _END = b"\xff"  # no byte of UTF-8
 _CLEAN = bytes.maketrans(UPPER.encode() + PIECE_ENDS, LOWER.encode() + _END * len(PIECE_ENDS))
+_PAIRS = "block long, places binary, prefix array<long>, suffix array<long>, n array<long>"
 #: The best rows of a language are taken in this many parts first.
 _PARTS = 16
 
@@ -94,15 +102,19 @@ def occurrences(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
     """The stored relation of single words: ``block, places`` and, by number, ``lang, word, n`` inside the block."""
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "block long, places binary, lang array<string>, word array<string>, n array<long>"
-    return cut_lineage(rows.mapInArrow(_pack, schema), "places")
+    return _stored(rows.mapInArrow(_pack, schema))
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases one word longer from ``block, places, frequent (number, id)``."""
-    for b in batches:
-        for block, places, frequent in zip(*(b.column(c) for c in ("block", "places", "frequent"))):
-            places = np.frombuffer(places.as_py(), "<i4")
-            number, ids = (frequent.values.field(f).to_numpy() for f in ("number", "id"))
+def _stored(relation: DataFrame) -> DataFrame:
+    path = new_table_path(relation.sparkSession, "places")
+    relation.write.option("compression", "zstd").parquet(path)
+    return relation.sparkSession.read.schema(relation.schema).parquet(path)
+
+
+def _extend(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Phrases one word longer from blocks: their places, and the numbers and ids of their frequent phrases."""
+    for block, places, number, ids in rows:
+        if len(number):
             rank = np.full(int(places.max(initial=-1)) + 2, -1, np.int64)
             rank[number] = np.arange(len(number))
             kept = rank[places]  # -1 finds the last entry, which is -1
@@ -112,39 +124,130 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             longer = np.full(len(places), -1, "<i4")
             longer[left] = phrase
             lists = [pa.array([v], pa.list_(pa.int64())) for v in (ids[pairs // len(number)], ids[pairs % len(number)], n)]
-            yield batch(block=[block.as_py()], places=pa.array([longer.tobytes()], pa.binary()), prefix=lists[0], suffix=lists[1], n=lists[2])
+            yield batch(block=[block], places=pa.array([longer.tobytes()], pa.binary()), prefix=lists[0], suffix=lists[1], n=lists[2])
 
 
-def extend(relation: DataFrame, key: list[str], frequent: DataFrame) -> DataFrame:
-    """The stored relation of the next length: ``block, places`` and, by number, ``prefix, suffix, n``."""
+def _joined(relation: DataFrame, key: list[str], frequent: DataFrame) -> DataFrame:
+    """Longer phrases where the frequent ones are too many to look up: they are joined to what the blocks hold."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, places, found in zip(*(b.column(c) for c in ("block", "places", "frequent"))):
+                number, ids = (found.values.field(f).to_numpy() for f in ("number", "id"))
+                yield from _extend([(block.as_py(), np.frombuffer(places.as_py(), "<i4"), number, ids)])
+
     own = relation.select("block", F.posexplode(F.arrays_zip(*key)).alias("number", "row")).select("block", "number", "row.*")
     known = own.join(frequent.select(*key, "id"), key).groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("frequent"))
-    rows = relation.select("block", "places").join(known, "block")
-    schema = "block long, places binary, prefix array<long>, suffix array<long>, n array<long>"
-    return cut_lineage(rows.mapInArrow(_extend, schema), "places")
+    return relation.select("block", "places").join(known, "block").mapInArrow(work, _PAIRS)
+
+
+def _looked_up(relation: DataFrame, key: list[str], frequent: DataFrame) -> DataFrame:
+    """Longer phrases with the frequent ones at hand in every task; nothing is shuffled."""
+    table = frequent.select(*key, "id").toArrow()  # bounded: see extend
+    ids = table["id"].to_numpy()
+    if key == ["lang", "word"]:
+        known = dict(zip(zip(table["lang"].to_pylist(), table["word"].to_pylist()), ids.tolist()))
+    else:
+        code = (table["prefix"].to_numpy() << 32) | table["suffix"].to_numpy()
+        order = np.argsort(code)
+        known = code[order], ids[order]
+    shared = relation.sparkSession.sparkContext.broadcast(known)
+
+    def ids_of(first: pa.Array, second: pa.Array) -> np.ndarray:
+        if key == ["lang", "word"]:
+            get = shared.value.get
+            return np.array([get(k, -1) for k in zip(first.to_pylist(), second.to_pylist())], np.int64)
+        codes, ids = shared.value
+        mine = (first.to_numpy() << 32) | second.to_numpy()
+        at = np.minimum(np.searchsorted(codes, mine), max(0, len(codes) - 1))
+        return np.where(codes[at] == mine, ids[at], -1) if len(codes) else np.full(len(mine), -1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, places, first, second in zip(*(b.column(c) for c in ("block", "places", *key))):
+                found = ids_of(first.values, second.values)
+                number = np.flatnonzero(found >= 0)
+                yield from _extend([(block.as_py(), np.frombuffer(places.as_py(), "<i4"), number, found[number])])
+
+    return relation.select("block", "places", *key).mapInArrow(work, _PAIRS)
 
 
-def _counts(relation: DataFrame, key: list[str]) -> DataFrame:
+def extend(relation: DataFrame, key: list[str], frequent: DataFrame) -> DataFrame:
+    """The stored relation of the next length: ``block, places`` and, by number, ``prefix, suffix, n``."""
+    text = F.sum(F.octet_length("word") + F.octet_length("lang")) if "word" in key else F.lit(0)
+    size = frequent.agg(F.count("*").alias("rows"), text.alias("bytes"), F.max("id").alias("id")).first()
+    few = size.rows <= (LOOKUP_WORDS if "word" in key else LOOKUP_PHRASES) and (size.bytes or 0) <= LOOKUP_BYTES
+    build = _looked_up if few and (size.id or 0) < 1 << 31 else _joined
+    return _stored(build(relation, key, frequent))
+
+
+def _word_counts(relation: DataFrame, key: list[str]) -> DataFrame:
     own = relation.select(F.explode(F.arrays_zip(*key, "n")).alias("row")).select("row.*")
     return own.groupBy(*key).agg(F.sum("n").alias("a"))
 
 
+def _phrase_counts(relation: DataFrame, least: int) -> DataFrame:
+    """``prefix, suffix, a`` of all phrases found ``least`` times or more."""
+    phrases = relation.agg(F.sum(F.size("n"))).first()[0] or 0
+    parts = int(max(1, -(-phrases // PART_PHRASES)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(b.column(c) for c in ("prefix", "suffix", "n"))):
+                prefix, suffix, n = (v.values.to_numpy() for v in row)
+                mixed = mix(prefix.astype(np.uint64) * np.uint64(MULTIPLIERS[0]) + suffix.astype(np.uint64))
+                part = (mixed % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                borders = np.flatnonzero(np.diff(part[order], prepend=-1))
+                kind = "<u4" if max(prefix.max(initial=0), suffix.max(initial=0), n.max(initial=0)) < 1 << 32 else "<u8"
+                for some in np.split(order, borders[1:]):
+                    if len(some):
+                        packed = [pa.array([v[some].astype(kind).tobytes()], pa.binary()) for v in (prefix, suffix, n)]
+                        yield batch(part=pa.array([part[some[0]]], pa.int32()), kind=[kind], prefix=packed[0], suffix=packed[1], n=packed[2])
+
+    def count(group: pa.Table) -> pa.Table:
+        kinds = group["kind"].to_pylist()
+        prefix, suffix, n = (
+            np.concatenate([np.frombuffer(v, k).astype(np.int64) for v, k in zip(group[c].to_pylist(), kinds)]) for c in ("prefix", "suffix", "n")
+        )
+        first, rank = np.unique(prefix, return_inverse=True)
+        room = int(suffix.max()) + 1
+        code = rank * room + suffix
+        order = np.argsort(code, kind="stable")
+        borders = np.flatnonzero(np.diff(code[order], prepend=-1))
+        a = np.add.reduceat(n[order], borders)
+        code, a = code[order][borders][a >= least], a[a >= least]
+        return pa.table({"prefix": first[code // room], "suffix": code % room, "a": a})
+
+    dealt = relation.select("prefix", "suffix", "n").mapInArrow(deal, "part int, kind string, prefix binary, suffix binary, n binary")
+    return dealt.groupBy("part").applyInArrow(count, "prefix long, suffix long, a long")
+
+
+def _numbered(counts: DataFrame, key: list[str]) -> DataFrame:
+    """The stored counts with an ``id`` each, from 0 and almost without gaps: rows are numbered in parts by hash."""
+    counts = cut_lineage(counts, "counts")
+    parts = max(1, -(-counts.count() // PART_ROWS))
+    part = F.pmod(F.xxhash64(*key), F.lit(parts))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*key)).cast("long") - 1
+    return counts.withColumn("part", part).withColumn("id", nth * parts + F.col("part")).drop("part")
+
+
 def frequent_words(relation: DataFrame, least: int) -> DataFrame:
     """``id, lang, word, a`` of words found ``least`` times or more, with what longer phrases take over from their parts."""
-    counts = _counts(relation, ["lang", "word"]).filter(F.col("a") >= least)
+    counts = _numbered(_word_counts(relation, ["lang", "word"]).filter(F.col("a") >= least), ["lang", "word"])
     return cut_lineage(counts.select(
-        F.monotonically_increasing_id().alias("id"), "lang", "word", F.col("word").alias("phrase"), F.col("word").alias("last"),
+        "id", "lang", "word", F.col("word").alias("phrase"), F.col("word").alias("last"),
         "a", F.array("a").alias("heads"), F.array("a").alias("tails"),
     ), "phrases")
 
 
 def frequent_phrases(relation: DataFrame, parts: DataFrame, least: int) -> DataFrame:
     """Phrases found ``least`` times or more: ``heads[i]`` counts their first i + 1 words, ``tails[i]`` their last i + 1."""
-    counts = _counts(relation, ["prefix", "suffix"]).filter(F.col("a") >= least)
+    counts = _numbered(_phrase_counts(relation, least), ["prefix", "suffix"])
     first = parts.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("begin"), "heads")
     rest = parts.select(F.col("id").alias("suffix"), "last", "tails")
     return cut_lineage(counts.join(first, "prefix").join(rest, "suffix").select(
-        F.monotonically_increasing_id().alias("id"), "lang", "prefix", "suffix", F.concat_ws(" ", "begin", "last").alias("phrase"),
+        "id", "lang", "prefix", "suffix", F.concat_ws(" ", "begin", "last").alias("phrase"),
         "last", "a", F.concat("heads", F.array("a")).alias("heads"), F.concat("tails", F.array("a")).alias("tails"),
     ), "phrases")
 
@@ -186,7 +289,7 @@ def mine_phrases(
     ``r`` times. Phrases that a longer one covers in ``covered_percent`` of their places or more are left out.
     """
     relation, key = occurrences(docs, lang, text), ["lang", "word"]
-    totals = _counts(relation, ["lang"]).withColumnRenamed("a", "n")
+    totals = _word_counts(relation, ["lang"]).withColumnRenamed("a", "n")
     levels = [frequent_words(relation, least)]
     for _ in range(2, longest + 1):
         relation, key = extend(relation, key, levels[-1]), ["prefix", "suffix"]
