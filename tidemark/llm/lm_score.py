@@ -19,14 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, id_and_text
-from tidemark.llm.words import store_words, unpack, word_counts
+from tidemark.llm.words import store_words, token_slices, word_counts
 from tidemark.session import cut_lineage
 
 BUCKETS = 1 << 16
 FREQUENT, SHARED = 96, 32
 CLASSES, NONE = FREQUENT + SHARED, FREQUENT + SHARED
 SIDE, HIDDEN = 2, 16
+_SIDES = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 ROUNDS, STEP, BATCH = 2, 0.05, 4096
+#: Tokens held at a time, whatever the size of an Arrow batch; a longer document is held alone.
+SLICE = 1 << 18
 #: Words with at least one in so many tokens (so at most as many words) are looked up in tasks, all others are joined.
 COMMON = 1 << 14
 
@@ -78,16 +81,18 @@ class Network:
         self.flat -= STEP * gradient / np.sqrt(memory + 1e-8)
 
 
-def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Classes on both sides of every token; outside its document there is none."""
-    n = len(classes)
+def surrounded(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all documents in a row with ``SIDE`` empty places around each, and the place of every token in it."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    sides = []
-    for shift in (*range(-SIDE, 0), *range(1, SIDE + 1)):
-        at = np.clip(np.arange(n) + shift, 0, max(0, n - 1))
-        outside = (doc[at] != doc) | (at != np.arange(n) + shift)
-        sides.append(np.where(outside, NONE, classes[at]))
-    return np.stack(sides, axis=1) if n else np.zeros((0, 2 * SIDE), np.int64)
+    at = np.arange(len(classes)) + SIDE * (doc + 1)
+    row = np.full(len(classes) + SIDE * len(first), NONE, classes.dtype)
+    row[at] = classes
+    return row, at
+
+
+def context(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Classes on both sides of the tokens at these places."""
+    return row[at[:, None] + _SIDES]
 
 
 def class_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +104,7 @@ def class_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     table = FREQUENT + np.arange(BUCKETS) % SHARED
     top = np.argsort(-buckets, kind="stable")[:FREQUENT]
     table[top] = np.arange(FREQUENT)
-    return table.astype(np.int64), np.bincount(table, weights=buckets, minlength=CLASSES)
+    return table.astype(np.uint8), np.bincount(table, weights=buckets, minlength=CLASSES)
 
 
 def _trained(words: DataFrame, table, net: Network, turn: int, rounds: int) -> Network:
@@ -109,14 +114,14 @@ def _trained(words: DataFrame, table, net: Network, turn: int, rounds: int) -> N
         table, flat = shared.value
         own, memory, seen = Network(flat.copy()), np.zeros(Network.size, np.float32), 0
         for b in batches:
-            packed, first = unpack(b.column("words"))
-            classes = table[packed % BUCKETS]
-            around = contexts(classes, first)
-            order = np.random.default_rng(len(classes)).permutation(len(classes))
-            for i in range(0, len(order), BATCH):
-                some = order[i : i + BATCH]
-                own.train(around[some], classes[some], memory)
-            seen += len(classes)
+            for *_, packed, first in token_slices(b.column("words"), SLICE):
+                classes = table[packed % BUCKETS]
+                row, at = surrounded(classes, first)
+                order = np.random.default_rng(len(classes)).permutation(len(classes))
+                for i in range(0, len(order), BATCH):
+                    some = order[i : i + BATCH]
+                    own.train(context(row, at[some]), classes[some], memory)
+                seen += len(classes)
         if seen:
             yield batch(i=np.arange(Network.size, dtype=np.int32), w=own.flat.astype(np.float64) * seen, n=np.full(Network.size, float(seen)))
 
@@ -150,26 +155,26 @@ def score_words(words: DataFrame, counts: DataFrame, table: np.ndarray, totals:
         table, class_logs, names, logs, flat = shared.value
         own, row = Network(flat), TaskContext.get().partitionId() << 40
         for b in batches:
-            packed, first = unpack(b.column("words"))
-            classes = table[packed % BUCKETS]
-            around = contexts(classes, first)
-            each = np.zeros(len(classes) + 1)
-            for i in range(0, len(classes), BATCH):
-                log_p = own.forward(around[i : i + BATCH])[1]
-                each[i + 1 : i + 1 + len(log_p)] = log_p[np.arange(len(log_p)), classes[i : i + BATCH]]
-            at = np.searchsorted(names, packed)
-            known = names[at] == packed
-            each[1:] += np.where(known, logs[at], 0) - class_logs[classes]
-            sums = np.cumsum(each)
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            pairs, k = np.unique((doc[~known] << 32) | packed[~known].astype(np.int64), return_counts=True)
-            begin = pa.array(np.searchsorted(pairs >> 32, np.arange(len(first))), pa.int32())
-            rare = pa.StructArray.from_arrays([pa.array(pairs & 0xFFFFFFFF), pa.array(k.astype(np.int32))], names=["word", "k"])
-            yield batch(
-                row=row + np.arange(len(first) - 1), doc_id=b.column("doc_id"), n_tokens=np.diff(first).astype(np.int64),
-                log_likelihood=sums[first[1:]] - sums[first[:-1]], rare=pa.ListArray.from_arrays(begin, rare),
-            )
-            row += len(first) - 1
+            for x, y, packed, first in token_slices(b.column("words"), SLICE):
+                classes = table[packed % BUCKETS]
+                around, place = surrounded(classes, first)
+                each = np.zeros(len(classes) + 1)
+                for i in range(0, len(classes), BATCH):
+                    log_p = own.forward(context(around, place[i : i + BATCH]))[1]
+                    each[i + 1 : i + 1 + len(log_p)] = log_p[np.arange(len(log_p)), classes[i : i + BATCH]]
+                at = np.searchsorted(names, packed)
+                known = names[at] == packed
+                each[1:] += np.where(known, logs[at], 0) - class_logs[classes]
+                sums = np.cumsum(each)
+                doc = np.repeat(np.arange(y - x), np.diff(first))
+                pairs, k = np.unique((doc[~known] << 32) | packed[~known].astype(np.int64), return_counts=True)
+                begin = pa.array(np.searchsorted(pairs >> 32, np.arange(y - x + 1)), pa.int32())
+                rare = pa.StructArray.from_arrays([pa.array(pairs & 0xFFFFFFFF), pa.array(k.astype(np.int32))], names=["word", "k"])
+                yield batch(
+                    row=row + np.arange(y - x), doc_id=b.column("doc_id").slice(x, y - x), n_tokens=np.diff(first).astype(np.int64),
+                    log_likelihood=sums[first[1:]] - sums[first[:-1]], rare=pa.ListArray.from_arrays(begin, rare),
+                )
+                row += y - x
 
     schema = "row long, doc_id long, n_tokens long, log_likelihood double, rare array<struct<word: long, k: int>>"
     scored = cut_lineage(words.mapInArrow(score, schema), "scored")

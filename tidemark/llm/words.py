@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,17 @@ def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), "<u4"), first
 
 
+def token_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows i to j of a packed column with at most so many words, or one row with more, and their words as ``unpack`` gives."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4)
+    i = 0
+    while i < len(column):
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield i, j, *unpack(column.slice(i, j - i))
+        i = j
+
+
 def bucket_counts(words: DataFrame, buckets: int) -> DataFrame:
     """``bucket, n`` over all words; every task sums up before the shuffle."""
 
