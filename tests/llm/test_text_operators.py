@@ -10,8 +10,11 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
+import tokenizers
 
 sys.path.insert(0, str(Path(__file__).parent.parent.parent / "tools"))
 
@@ -20,9 +23,10 @@ import corpus_pipeline  # noqa: E402
 from tidemark.llm import (  # noqa: E402
     bpe, chat, decontaminate, line_dedup, lm_score, minhash, quality, suffix_dedup, token_counts, token_files,
 )
+from tidemark.llm.common import id_and_text, text_slices  # noqa: E402
 from tidemark.llm.components import components  # noqa: E402
 from tidemark.llm.oracles import ORACLES  # noqa: E402
-from tidemark.llm.words import word_hashes  # noqa: E402
+from tidemark.llm.words import store_words, word_hashes  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -127,9 +131,11 @@ def test_encoded_documents_token_files_and_counts(spark, library, tmp_path):
     path = str(tmp_path / "tokens")
     token_files.write_tokens(df, public_tokenizers.path("byte_bpe_50k.json"), path)
     found = token_files.read_index(spark, path).join(token_files.checksums(spark, path), ["part", "row"]).collect()
-    at = 0
+    at, model = 0, tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    spelt = {k: model.encode(t or "", add_special_tokens=False).ids for k, t in {**dict(enumerate(texts)), None: "no id here"}.items()}
+    assert 50256 in spelt[6] and 50256 not in want[6]  # a control string in the text
     for row in sorted(found, key=lambda r: r.start):
-        ids = [*want[row.doc_id], 0]
+        ids = [*spelt[row.doc_id], 0]
         assert (row.start, row.n_tokens, row.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
 
@@ -140,6 +146,44 @@ def test_encoded_documents_token_files_and_counts(spark, library, tmp_path):
     assert {r.doc_id: r.n_tokens for r in counts.collect()} == {k: len(v) for k, v in want.items()}
 
 
+def test_encoder_equals_the_library_on_any_blanks():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = tokenizers.Tokenizer.from_file(path)
+    encoder = token_files.library_encoder(Path(path).read_text())
+    r = random.Random(5)
+    signs = [*" \n\t　 ab1,.'sé\x1c\x85", "<|endoftext|>", " the", "  ", "x" * 150]
+    texts = ["", " ", "a  <|endoftext|> b", *("".join(r.choice(signs) for _ in range(r.randrange(60))) for _ in range(800))]
+    for _ in range(2):  # new words, then words it knows
+        for i, j in text_slices(pa.array(texts), 300, 5000):
+            ids, first = encoder.encode(pa.array(texts).slice(i, j - i))
+            for k, t in enumerate(texts[i:j]):
+                assert ids[first[k] : first[k + 1]].tolist() == model.encode(t, add_special_tokens=False).ids
+
+
+def test_token_files_have_small_groups_and_page_indexes(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(token_files.WRITE_OPTIONS, "parquet.block.size", str(64 << 10))
+    monkeypatch.setitem(token_files.WRITE_OPTIONS, "parquet.page.size", str(4 << 10))
+    path = str(tmp_path / "tokens")
+    docs = [(i, " ".join(f"w{(i * 31 + k) % 97}" for k in range(400))) for i in range(1500)]
+    token_files.write_tokens(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), public_tokenizers.path("byte_bpe_50k.json"), path)
+    files = [pq.ParquetFile(f).metadata for f in Path(path).glob("*.parquet")]
+    columns = [m.row_group(g).column(c) for m in files for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    assert max(m.num_row_groups for m in files) > 1 and all(c.has_column_index and c.has_offset_index for c in columns)
+    encodings = {c.path_in_schema.split(".")[0]: set(c.encodings) for c in columns}
+    assert encodings["ids"] & {"DELTA_BINARY_PACKED", "RLE_DICTIONARY"} and "DELTA_BINARY_PACKED" in encodings["row"]
+    some = token_files.read_documents(spark, path, 700, 702).collect()
+    assert sorted(r.doc_id for r in some) == [700, 701, 702]
+    assert {r.doc_id: zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in some}.items() <= {
+        r.doc_id: r.ids_crc32 for r in token_files.read_index(spark, path).join(token_files.checksums(spark, path), ["part", "row"]).collect()
+    }.items()
+
+
+def test_flat_files_refuse_a_large_vocabulary(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_counts, "END_ID", 70_000)
+    with pytest.raises(ValueError):
+        token_counts.flat_files(documents(spark), RANKS, PATTERN, str(tmp_path / "flat"))
+
+
 def test_tokens_after_the_last_end_id_count(spark):
     block = lambda *ids: np.array(ids, "<u2").tobytes()
     files = spark.createDataFrame([(0, 0, block(1, 2)), (0, 1, block(9, 9)), (0, 2, block(3)), (0, 3, None), (1, 0, block(9))], "file int, block long, payload binary")
@@ -331,6 +375,31 @@ def test_scores_tell_rare_words_of_one_class_apart(spark, monkeypatch, common):
     assert out[1003].n_tokens == 29 and out[1005].n_tokens == 8 and score(1005) < 0
 
 
+@pytest.mark.parametrize("held", [1 << 18, 50])  # all at once, a few tokens at a time
+def test_scores_equal_a_plain_sum_over_tokens(spark, monkeypatch, held):
+    monkeypatch.setattr(lm_score, "SLICE", held)
+    r = random.Random(11)
+    rows = [(i, " ".join(f"t{int(r.expovariate(0.05))}" for _ in range(r.randrange(40)))) for i in range(120)] + [(500, None), (501, "new! one")]
+    words = store_words(id_and_text(spark.createDataFrame(rows, "doc_id long, text string")), "words", symbols=True)
+    train = words.where("doc_id < 500")
+    counts, table, totals, net = lm_score.fit(train)
+    n = {x.word: x.n for x in counts.collect()}
+    vectors, out, bias = (p.astype(float) for p in (net.vectors, net.out, net.bias))
+    got = {x.doc_id: x.log_likelihood for x in lm_score.score_words(words, counts, table, totals, net).collect()}
+    for doc_id, text in rows:
+        ids = word_hashes([text or ""], symbols=True)[0].tolist()
+        classes = [int(table[w % lm_score.BUCKETS]) for w in ids]
+        total = 0.0
+        for i, c in enumerate(classes):
+            hidden = np.zeros(lm_score.HIDDEN)
+            for k, at in enumerate((i - 2, i - 1, i + 1, i + 2)):
+                hidden += vectors[k][classes[at] if 0 <= at < len(classes) else lm_score.NONE]
+            logits = np.tanh(hidden) @ out + bias
+            total += logits[c] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+            total += np.log(max(1, n.get(ids[i], 0)) / (totals[c] + 1))
+        assert got[doc_id] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "line_dedup", "minhash_dedup", "decontamination", "byte_bpe"]

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PartEncoder, batch, id_and_text, slices, worker_store
+from tidemark.llm.common import LONG_WORD, MEMO_ENTRIES, PartEncoder, batch, id_and_text, text_slices, worker_store
 
 LEAF = 24
 WINDOW = 2
@@ -107,10 +107,31 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> tuple[ByteBPE, PartEncode
         store["key"], store["model"] = key, ByteBPE(ranks, pattern)
     model = store["model"]
 
-    def encode_all(matches: list[str]) -> list[bytes]:
-        return [np.array(model.piece(m.encode()), "<u4").tobytes() for m in matches]
+    known = store.setdefault("matches", {})
 
-    return model, PartEncoder(store, model.split, encode_all)
+    def encode_all(parts: list[str]) -> list[bytes]:
+        if len(known) > MEMO_ENTRIES:
+            known.clear()
+        out = []
+        for part in parts:
+            matches = model.split(part)
+            for m in matches:
+                if m not in known:
+                    known[m] = np.array(model.piece(m.encode()), "<u4").tobytes()
+            out.append(b"".join([known[m] for m in matches]))
+            if len(part) > LONG_WORD:
+                for m in matches:
+                    known.pop(m, None)
+        return out
+
+    return model, PartEncoder(store, encode_all)
+
+
+def packed_ids(encoder: PartEncoder, texts: pa.Array) -> list[bytes]:
+    """Little-endian 32-bit ids of each text."""
+    ids, first = encoder.encode(texts)
+    raw, at = ids.tobytes(), (4 * first).tolist()
+    return [raw[x:y] for x, y in zip(at[:-1], at[1:])]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -126,8 +147,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
         encoder = None
         for b in batches:
             encoder = encoder or _encoder(ranks.value, pattern)[1]
-            for i, texts in slices(b.column("text")):
-                yield batch(doc_id=b.column("doc_id").slice(i, len(texts)), ids=pa.array(encoder.encode(texts), pa.binary()))
+            for i, j in text_slices(b.column("text")):
+                packed = packed_ids(encoder, b.column("text").slice(i, j - i))
+                yield batch(doc_id=b.column("doc_id").slice(i, j - i), ids=pa.array(packed, pa.binary()))
 
     return id_and_text(docs).mapInArrow(encode, "doc_id long, ids binary")
 
@@ -159,10 +181,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for b in batches:
             if encoder is None:
                 model, encoder = _encoder(ranks.value, pattern)
-            for i, texts in slices(b.column("text")):
-                packed = encoder.encode(texts)
+            for i, j in text_slices(b.column("text")):
+                packed = packed_ids(encoder, b.column("text").slice(i, j - i))
                 yield batch(
-                    doc_id=b.column("doc_id").slice(i, len(texts)),
+                    doc_id=b.column("doc_id").slice(i, j - i),
                     n_tokens=pa.array([len(x) // 4 for x in packed], pa.int64()),
                     ids_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
                     decoded_sha256=pa.array(

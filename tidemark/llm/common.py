@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,66 +71,91 @@ def worker_store(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
-#: Not before a blank that follows a blank: no token of the split pattern holds a blank after a non-blank.
+#: Before a blank that follows a non-blank: no token of the split pattern holds a blank after a non-blank.
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
-_BLANK_PAIR = re.compile(r"\s ")
+#: Texts with a blank after white space of any kind (for RE2, at least all that Python calls so).
+_BLANK_PAIR = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}] "
 MEMO_ENTRIES = 900_000
 LONG_WORD = 100
 
 
-def safe_parts(text: str) -> list[str]:
-    """The text cut before each blank that follows a non-blank; all parts but the first lack that blank.
+def safe_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All parts of the texts cut before each blank that follows a non-blank, the n+1 places where texts begin, and the texts'
+    order: those with blanks in a row come last.
 
-    Tokens never cross such a place, so the parts can be encoded one by one.
+    Tokens never cross such a place, so the parts can be encoded one by one. All but the first of a text lack that blank.
     """
-    if _BLANK_PAIR.search(text) is None:
-        return text.split(" ")
-    first, *rest = _SAFE_CUT.split(text)
-    return [first, *(p[1:] for p in rest)]
+    texts = texts.cast(pa.large_string())
+    odd = pc.match_substring_regex(texts, _BLANK_PAIR)
+    lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    rows = []
+    for text in texts.filter(odd).to_pylist():
+        first, *rest = _SAFE_CUT.split(text)
+        rows.append([first, *(p[1:] for p in rest)])
+    parts = pa.concat_arrays([lists.flatten(), pa.array([p for r in rows for p in r], pa.large_string())])
+    counts = np.concatenate([pc.list_value_length(lists).to_numpy(), np.array([len(r) for r in rows], np.int64)])
+    return parts, np.concatenate([[0], np.cumsum(counts)]), np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
 
 
 class PartEncoder:
-    """Ids of whole texts as packed little-endian numbers, with a bounded memo of words already encoded.
+    """Ids of whole texts, with a bounded memo of words already encoded.
 
-    ``split`` cuts a string into the matches of the split pattern, ``encode_all`` gets distinct matches and returns the
-    packed ids of each. A part of letters only is one match with the blank before it. The memo only saves time:
-    when it is full it starts anew.
+    ``encode_all`` gets distinct parts of texts (a word with the blank before it, or the begin of a text) and returns the
+    packed little-endian ids of each. Arrow finds the distinct parts, so Python handles each once a call, and ids are put
+    together by their places. The memo only saves time: when it is full it starts anew, and very long words are not kept.
     """
 
-    def __init__(self, store: dict, split: Callable[[str], list[str]], encode_all: Callable[[list[str]], list[bytes]]):
-        self.words, self.others = store.setdefault("words", {}), store.setdefault("others", {})
-        self.split, self.encode_all = split, encode_all
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words, others = self.words, self.others
-        if len(words) + len(others) > MEMO_ENTRIES:
-            words.clear()
-            others.clear()
-        parts = [safe_parts(t) for t in texts]
-        new = set()
-        for p in parts:
-            new.update(p[1:])
-        new = [w for w in new if w not in words]
-        cuts = {w: self.split(" " + w) for w in new if not w.isalpha()}
-        heads = [self.split(p[0]) for p in parts]
-        matches = {m for cut in (*cuts.values(), *heads) for m in cut}
-        plain = {m for m in matches if m[0] == " " and m[1:].isalpha()}
-        fresh = list({w for w in new if w.isalpha()} | {m[1:] for m in plain if m[1:] not in words})
-        words.update(zip(fresh, self.encode_all([" " + w for w in fresh])))
-        rest = [m for m in matches - plain if m not in others]
-        others.update(zip(rest, self.encode_all(rest)))
-        found = {m: words[m[1:]] if m in plain else others[m] for m in matches}
-        for w, cut in cuts.items():  # for this call only
-            words[w] = b"".join([found[m] for m in cut])
-        get = words.__getitem__
-        out = [b"".join([*(found[m] for m in h), *map(get, p[1:])]) for h, p in zip(heads, parts)]
-        for w in (*cuts, *(w for w in fresh if len(w) > LONG_WORD)):
-            words.pop(w, None)
-        for m in rest:
-            if len(m) > LONG_WORD:
-                del others[m]
+    def __init__(self, store: dict, encode_all: Callable[[list[str]], list[bytes]]):
+        self.memo, self.encode_all = store.setdefault("memo", {}), encode_all
+
+    def _packed(self, parts: list[str]) -> list[bytes]:
+        memo = self.memo
+        if len(memo) > MEMO_ENTRIES:
+            memo.clear()
+        new = list(dict.fromkeys([p for p in parts if p not in memo]))
+        memo.update(zip(new, self.encode_all(new)))
+        out = list(map(memo.__getitem__, parts))
+        for p in new:
+            if len(p) > LONG_WORD:
+                del memo[p]
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the n+1 places where texts begin."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        parts, first, order = safe_parts(texts)
+        coded = parts.dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        heads = parts.take(pa.array(first[:-1])).dictionary_encode()
+        code[first[:-1]] = heads.indices.to_numpy() + len(words)
+        packed = self._packed([" " + w for w in words] + heads.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        each = sizes[code]
+        ends = np.cumsum(each)
+        shift = (np.cumsum(sizes) - sizes)[code]
+        shift -= ends - each
+        at = np.repeat(shift, each)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(packed), "<u4")[at]
+        borders = np.concatenate([[0], ends[first[1:] - 1]])
+        if (np.diff(order) > 0).all():
+            return ids, borders
+        place = np.argsort(order)
+        sizes = np.diff(borders)[place]
+        return np.concatenate([ids[a : a + n] for a, n in zip(borders[place], sizes)]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def text_slices(column: pa.Array, most: int = 2048, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Rows i to j of a text column, bounded in number and, unless it is one row, in bytes."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(column):
+        before = ends[i - 1] if i else 0
+        j = min(len(column), i + most, max(i + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield i, j
+        i = j
+
 
 def slices(column: pa.Array, most: int = 512) -> Iterator[tuple[int, list[str]]]:
     """The texts of a column, some at a time."""

@@ -79,7 +79,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:

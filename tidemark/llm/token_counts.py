@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import _encoder, read_ranks
-from tidemark.llm.common import batch, id_and_text, slices
+from tidemark.llm.common import batch, id_and_text, text_slices
 
 END_ID = 50256
 BLOCK_IDS = 1 << 16
@@ -30,8 +30,10 @@ def flat_files(docs: DataFrame, ranks_path: str, pattern: str, path: str, block_
     A second kind of row (``payload`` null) lists the ``doc_ids`` that went into a block, to label results; the
     scan does not read it.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    tail = np.array([END_ID], ID_TYPE).tobytes()
+    table = read_ranks(ranks_path)
+    if max(*table.values(), END_ID) > np.iinfo(ID_TYPE).max:
+        raise ValueError("the vocabulary does not fit the ids of flat files")
+    ranks = docs.sparkSession.sparkContext.broadcast(table)
     size = block_ids * np.dtype(ID_TYPE).itemsize
     schema = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
 
@@ -48,11 +50,11 @@ def flat_files(docs: DataFrame, ranks_path: str, pattern: str, path: str, block_
         for b in batches:
             encoder = encoder or _encoder(ranks.value, pattern)[1]
             doc_ids = b.column("doc_id").to_pylist()
-            for i, texts in slices(b.column("text")):
-                for packed in encoder.encode(texts):
-                    rest += np.frombuffer(packed, "<u4").astype(ID_TYPE).tobytes() + tail
+            for i, j in text_slices(b.column("text")):
+                ids, first = encoder.encode(b.column("text").slice(i, j - i))
+                rest += np.insert(ids.astype(ID_TYPE), first[1:], END_ID).tobytes()
                 full = len(rest) // size
-                yield rows([bytes(rest[k * size : (k + 1) * size]) for k in range(full)], block, doc_ids[i : i + len(texts)])
+                yield rows([bytes(rest[k * size : (k + 1) * size]) for k in range(full)], block, doc_ids[i:j])
                 del rest[: full * size]
                 block, labels = block + full, labels + 1
         if rest:

@@ -15,11 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PartEncoder, batch, id_and_text, slices, worker_store
+from tidemark.llm.common import PartEncoder, batch, id_and_text, text_slices, worker_store
 
 END_ID = 0
-#: Fixed value: the split of byte-level BPE. A match encoded alone gives the ids it has inside a text.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Row groups of 16 MB and pages of 64 KB; the column index is written by default.
 WRITE_OPTIONS = {
     "parquet.block.size": str(16 << 20), "parquet.page.size": str(64 << 10), "parquet.writer.version": "PARQUET_2_0",
@@ -28,26 +26,27 @@ WRITE_OPTIONS = {
 
 
 def library_encoder(json_text: str) -> PartEncoder:
-    """Ids by the ``tokenizers`` library; control strings inside a text are ordinary text."""
+    """Ids by the ``tokenizers`` library, as it gives them without adding special tokens; those that a text spells out count.
+
+    The tokenizer must split as byte-level BPE does: before a blank that follows a non-blank, whatever stands around.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import regex
     from tokenizers import Tokenizer
 
     store = worker_store("library")
     if store.get("json") != json_text:
         store.clear()
         store["json"], store["model"] = json_text, Tokenizer.from_str(json_text)
-        store["model"].encode_special_tokens = True
     model = store["model"]
 
-    def encode_all(matches: list[str]) -> list[bytes]:
+    def encode_all(parts: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(matches), 4096):
-            encoded = model.encode_batch_fast(matches[i : i + 4096], add_special_tokens=False)
+        for i in range(0, len(parts), 4096):
+            encoded = model.encode_batch_fast(parts[i : i + 4096], add_special_tokens=False)
             out += [np.array(e.ids, "<u4").tobytes() for e in encoded]
         return out
 
-    return PartEncoder(store, regex.compile(PATTERN).findall, encode_all)
+    return PartEncoder(store, encode_all)
 
 
 def tokenize(docs: DataFrame, json_path: str, end_id: int | None = END_ID) -> DataFrame:
@@ -57,17 +56,17 @@ def tokenize(docs: DataFrame, json_path: str, end_id: int | None = END_ID) -> Da
     """
     with open(json_path) as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for b in batches:
             encoder = encoder or library_encoder(model.value)
-            for i, texts in slices(b.column("text")):
-                packed = [x + tail for x in encoder.encode(texts)]
-                ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                yield batch(doc_id=b.column("doc_id").slice(i, len(texts)), ids=ids)
+            for i, j in text_slices(b.column("text")):
+                ids, first = encoder.encode(b.column("text").slice(i, j - i))
+                if end_id is not None:
+                    ids, first = np.insert(ids, first[1:], end_id), first + np.arange(j - i + 1)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.view("<i4")))
+                yield batch(doc_id=b.column("doc_id").slice(i, j - i), ids=lists)
 
     return id_and_text(docs).mapInArrow(encode, "doc_id long, ids array<int>")
 
@@ -94,6 +93,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return running.join(offsets, "part").select("part", "row", "doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens")
 
 
+def read_documents(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """``doc_id, ids`` of the documents ``first`` to ``last``; statistics of files, row groups and pages skip the others."""
+    return spark.read.parquet(path).where(F.col("doc_id").between(first, last)).select("doc_id", "ids")
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """``part, row`` and the crc32 of each document's ids as little-endian 32-bit numbers, read from the files."""
 
