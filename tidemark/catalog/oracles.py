@@ -345,3 +345,15 @@ ORACLES["q_kernel_grid"] = f"""WITH base(i, n) AS {_B}, g AS ({_KERNELS})
 ORACLES["q_csv_roundtrip"] = f"WITH {SHIPMENTS} SELECT series_id, strftime(ts, '%Y-%m-%d') AS day, {r('y')} AS y, {r('y / 8')} AS eighth FROM s"
 ORACLES["q_results_roundtrip"] = f"""WITH {RUNS} SELECT param_id, CAST(scenario_id AS INT) AS scenario_id, CAST(season AS INT) AS season, {r('rmse')} AS rmse,
     {r('rmse_base')} AS rmse_base, n_cps, n_refits FROM runs"""
+
+ORACLES["q_gpr_inducing"] = f"""WITH {SHIPMENTS},
+    k AS (SELECT *, exp(-0.5 * pow((t / 100.0 - 5) / 2, 2)) k1, exp(-0.5 * pow((t / 100.0 - 15) / 2, 2)) k2, exp(-12.5) c FROM s),
+    g AS (SELECT series_id, count(*) n, avg(y) m, stddev_pop(y) sd, sum(k1 * k1) + 0.5 a11, sum(k1 * k2) + 0.5 * any_value(c) a12,
+              sum(k2 * k2) + 0.5 a22, sum(k1 * y) b1, sum(k2 * y) b2, sum(k1) s1, sum(k2) s2 FROM k GROUP BY 1),
+    w AS (SELECT *, (b1 - m * s1) / sd p1, (b2 - m * s2) / sd p2, a11 * a22 - a12 * a12 det FROM g),
+    f AS (SELECT k.series_id, t, n, ((a22 * p1 - a12 * p2) * k1 + (a11 * p2 - a12 * p1) * k2) / det * sd + m prediction,
+              1.96 * sd * sqrt(greatest(1 - (k1 * k1 - 2 * c * k1 * k2 + k2 * k2) / (1 - c * c)
+                  + 0.5 * (a22 * k1 * k1 - 2 * a12 * k1 * k2 + a11 * k2 * k2) / det, 0)) half
+          FROM k JOIN w ON k.series_id = w.series_id)
+    SELECT series_id, t, {r("prediction", 4)} prediction, {r("prediction - half", 4)} lower_conf, {r("prediction + half", 4)} upper_conf,
+        'inducing' AS method, n AS rows_used FROM f"""

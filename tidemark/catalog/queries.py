@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from tidemark.operators.blocks import (
 )
 from tidemark.operators.quantiles import exact_quantile
 from tidemark.operators.response import respond
-from tidemark.plans import models, online, prepare, scenario, search
+from tidemark.plans import inducing, models, online, prepare, scenario, search
 from tidemark.session import cut_lineage, new_table_path
 from tidemark.sources import csv_series
 from tidemark.sources.tables import (
@@ -542,6 +543,16 @@ def q_gpr_fit_predict(spark, sf):
     return rounded(models.predict(series.select("series_id", "t", "x"), base, KEY), 2)
 
 
+def q_gpr_inducing(spark, sf):
+    """Daily shipments by two inducing points with given parameters; every row of a series is in its sums."""
+    rows = shipments_daily(spark, sf).withColumn("x", F.array(F.col("t") / 100.0))
+    gp = GPSpec(kernel=(("rbf",),), alpha=0.5)
+    given = inducing.given_models(rows, DAILY, gp, [math.log(2.0)], [[5.0], [15.0]])
+    solved = cut_lineage(inducing.solve(given, inducing.gram_sums(rows, DAILY, given), DAILY), "inducing")
+    found = inducing.predict(rows.select("series_id", "t", "x"), solved, KEY)
+    return rounded(found.join(solved.select("series_id", "method", "rows_used"), "series_id"), 4)
+
+
 def q_gpr_insample(spark, sf):
     """Errors in and out of sample of the fitted models."""
     series = cut_lineage(online.with_n_train(_timed(revenue_monthly(spark, sf)), MONTHLY, TRAIN_SHARE), "series")
