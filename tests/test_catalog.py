@@ -44,11 +44,32 @@ def test_every_season_is_kept(spark, name):
 
 def test_search_runs_the_documented_share(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(queries.search, "run_search", lambda rows, spec, configs, *_, **__: seen.extend(configs))
-    queries._searched(spark, FOLDER)
+    monkeypatch.setattr(queries.search, "run_search", lambda rows, spec, configs, *_, **__: seen.extend(configs) or spark.range(0))
+    queries._searched.__wrapped__(spark, FOLDER)
     assert len(seen) == len({c["config_id"] for c in seen}) == 1958 == int(0.1 * queries.search.grid_size())
 
 
 def test_prepared_features_are_the_defaults(spark):
     names = entry.queries()["q_prepare"](spark, FOLDER).columns
     assert all(f"stat_y_lag{k}" in names for k in (1, 2, 3, 4, 5, 6, 7, 14)) and "cal_Karfreitag_Counter" in names
+
+
+def test_entry_without_what_only_the_text_operators_need(monkeypatch):
+    import importlib
+
+    gone = ("tidemark.llm", "corpus_pipeline", "public_tokenizers")
+    for name in [m for m in sys.modules if m.startswith(gone)]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    try:
+        bare = importlib.reload(entry)
+        assert bare.text_queries is None and bare.corpus_pipeline is None and "q_lags" in bare.queries()
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
+
+
+def test_entry_does_not_hide_other_missing_modules(monkeypatch):
+    monkeypatch.setattr(entry, "OPTIONAL", ("nothing",))
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("tidemark.llm_missing")

@@ -249,11 +249,14 @@ def test_heat_map_cells(spark, factors, counts):
     assert (got["run"], got["infeasible"], got["no-op"]) == counts
 
 
-@pytest.mark.parametrize("slope, factor", [(0.2, 2.0), (0.4, 3.0)])
-def test_position_cells(spark, slope, factor):
-    series = series_frame(spark, {"a": [1.0] * 250}).withColumn("n_train", F.lit(150).cast("long"))
-    cells = scenario.position_cells(series, SeriesSpec(season=50), slope, factor)
-    assert cells.select("start_off", "end_off").distinct().count() == 55
+@pytest.mark.parametrize("slope, factor, step, shortest", [(0.2, 2.0, 10, 1), (0.4, 3.0, None, 1), (0.1, 2.5, 5, 40), (0.2, 1.0, 25, 30)])
+def test_position_cells(spark, slope, factor, step, shortest):
+    series = series_frame(spark, {"a": [1.0] * 250, "b": [1.0] * 150}).withColumn("n_train", F.lit(150).cast("long"))
+    cells = scenario.position_cells(series, SeriesSpec(season=50), slope, factor, step, shortest)
+    by, climb = step or 10, math.floor(round(abs(factor - 1), 3) / slope + 1e-9)
+    want = {(s, e) for s in range(0, 101, by) for e in range(s + by, 101, by) if e - s >= max(shortest, 2 * climb)}
+    found = [(r.start_off, r.end_off) for r in cells.where("t = 0").collect()]
+    assert len(found) == len(set(found)) and set(found) == want and cells.where("series_id = 'b'").count() == 0
 
 
 def test_draws():

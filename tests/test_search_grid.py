@@ -103,3 +103,27 @@ def test_scores_equal_joined_predictions(spark, sets, monkeypatch):
     assert len(got) == len(want) == 12
     for r in want:
         assert got[r.series_id, r.config_id] == (None if r.gaps else pytest.approx(r.rmse))
+
+
+def test_rows_of_failed_fits_stay(spark):
+    """A series whose fit fails and one without train rows keep their predictions' rows, and their place in the comparison."""
+    from tidemark.plans import online
+    from tidemark.spec import OnlineSpec, SeriesSpec
+
+    spec = SeriesSpec(season=4)
+    rows = [("good", t, 10.0 + t % 4 + 0.01 * t, [float(t)], 30) for t in range(40)]
+    rows += [("broken", t, 5.0 + t % 4, [float("nan") if t < 30 else float(t)], 30) for t in range(40)]
+    rows += [("late", t, 3.0, [float(t)], 0) for t in range(6)]
+    series = spark.createDataFrame(rows, "series_id string, t long, y double, x array<double>, n_train long")
+    gp_spec = GPSpec(kernel=(("rbf",), ("white",)))
+    run = online.run_online(series, spec, OnlineSpec(), gp_spec)
+    found = {(r.series_id, r.model): (r.n, r.known) for r in run.predictions.groupBy("series_id", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.count("prediction").alias("known")).collect()}
+    assert found["good", "base"] == (10, 10) and found["broken", "base"] == (10, 0) and found["late", "base"] == (6, 0)
+    assert found["broken", "online"][0] == 10 and found["late", "online"][0] == 6
+    often = online.periodic_refits(series, spec, gp_spec, 2)
+    counts = {r.series_id: (r.n, r.known) for r in often.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("prediction").alias("known")).collect()}
+    assert counts["good"] == (10, 10) and counts["broken"] == (10, 0) and counts["late"][0] == 6
+    compared = {r.series_id: r for r in online.compare_methods(run.predictions, series, spec).collect()}
+    assert set(compared) == {"good", "broken", "late"} and compared["broken"].rmse_base is None and compared["good"].rmse_base > 0

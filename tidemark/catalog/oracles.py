@@ -243,16 +243,11 @@ ORACLES["q_run_summary"] = f"""WITH {RUNS} SELECT param_id, season, """ + ", ".j
     [f"{r(f'avg({v})', 5)} AS {v}_mean, {r(f'stddev_pop({v})', 5)} AS {v}_std" for v in _VALUES]
 ) + f""", CAST(sum(n_cps) AS BIGINT) AS n_cps, CAST(sum(n_refits) AS BIGINT) AS n_refits, {r('median(rmse_ratio)', 5)} AS rmse_ratio_median
     FROM rr GROUP BY GROUPING SETS ((param_id, season), (param_id))"""
-ORACLES["q_pivot_scenarios"] = f"WITH {RUNS} SELECT param_id, " + ", ".join(
-    f"{r(f'max(CASE WHEN scenario_id = {s} THEN {v} END)')} AS {v}_scen{s}" for v in _VALUES for s in range(7)
-) + " FROM rr WHERE season = 20 GROUP BY 1"
 ORACLES["q_pivot_scenarios_by_season"] = f"WITH {RUNS} SELECT param_id, CAST(season AS INT) AS season, " + ", ".join(
     f"{r(f'max(CASE WHEN scenario_id = {s} THEN {v} END)')} AS {v}_scen{s}" for v in _VALUES for s in range(7)
 ) + " FROM rr GROUP BY 1, 2"
 ORACLES["q_rmse_ratio"] = f"""WITH {RUNS}, b AS (SELECT scenario_id, season, avg(rmse) m FROM runs GROUP BY 1, 2)
     SELECT param_id, CAST(scenario_id AS INT) AS scenario_id, CAST(season AS INT) AS season, {r('rmse / m')} AS rmse_ratio FROM runs JOIN b USING (scenario_id, season)"""
-ORACLES["q_fold_summary"] = f"""WITH {RUNS} SELECT param_id, {r('avg(rmse)')} AS rmse_mean, {r('stddev_pop(rmse)')} AS rmse_std,
-    string_agg(CAST(CAST(rmse AS BIGINT) AS VARCHAR), ',' ORDER BY scenario_id) AS folds FROM runs WHERE season = 50 GROUP BY 1"""
 ORACLES["q_fold_summary_by_season"] = f"""WITH {RUNS} SELECT param_id, CAST(season AS INT) AS season, {r('avg(rmse)')} AS rmse_mean, {r('stddev_pop(rmse)')} AS rmse_std,
     string_agg(CAST(CAST(rmse AS BIGINT) AS VARCHAR), ',' ORDER BY scenario_id) AS folds FROM runs GROUP BY 1, 2"""
 ORACLES["q_best_setting"] = f"""WITH {RUNS}, c AS (SELECT season, param_id, avg(rmse) m, stddev_pop(rmse) d FROM runs GROUP BY 1, 2),

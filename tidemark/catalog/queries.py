@@ -356,11 +356,6 @@ def q_run_summary(spark, sf):
     return rounded(metrics.run_summary(runs), 5)
 
 
-def q_pivot_scenarios(spark, sf):
-    runs = _runs(spark, sf).where(F.col("season") == 20).withColumn("rmse_ratio", F.col("rmse") / F.col("rmse_base"))
-    return rounded(metrics.pivot_scenarios(runs, range(7)))
-
-
 def q_pivot_scenarios_by_season(spark, sf):
     """Every run: the season stays a key."""
     runs = _runs(spark, sf).withColumn("rmse_ratio", F.col("rmse") / F.col("rmse_base"))
@@ -373,12 +368,6 @@ def q_rmse_ratio(spark, sf):
     return rounded(metrics.rmse_ratio(runs.drop("rmse_base"), base, ["scenario_id", "season"]).select("param_id", "scenario_id", "season", "rmse_ratio"))
 
 
-def q_fold_summary(spark, sf):
-    runs = _runs(spark, sf).where(F.col("season") == 50).withColumnRenamed("scenario_id", "fold")
-    out = metrics.fold_summary(runs, ["param_id"], prefix="")
-    return rounded(out.withColumn("folds", F.array_join(F.transform("rmse", lambda v: v.cast("long").cast("string")), ",")).drop("rmse"))
-
-
 def q_fold_summary_by_season(spark, sf):
     """Every run: the season stays a key."""
     runs = _runs(spark, sf).withColumnRenamed("scenario_id", "fold")
@@ -539,7 +528,7 @@ def _timed(df):
 
 def q_gpr_fit_predict(spark, sf):
     series = cut_lineage(online.with_n_train(_timed(supplier_monthly(spark, sf)), MONTHLY, TRAIN_SHARE), "series")
-    base = models.fit(online.base_jobs(series, KEY, SEASONAL_GP, 120), SEASONAL_GP)
+    base = models.fit(online.base_jobs(series, KEY, SEASONAL_GP, None), SEASONAL_GP)
     return rounded(models.predict(series.select("series_id", "t", "x"), base, KEY), 2)
 
 
@@ -556,7 +545,7 @@ def q_gpr_inducing(spark, sf):
 def q_gpr_insample(spark, sf):
     """Errors in and out of sample of the fitted models."""
     series = cut_lineage(online.with_n_train(_timed(revenue_monthly(spark, sf)), MONTHLY, TRAIN_SHARE), "series")
-    base = models.fit(online.base_jobs(series, KEY, SEASONAL_GP, 120), SEASONAL_GP)
+    base = models.fit(online.base_jobs(series, KEY, SEASONAL_GP, None), SEASONAL_GP)
     predicted = models.predict(series.select("series_id", "t", "x"), base, KEY)
     part = F.when(F.col("t") < F.col("n_train"), "train").otherwise("test").alias("part")
     return rounded(metrics.rmse(predicted.join(series.select("series_id", "t", "y", "n_train"), ["series_id", "t"])

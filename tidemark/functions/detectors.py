@@ -11,8 +11,6 @@ CHUNK = 64
 MIN_VARIANCE = 1e-12
 # Weight at which an exponentially forgotten start is beyond double precision.
 FORGOTTEN = 1e-40
-# Run lengths with less posterior mass are dropped.
-MIN_RUN_MASS = 1e-10
 
 
 def forgetting_rows(r: float) -> int:
@@ -138,10 +136,12 @@ class RunLengths:
     """Posterior over the time since the last change (Adams and MacKay 2007), constant hazard.
 
     Normal data with unknown mean and variance; prior mean 0, kappa 1, alpha 1, beta 1.
-    Holds only run lengths with noticeable mass, so memory does not grow with the series.
+    All run lengths whose mass has not vanished in double precision are held. With ``least`` above 0, those with less
+    mass are dropped, which moves at most that share of the mass per run length and value to the others.
     """
 
-    def __init__(self, hazard_lambda: float):
+    def __init__(self, hazard_lambda: float, least: float = 0.0):
+        self.least = least
         self.hazard = 1.0 / hazard_lambda
         self.runs = np.zeros(1, dtype=np.int64)
         self.mass = np.ones(1)
@@ -158,7 +158,8 @@ class RunLengths:
         shift = x - self.mu
         beta = self.beta + self.kappa * shift**2 / (2 * (self.kappa + 1))
         mu = (self.kappa * self.mu + x) / (self.kappa + 1)
-        keep = mass >= MIN_RUN_MASS
+        keep = (mass > 0) & (mass >= self.least)
+        keep[0] = True
         self.runs = np.concatenate([[0], self.runs + 1])[keep]
         self.mass = mass[keep] / mass[keep].sum()
         self.mu = np.concatenate([[0.0], mu])[keep]

@@ -262,7 +262,10 @@ def _score_models(job: dict) -> Iterator[tuple[int, float | None, int]]:
     x, new = np.asarray(job["xs"], dtype=float).reshape(len(y), -1), np.asarray(job["new_x"], dtype=float).reshape(len(actual), -1)
     for m in json.loads(job["models"]):
         mean, std = np.array(m["x_mean"]), np.array(m["x_std"])
-        found, _ = numerics.predict(kernel, m["theta"], (x - mean) / std, y, m["alpha"], m["normalize_y"], (new - mean) / std)
+        try:
+            found, _ = numerics.predict(kernel, m["theta"], (x - mean) / std, y, m["alpha"], m["normalize_y"], (new - mean) / std)
+        except np.linalg.LinAlgError:
+            found = np.full(len(actual), np.nan)
         yield m["config_id"], float(((found - actual) ** 2).sum()), len(actual)
 
 
@@ -280,7 +283,7 @@ def _training_set(xs, ys, standardize: bool, skip: np.ndarray):
 def predict(points: DataFrame, models: DataFrame, on) -> DataFrame:
     """Prediction with a 95 % interval for every point, from the model with equal ``on`` columns.
 
-    ``points`` has the ``on`` columns, ``t`` and ``x``; several models of one key (say, rivals) may
+    A point whose model failed, or that has none, keeps its row, with nulls. ``points`` has the ``on`` columns, ``t`` and ``x``; several models of one key (say, rivals) may
     match one point and give one row each. Points meet a model in chunks of at most
     ``CHUNK_ROWS`` rows, so a model in force for very long is applied by many tasks.
     """
@@ -295,10 +298,9 @@ def predict(points: DataFrame, models: DataFrame, on) -> DataFrame:
         .withColumn("_x", F.flatten(F.transform("_rows", lambda r: r["x"])))
         .drop("_rows")
     )
-    usable = models.where(F.col("status") == "ok").select(
-        *on, *extra, "xs", "ys", "theta", "x_mean", "x_std", *[c for c in SETTINGS if c != "n_restarts"]
-    )
-    paired = chunks.join(usable, on)
+    known = [F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in ("xs", "ys", "theta", "x_mean", "x_std")]
+    usable = models.select(*on, *extra, *known, *[c for c in SETTINGS if c != "n_restarts"])
+    paired = chunks.join(usable, on, "left")
     ids = [*on, *extra]
     schema = T.StructType(
         [paired.schema[c] for c in ids]
@@ -320,12 +322,17 @@ def predict(points: DataFrame, models: DataFrame, on) -> DataFrame:
 
 
 def _predict_one(job: dict, ids) -> pd.DataFrame:
-    y = np.asarray(job["ys"], dtype=float)
-    mean, std = np.asarray(job["x_mean"]), np.asarray(job["x_std"])
-    x = (np.asarray(job["xs"], dtype=float).reshape(len(y), -1) - mean) / std
-    new = (np.asarray(job["_x"], dtype=float).reshape(len(job["_t"]), -1) - mean) / std
-    centre, spread = numerics.predict(kernel_of(job["kernel"]), job["theta"], x, y, job["alpha"], job["normalize_y"], new)
-    half = numerics.INTERVAL * spread
+    centre = half = np.full(len(job["_t"]), np.nan)
+    if job["theta"] is not None:
+        y = np.asarray(job["ys"], dtype=float)
+        mean, std = np.asarray(job["x_mean"]), np.asarray(job["x_std"])
+        x = (np.asarray(job["xs"], dtype=float).reshape(len(y), -1) - mean) / std
+        new = (np.asarray(job["_x"], dtype=float).reshape(len(job["_t"]), -1) - mean) / std
+        try:
+            centre, spread = numerics.predict(kernel_of(job["kernel"]), job["theta"], x, y, job["alpha"], job["normalize_y"], new)
+            half = numerics.INTERVAL * spread
+        except np.linalg.LinAlgError:  # a matrix on the edge of being positive definite
+            pass
     out = pd.DataFrame({"t": job["_t"], "prediction": centre, "lower_conf": centre - half, "upper_conf": centre + half})
     for i, c in enumerate(ids):
         out.insert(i, c, job[c])

@@ -122,7 +122,8 @@ def run_online(
     """Predict, detect and refit over the test rows of all series.
 
     ``series`` holds ``t``, the target, the feature array ``x`` and ``n_train``. With ``rivals``, the
-    refits on unscaled history and on the last season and the scaled predictions come along.
+    refits on unscaled history and on the last season and the scaled predictions come along. Every test row has a
+    prediction per model: a series without a base model (its fit failed, or it has no train rows) has nulls there.
     Runs that share their train rows and features (scenarios, settings) share a base model: it is then
     fitted on ``base_series`` for each of ``base_keys``. ``chosen`` gives every series its own model settings.
     """
@@ -280,5 +281,10 @@ def _refit_often(series, points, spec: SeriesSpec, gp: GPSpec, features, cap: in
     if sliding:
         joined = joined.where(F.col("t") > F.col("_end") - F.col("n_train"))
     jobs = models.with_settings(models.training_arrays(joined, [*keys, "refit_t"]), gp, chosen)
-    fitted = models.fit(jobs, gp, features)
-    return models.predict(points.select(*keys, "refit_t", "t", "x"), fitted, [*keys, "refit_t"]).drop("refit_t")
+    fitted = cut_lineage(models.fit(jobs, gp, features), "often-refitted")
+    # after a failed refit the last good one stays in force; the rows of a series without any keep nulls
+    earlier = Window.partitionBy(*keys).orderBy("refit_t").rowsBetween(Window.unboundedPreceding, 0)
+    good = F.last(F.when(F.col("status") == "ok", F.col("refit_t")), ignorenulls=True).over(earlier)
+    standing = fitted.select(*keys, "refit_t", good.alias("_good"))
+    placed = points.join(standing, [*keys, "refit_t"], "left").withColumn("refit_t", F.coalesce("_good", "refit_t"))
+    return models.predict(placed.select(*keys, "refit_t", "t", "x"), fitted, [*keys, "refit_t"]).drop("refit_t")

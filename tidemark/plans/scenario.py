@@ -25,7 +25,7 @@ SHORT_SEASON = 20
 # The named scenarios, as window -> speed and size.
 FULL_RANGE = ("slow_inc+small", "slow_inc+big", "fast_inc+small", "fast_inc+big", "slow_dec+big")
 HALF_RANGE = ("slow_inc+small", "fast_inc+small", "fast_inc+big", "slow_dec+big")
-MID_RANGE = ("slow_inc+small", "slow_inc+big", "fast_inc+small", "fast_inc+big", "slow_dec+big")
+MID_RANGE = FULL_RANGE
 
 # Draws of the parameter search over scenarios.
 PARAM_DRAWS = 100
@@ -170,28 +170,22 @@ def scenario_suite(
     return results.join(named, [*spec.keys, "scenario_id"]).withColumn("season", F.lit(spec.season))
 
 
-def position_cells(series: DataFrame, spec: SeriesSpec, slope: float, max_factor: float, step: int | None = None) -> DataFrame:
-    """Heat map of start against end position; windows too short for the ramp are skipped."""
-    step = (10 if spec.season <= 50 else 20) if step is None else step
-    shortest = int((max_factor - 1) / slope) * 2
-    shortest = math.ceil(shortest / 10) * 10
-    if spec.season > 50:
-        shortest = max(20, shortest)
-    lengths = series.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("_n"))
-    room = F.col("_n") - F.col("n_train")
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), room - shortest, F.lit(step).cast("long")))
-    ends = F.explode(F.sequence(F.lit(shortest).cast("long"), room, F.lit(step).cast("long")))
-    wide_enough = F.col("start_off") + shortest <= F.col("end_off")
-    return (
-        series.join(lengths, list(spec.keys))
-        .where(room >= shortest)
-        .withColumn("start_off", starts)
-        .withColumn("end_off", ends)
-        .where(wide_enough)
-        .withColumn("slope", F.lit(float(slope)))
-        .withColumn("max_factor", F.lit(float(max_factor)))
-        .drop("_n")
+def position_cells(
+    series: DataFrame, spec: SeriesSpec, slope: float, max_factor: float, step: int | None = None, shortest: int = 1
+) -> DataFrame:
+    """Heat map over windows of the test part: every start and length in multiples of ``step`` (a fifth of a season, unless
+    given) and of at least ``shortest`` rows in which the ramp can climb to its factor and come back."""
+    step = step or max(1, spec.season // 5)
+    bounds = series.groupBy(*spec.keys).agg(F.first("n_train").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    windows = bounds.select(*spec.keys, "_first", (F.col("_n") - F.col("_first")).alias("_room")).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("_room", F.lit(0)), F.lit(step).cast("long"))).alias("start_off")
     )
+    windows = windows.where(F.col("start_off") + step <= F.col("_room")).withColumn(
+        "end_off", F.explode(F.sequence(F.col("start_off") + step, F.col("_room"), F.lit(step).cast("long")))
+    ).withColumns({"slope": F.lit(float(slope)), "max_factor": F.lit(float(max_factor))})
+    start, end = F.col("_first") + F.col("start_off"), F.col("_first") + F.col("end_off")
+    fits = ramp_feasible(start, end, F.col("max_factor"), F.col("slope")) & (end - start >= shortest)
+    return series.join(windows.where(fits).drop("_first", "_room"), list(spec.keys))
 
 
 def shape_cells(
