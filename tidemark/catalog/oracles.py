@@ -352,3 +352,8 @@ ORACLES["q_gpr_inducing"] = f"""WITH {SHIPMENTS},
           FROM k JOIN w ON k.series_id = w.series_id)
     SELECT series_id, t, {r("prediction", 4)} prediction, {r("prediction - half", 4)} lower_conf, {r("prediction + half", 4)} upper_conf,
         'inducing' AS method, n AS rows_used FROM f"""
+
+_FINE = "(t % 11) NOT IN (5, 6, 7, 8)"
+_WITH_FAILURES = _TRIG.replace("CASE WHEN hit THEN", f"CASE WHEN hit AND {_FINE} THEN")
+ORACLES["q_online_failures"] = f"""WITH RECURSIVE {_WITH_FAILURES}
+    SELECT series_id, t, fired AS triggered, r_in AS refit_t, {r('s_in')} AS scale_old, fired AND NOT {_FINE} AS failed FROM st"""

@@ -434,7 +434,7 @@ def _flagged(spark, sf):
     jump = F.abs(F.col("y") / F.nullif(F.col("before"), F.lit(0.0)) - 1) > 0.3
     df = windowed(df, MONTHLY, 1, lambda w: {"before": F.lag("y", 1).over(w)})
     flagged = df.withColumn("change_point", F.coalesce(jump, F.lit(False))).where(F.col("t") >= F.col("n_train"))
-    return cut_lineage(flagged.select("series_id", "t", "change_point", "scale"), "flagged")
+    return cut_lineage(flagged.select("series_id", "t", "n_train", "y", "change_point", "scale"), "flagged")
 
 
 def q_triggers(spark, sf):
@@ -631,6 +631,23 @@ def q_online_refit(spark, sf):
     return rounded(run.predictions, 2)
 
 
+def q_online_failures(spark, sf):
+    """States where refits fail: on the last four rows, with a feature that is missing in every eleventh month."""
+    x = F.when(F.col("t") % 11 == 5, F.lit(float("nan"))).otherwise(F.col("t").cast("double"))
+    rows = cut_lineage(supplier_monthly(spark, sf).select("series_id", "t", "y", F.array(x).alias("x")), "series")
+    gp = GPSpec(kernel=(("rbf",),))
+
+    def refit(triggers):
+        window = last_rows_join(rows, triggers.select("series_id", "refit_t"), MONTHLY, "refit_t", 4)
+        jobs = models.training_arrays(window, ["series_id", "refit_t"]).withColumn("model", F.lit(online.ONLINE))
+        return models.fit(models.with_settings(jobs, gp), gp)
+
+    state, fitted = online.settled(_flagged(spark, sf), MONTHLY, OnlineSpec(), refit)
+    failed = fitted.select("series_id", F.col("refit_t").alias("t"), (F.col("status") != "ok").alias("failed"))
+    joined = state.join(failed, ["series_id", "t"], "left")
+    return rounded(joined.select("series_id", "t", "triggered", "refit_t", "scale_old", F.coalesce("failed", F.lit(False)).alias("failed")))
+
+
 def q_online_bocd(spark, sf):
     run = online.run_online(_online_series(spark, sf, revenue_monthly), MONTHLY, OnlineSpec(cpd="bocd"), SEASONAL_GP)
     return rounded(run.states.select("series_id", "t", "change_point", "triggered", "refit_t", "scale_old", "reason"))

@@ -68,18 +68,23 @@ def _outcomes(s: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return records, np.array([ends[int(r)] for r in records], dtype=int)
 
 
-def respond(flagged: DataFrame, spec: SeriesSpec, threshold: float | list[float]) -> DataFrame:
+def respond(flagged: DataFrame, spec: SeriesSpec, threshold: float | list[float], failed: DataFrame | None = None) -> DataFrame:
     """Triggers and the model in force for every test row.
 
     Expects ``t, change_point, scale`` for test rows. Adds ``triggered``, ``refit_t``
     (position of the last trigger strictly before the row, -1 for the base model),
     ``scale_old`` (the scale that trigger set, 1 at first) and ``reason`` for change
-    points that fire nothing. A list of thresholds is referred to by ``param_id``.
+    points that fire nothing. A list of thresholds is referred to by ``param_id``. Refits known to fail are rows of ``failed``
+    (series keys and ``t``): such a trigger fires, but moves neither scale nor model.
     """
     usable = F.col("scale").isNotNull() & ~F.isnan("scale") & (F.abs("scale") != float("inf")) & (F.col("scale") != 0)
+    vain = F.lit(False)
+    if failed is not None:
+        flagged = flagged.join(failed.select(*spec.keys, "t", F.lit(True).alias("_vain")), [*spec.keys, "t"], "left")
+        vain = F.coalesce("_vain", F.lit(False))
     rows = (
         flagged.withColumn("_block", F.floor(F.col("t") / spec.block_rows).cast("long"))
-        .withColumn("_usable", F.col("change_point") & F.coalesce(usable, F.lit(False)))
+        .withColumn("_usable", F.col("change_point") & F.coalesce(usable, F.lit(False)) & ~vain)
     )
     threshold_of = _threshold_lookup(threshold)
     keys = [*spec.keys, "_block"]
@@ -122,6 +127,13 @@ def respond(flagged: DataFrame, spec: SeriesSpec, threshold: float | list[float]
         return group[names].assign(triggered=triggered, refit_t=refits, scale_old=olds)
 
     out = rows.mapInPandas(lambda batches: map_sorted_groups(batches, keys, play), schema)
+    if failed is not None:  # a refit that fails is asked for by the scale in force, and leaves it
+        limits = threshold if isinstance(threshold, (list, tuple)) else [threshold]
+        which = F.col("param_id") + 1 if isinstance(threshold, (list, tuple)) else F.lit(1)
+        limit = F.element_at(F.array(*[F.lit(float(x)) for x in limits]), which)
+        moved = F.when(F.col("scale_old") > 0, F.abs(F.col("scale") - F.col("scale_old")) / F.col("scale_old") > limit)
+        asked = F.col("_vain").isNotNull() & F.col("change_point") & usable & moved
+        out = out.withColumn("triggered", F.col("triggered") | F.coalesce(asked, F.lit(False))).drop("_vain")
     why_not = (
         F.when(F.col("scale").isNull(), "no scale")
         .when(~usable, "unusable scale")

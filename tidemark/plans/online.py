@@ -47,8 +47,8 @@ def with_n_train(series: DataFrame, spec: SeriesSpec, share: float) -> DataFrame
     return split_percentage(series, spec, share).drop("fold", "split")
 
 
-def states(series: DataFrame, spec: SeriesSpec, online) -> DataFrame:
-    """Change points, triggers and the model in force for every test row.
+def flagged_rows(series: DataFrame, spec: SeriesSpec, online) -> DataFrame:
+    """Change points and scale of every test row; neither depends on what was refitted before.
 
     ``online`` is one setting, or a list that rows refer to by their key ``param_id``.
     """
@@ -64,12 +64,44 @@ def states(series: DataFrame, spec: SeriesSpec, online) -> DataFrame:
         o = variants[0]
         scale = output_scale(slim, spec, o.scale_window, o.scale_seasons).select(*spec.keys, "t", "scale")
         flagged = cut_lineage(run_length_change_points(slim, spec, o).join(scale, [*spec.keys, "t"]), "flagged")
-    test = flagged.where(F.col("t") >= F.col("n_train")).select(
+    return flagged.where(F.col("t") >= F.col("n_train")).select(
         *spec.keys, "t", F.col(spec.target), "n_train", "change_point", "scale"
     )
-    return respond(test, spec, _each(variants, "scale_thr", several)).withColumn(
-        "offset", F.col("t") - F.col("n_train")
-    )
+
+
+def states(flagged: DataFrame, spec: SeriesSpec, online, failed: DataFrame | None = None) -> DataFrame:
+    """Change points, triggers and the model in force for every test row, given the refits known to fail."""
+    several = isinstance(online, (list, tuple))
+    variants = [o.resolved(spec.season) for o in (online if several else [online])]
+    return respond(flagged, spec, _each(variants, "scale_thr", several), failed).withColumn("offset", F.col("t") - F.col("n_train"))
+
+
+def _triggers(state: DataFrame, spec: SeriesSpec) -> DataFrame:
+    return state.where("triggered").select(*spec.keys, F.col("t").alias("refit_t"), "scale", "scale_old", "offset")
+
+
+def settled(flagged: DataFrame, spec: SeriesSpec, online, refit) -> tuple[DataFrame, DataFrame]:
+    """States and refits that agree: the scale and the model in force move only where a refit succeeded.
+
+    Whether a refit fails depends on its row alone, so failures only add up. Only series with a new failure are run again,
+    and of their triggers only those not fitted yet are; ``refit`` turns triggers into fitted models.
+    """
+    keys = list(spec.keys)
+    state = cut_lineage(states(flagged, spec, online), "states")
+    fitted = cut_lineage(refit(_triggers(state, spec)), "refits")
+    failed = None
+    while True:
+        bad = fitted.where((F.col("model") == ONLINE) & (F.col("status") != "ok")).select(*keys, F.col("refit_t").alias("t")).distinct()
+        new = bad if failed is None else bad.join(failed, [*keys, "t"], "left_anti")
+        if new.isEmpty():
+            asked = state.where("triggered").select(*keys, F.col("t").alias("refit_t"))
+            return state, fitted if failed is None else fitted.join(asked, [*keys, "refit_t"], "left_semi")
+        touched = cut_lineage(new.select(*keys).distinct(), "touched")
+        failed = cut_lineage(bad, "failed-refits")
+        again = states(flagged.join(touched, keys, "left_semi"), spec, online, failed)
+        state = cut_lineage(state.join(touched, keys, "left_anti").unionByName(again), "states")
+        missing = _triggers(state, spec).join(fitted.select(*keys, "refit_t").distinct(), [*keys, "refit_t"], "left_anti")
+        fitted = cut_lineage(fitted.unionByName(refit(missing)), "refits")
 
 
 def _each(variants, name: str, several: bool):
@@ -133,17 +165,19 @@ def run_online(
     base_series = series if base_series is None else base_series
     base_keys = keys if base_keys is None else list(base_keys)
 
-    state = cut_lineage(states(series, spec, online), "states")
-    triggers = state.where("triggered").select(*keys, F.col("t").alias("refit_t"), "scale", "scale_old", "offset")
     base = base_jobs(base_series, base_keys, gp, base_cap, spec.target, chosen)
     base = cut_lineage(models.fit(base, gp, features), "base")
     test = base_series.where(F.col("t") >= F.col("n_train")).select(*base_keys, "t", "x")
     base_predictions = cut_lineage(models.predict(test, base, base_keys), "base-predictions")
 
-    refits = refit_jobs(series, triggers, spec, online, rivals)
     starts = base.where(F.col("status") == "ok").select(*base_keys, F.col("theta").alias("theta0"))
-    jobs = models.with_settings(refits.join(starts, base_keys), gp, chosen)
-    fitted = cut_lineage(models.fit(jobs, gp, features), "refits")
+
+    def refit(triggers: DataFrame) -> DataFrame:
+        jobs = refit_jobs(series, triggers.select(*keys, "refit_t", "scale"), spec, online, rivals).join(starts, base_keys)
+        return models.fit(models.with_settings(jobs, gp, chosen), gp, features)
+
+    state, fitted = settled(cut_lineage(flagged_rows(series, spec, online), "flagged"), spec, online, refit)
+    triggers = _triggers(state, spec)
 
     kinds = [ONLINE] + ([RETRAIN, MOVING] if rivals else [])
     in_force = _in_force(state, fitted, spec, kinds)
