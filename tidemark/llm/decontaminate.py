@@ -31,6 +31,7 @@ COPY, PARAPHRASE, ANSWER = 0.75, 0.6, 0.8
 ANSWER_WORDS = 5
 #: Buckets in which words are counted to tell an item's rarest words. Collisions cost time, never a leak.
 COUNTED = 1 << 16
+_MAP = 1 << 20
 #: The benchmark is searched in blocks of so many items and characters, which bounds what is broadcast.
 BLOCK_ITEMS, BLOCK_CHARS = 1000, 2_000_000
 
@@ -164,7 +165,8 @@ def stretch(words: int) -> int:
 def leak(item: list[int], text: np.ndarray) -> tuple[float, bool] | None:
     """Share of the item's words found in order within one stretch of the text, and whether the answer is; None if no
     stretch holds the item by the rule."""
-    at = np.flatnonzero(np.isin(text, np.array(item, np.uint32)))
+    own, words = set(item), text.tolist()
+    at = [i for i, w in enumerate(words) if w in own]
     least = PARAPHRASE * len(item)
     if len(at) < least:  # a common subsequence cannot be longer
         return None
@@ -177,11 +179,11 @@ def leak(item: list[int], text: np.ndarray) -> tuple[float, bool] | None:
         told = common_subsequence(answer, some) >= ANSWER * len(answer)
         return (shared / len(item), told) if told or shared >= COPY * len(item) else None
 
-    inside = text[at].tolist()
+    inside = [words[i] for i in at]
     found = judged(inside)
     if found is None or at[-1] - at[0] < stretch(len(item)):
         return found
-    ends = np.searchsorted(at, at + stretch(len(item)))
+    ends = np.searchsorted(at, np.array(at) + stretch(len(item)))
     whole = np.diff(ends, prepend=0) > 0  # others lie within the stretch before
     each = [judged(inside[x:y]) for x, y in enumerate(ends.tolist()) if whole[x] and y - x >= least]
     return max((f for f in each if f), default=None)
@@ -204,14 +206,22 @@ def _rare_words(items: list[tuple[int, list[int]]], counts: np.ndarray) -> tuple
         owner.append(np.full(len(words[-1]), k))
     words, owner = np.concatenate(words), np.concatenate(owner)
     order = np.argsort(words, kind="stable")
-    return words[order], owner[order], np.array(needed), np.array(reach)
+    maybe = np.zeros(_MAP, bool)
+    maybe[words % _MAP] = True
+    return maybe, words[order], owner[order], np.array(needed), np.array(reach)
 
 
-def _rare_stretches(words: np.ndarray, first: np.ndarray, rare: np.ndarray, owner: np.ndarray, needed: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Documents, items, first and last word (exclusive) of the surroundings in which enough rare words of an item meet."""
-    left = np.searchsorted(rare, words)
-    some = np.flatnonzero(rare[np.minimum(left, len(rare) - 1)] == words)
-    left = left[some]
+def _rare_stretches(
+    words: np.ndarray, first: np.ndarray, maybe: np.ndarray, rare: np.ndarray, owner: np.ndarray, needed: np.ndarray, reach: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Documents, items, first and last word (exclusive) of the surroundings in which enough rare words of an item meet.
+
+    Most words are told apart by the map ``maybe`` of the rare words' lowest bits, which misses none.
+    """
+    some = np.flatnonzero(maybe[words & np.uint32(_MAP - 1)])
+    left = np.searchsorted(rare, words[some])
+    same = rare[np.minimum(left, len(rare) - 1)] == words[some]
+    some, left = some[same], left[same]
     many = np.searchsorted(rare, words[some], "right") - left
     place = np.repeat(some, many)
     item = owner[np.repeat(left - np.cumsum(many) + many, many) + np.arange(len(place))]
