@@ -1,8 +1,8 @@
-"""Operator 10, repeated byte strings by prefix doubling over sorted ranks.
+"""Operator 10, repeated byte strings by hashes over thinned positions, in place of prefix doubling.
 
 Asked for: every start of a string of ``length`` bytes that also starts elsewhere. Doubling over all positions
 would shuffle each position several times, many times the size of the text. So positions are
-thinned without losing any:
+thinned without losing any, and strings are hashed where they stand instead of pairing the ranks of halves:
 
 1. A window of ``length`` bytes is represented by the smallest hash among its substrings of half that length
    (its anchor), which depends on the bytes of the window alone. Starts with one anchor form a run.
@@ -155,17 +155,13 @@ def _rerank(rows: DataFrame, name: str) -> DataFrame:
     """
     shared = cut_lineage(rows.groupBy("core").count().filter("count > 1").select("core"), f"{name}-cores")
     left = cut_lineage(rows.join(shared, "core").select(*_KEY, "at", "core", "hull"), f"{name}-left")
-    pairs = left.groupBy("core", "hull").agg(
-        F.count(F.lit(1)).alias("n"), *(F.first(c).alias(f"w_{c}") for c in (*_KEY, "at"))
-    )
+    pairs = left.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, "at")).alias("witness"))
     mixed = pairs.groupBy("core").agg(((F.count(F.lit(1)) > 1) | F.bool_or(F.col("hull").isNull())).alias("mixed"))
     settled = pairs.filter("n > 1 AND hull IS NOT NULL").join(mixed, "core")
     settled = cut_lineage(settled.withColumnsRenamed({"core": "c", "hull": "h"}), f"{name}-pairs")
     joined = left.join(settled, (F.col("core") == F.col("c")) & (F.col("hull") == F.col("h")), "left")
     done = F.col("c").isNotNull()
-    witness = F.col("mixed")
-    for c in (*_KEY, "at"):
-        witness = witness & (F.col(c) == F.col(f"w_{c}"))
+    witness = F.col("mixed") & (F.struct(*_KEY, "at") == F.col("witness"))
     return cut_lineage(joined.select(*_KEY, "at", done.alias("settled"), (~done | witness).alias("open")), f"{name}-ranked")
 
 
