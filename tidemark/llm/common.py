@@ -106,18 +106,18 @@ class PartEncoder:
     """
 
     def __init__(self, store: dict, encode_all: Callable[[list[str]], list[bytes]]):
-        self.memo, self.encode_all = store.setdefault("memo", {}), encode_all
+        self.words, self.heads, self.encode_all = store.setdefault("words", {}), store.setdefault("heads", {}), encode_all
 
-    def _packed(self, parts: list[str]) -> list[bytes]:
-        memo = self.memo
+    def _packed(self, parts: list[str], memo: dict[str, bytes], before: str) -> list[bytes]:
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        new = list(dict.fromkeys([p for p in parts if p not in memo]))
-        memo.update(zip(new, self.encode_all(new)))
-        out = list(map(memo.__getitem__, parts))
-        for p in new:
-            if len(p) > LONG_WORD:
-                del memo[p]
+        out = list(map(memo.get, parts))
+        places = [i for i, x in enumerate(out) if x is None]
+        new = [parts[i] for i in places]
+        for i, part, ids in zip(places, new, self.encode_all([before + p for p in new])):
+            out[i] = ids
+            if len(part) <= LONG_WORD:
+                memo[part] = ids
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,18 +126,19 @@ class PartEncoder:
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         parts, first, order = safe_parts(texts)
         coded = parts.dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
         heads = parts.take(pa.array(first[:-1])).dictionary_encode()
         code[first[:-1]] = heads.indices.to_numpy() + len(words)
-        packed = self._packed([" " + w for w in words] + heads.dictionary.to_pylist())
+        packed = self._packed(words, self.words, " ") + self._packed(heads.dictionary.to_pylist(), self.heads, "")
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         each = sizes[code]
         ends = np.cumsum(each)
+        kind = np.int32 if max(ends[-1], sizes.sum()) < 1 << 31 else np.int64
         shift = (np.cumsum(sizes) - sizes)[code]
         shift -= ends - each
-        at = np.repeat(shift, each)
-        at += np.arange(len(at))
-        ids = np.frombuffer(b"".join(packed), "<u4")[at]
+        at = np.repeat(shift.astype(kind), each)
+        at += np.arange(len(at), dtype=kind)
+        ids = np.frombuffer(b"".join(packed), "<u4").take(at)
         borders = np.concatenate([[0], ends[first[1:] - 1]])
         if (np.diff(order) > 0).all():
             return ids, borders
