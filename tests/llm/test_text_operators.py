@@ -190,11 +190,11 @@ def test_tokens_after_the_last_end_id_count(spark):
     assert as_rows(token_counts.count_tokens(files, end_id=9), "file", "ordinal", "n_tokens") == [(0, 0, 2), (0, 1, 0), (0, 2, 1), (1, 0, 0)]
 
 
-def _near_brute(rows):
+def _near_brute(rows, size):
     sets, parent = {}, {}
     for d, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        sets[d] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[d] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
         parent[d] = d
 
     def root(x):
@@ -210,7 +210,8 @@ def _near_brute(rows):
     return sorted((d, len(sets[d]), root(d), root(d) == d) for d in sets)
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_equal_brute_force(spark, size):
     r, rows = random.Random(1), []
     words = [str(i) for i in range(3000)]
     for i in range(150):
@@ -226,7 +227,7 @@ def test_near_duplicates_equal_brute_force(spark):
         rows.append((i, " ".join(hub[:k] + [r.choice(words) for _ in range(6)] + hub[k + 6 :])))
     rows += [(300, " ".join(hub)), (900, None), (901, "  "), (902, "A b"), (903, "a B"), (904, "x" * 20000), (905, "x" * 20000 + " "), (906, "x" * 20001)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert as_rows(minhash.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == sorted(_near_brute(rows), key=repr)
+    assert as_rows(minhash.near_duplicates(df, size), "doc_id", "n_shingles", "component_id", "kept") == sorted(_near_brute(rows, size), key=repr)
 
 
 def test_near_duplicates_with_repeated_and_missing_ids(spark):
@@ -405,7 +406,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert names == ["quality_rules", "line_dedup", "minhash_dedup", "decontamination", "byte_bpe"]
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     kept = line_dedup.drop_lines(quality.keep_good(docs)).select("doc_id", "text").collect()
-    best = {d for d, _, _, k in _near_brute([(r.doc_id, r.text) for r in kept]) if k}
+    best = {d for d, _, _, k in _near_brute([(r.doc_id, r.text) for r in kept], 5) if k}
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
     texts = {r.doc_id: r.text for r in kept if r.doc_id in best}
     bench = [" ".join(re.findall(r"\w+", x.text.lower())) for x in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]

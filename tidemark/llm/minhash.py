@@ -20,7 +20,8 @@ from tidemark.llm.components import components
 from tidemark.llm.spans import mix, span_hashes
 from tidemark.session import cut_lineage
 
-SHINGLE = 4
+#: Words of a shingle, unless the caller says otherwise.
+SHINGLE = 5
 VALUES, BITS, CHUNKS = 64, 14, 14
 DISTANCE = 27
 PERCENT = 80
@@ -35,7 +36,7 @@ def _seeds(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def shingle_sets(buffer: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
+def shingle_sets(buffer: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; words are split at ASCII blanks, A-Z in lower case."""
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -93,31 +94,37 @@ def _pack(values: np.ndarray) -> np.ndarray:
     return (lanes << (np.arange(4) * (BITS + 1))).sum(axis=2)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seeds = _seeds(2 * VALUES)
-    xors, factors = seeds[:VALUES], seeds[VALUES:] | np.uint64(1)
-    for b in batches:
-        sizes, prints, values = [], [], []
-        for s in shingle_sets(*text_bytes(b.column("text"))):
-            sizes.append(len(s))
-            prints.append((mix(s * _FOLD).sum(dtype=np.uint64), mix(s ^ _FOLD).sum(dtype=np.uint64)))
-            values.append(signature(s, xors, factors))
-        if sizes:
-            packed = _pack(np.stack(values))
-            prints = np.array(prints, np.uint64).view(np.int64)
-            ends = np.arange(len(sizes) + 1, dtype=np.int32) * packed.shape[1]
-            yield batch(
-                doc_id=b.column("doc_id"), n_shingles=pa.array(sizes, pa.int64()), f1=prints[:, 0], f2=prints[:, 1],
-                signature=pa.ListArray.from_arrays(pa.array(ends), pa.array(packed.ravel())),
-            )
-
-
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = list(shingle_sets(*text_bytes(b.column("text"))))
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-        yield batch(node=b.column("doc_id"), shingles=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+def _describe(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _seeds(2 * VALUES)
+        xors, factors = seeds[:VALUES], seeds[VALUES:] | np.uint64(1)
+        for b in batches:
+            sizes, prints, values = [], [], []
+            for s in shingle_sets(*text_bytes(b.column("text")), size):
+                sizes.append(len(s))
+                prints.append((mix(s * _FOLD).sum(dtype=np.uint64), mix(s ^ _FOLD).sum(dtype=np.uint64)))
+                values.append(signature(s, xors, factors))
+            if sizes:
+                packed = _pack(np.stack(values))
+                prints = np.array(prints, np.uint64).view(np.int64)
+                ends = np.arange(len(sizes) + 1, dtype=np.int32) * packed.shape[1]
+                yield batch(
+                    doc_id=b.column("doc_id"), n_shingles=pa.array(sizes, pa.int64()), f1=prints[:, 0], f2=prints[:, 1],
+                    signature=pa.ListArray.from_arrays(pa.array(ends), pa.array(packed.ravel())),
+                )
+
+    return rows
+
+
+def _sets_of(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = list(shingle_sets(*text_bytes(b.column("text")), size))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield batch(node=b.column("doc_id"), shingles=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+
+    return rows
 
 
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +167,8 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 class _Links:
     """Confirmed links so far, the components they make, and the shingle sets read for that."""
 
-    def __init__(self, rows: DataFrame, nodes: DataFrame, links: DataFrame):
-        self.rows, self.nodes, self.links, self.sets = rows, nodes, links, None
+    def __init__(self, rows: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int):
+        self.rows, self.nodes, self.links, self.shingle, self.sets = rows, nodes, links, shingle, None
         self.found = components(links)
 
     def read_sets(self, wanted: DataFrame) -> bool:
@@ -171,7 +178,7 @@ class _Links:
             wanted = wanted.join(self.sets.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
         wanted = cut_lineage(wanted, "wanted")
         if not wanted.isEmpty():
-            read = self.rows.join(wanted, "doc_id").mapInArrow(_sets_of, "node long, shingles array<long>")
+            read = self.rows.join(wanted, "doc_id").mapInArrow(_sets_of(self.shingle), "node long, shingles array<long>")
             read = cut_lineage(read, "shingle-sets")
             self.sets = read if self.sets is None else self.sets.unionByName(read)
         return self.sets is not None
@@ -247,10 +254,10 @@ def _filed_once(key: Column, a: Column, b: Column) -> Column:
     return wrong | masked.isin([int(chunk[0]) for chunk in np.array_split(np.arange(VALUES), CHUNKS)])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row.
 
-    Linked are documents whose sets of four-word shingles share 80 of 100 or more. Documents of equal sets are one node.
+    Linked are documents whose sets of shingles of so many words share 80 of 100 or more. Documents of equal sets are one node.
     Each document is first compared with one leader of every bucket it is in: the member that meets the most others,
     as the original of many copies does; so large groups join without pairs of all with all. Buckets that then still hold several
     components are searched for links across components (``_Links.add_across``); pairs inside a component could not change the result.
@@ -260,7 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = id_and_text(docs)
     described = cut_lineage(
-        rows.mapInArrow(_describe, "doc_id long, n_shingles long, f1 long, f2 long, signature array<long>"), "signatures"
+        rows.mapInArrow(_describe(shingle), "doc_id long, n_shingles long, f1 long, f2 long, signature array<long>"), "signatures"
     )
     print_ = ["n_shingles", "f1", "f2"]
     linked = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -276,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a document id may stand for several classes, if rows repeat it
     again = linked.join(classes.withColumnRenamed("node", "a"), print_).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     repeated = again.join(classes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
-    state = _Links(rows, nodes, cut_lineage(repeated.distinct(), "repeated"))
+    state = _Links(rows, nodes, cut_lineage(repeated.distinct(), "repeated"), shingle)
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = members.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
     led = members.join(weighed, "key").filter("node <> leader")
@@ -291,7 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows whose document stands for its group, with all their columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_duplicates(docs, shingle).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")

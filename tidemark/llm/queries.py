@@ -37,7 +37,7 @@ def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), shingle=4)
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
