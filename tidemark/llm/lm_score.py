@@ -52,8 +52,8 @@ class Network:
         net.bias[:] = np.log(np.maximum(share, 1e-9))
         return net
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and log-probabilities."""
+    def _logits(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden values, and logits with 0 as the largest of a row."""
         total = self.vectors[0][context[:, 0]]
         for i in range(1, 2 * SIDE):
             total += self.vectors[i][context[:, i]]
@@ -61,26 +61,37 @@ class Network:
         logits = hidden @ self.out
         logits += self.bias
         logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return hidden, logits
 
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of each target."""
+        logits = self._logits(context)[1]
+        own = logits[np.arange(len(target)), target]
+        return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+
     def train(self, context: np.ndarray, target: np.ndarray, memory: np.ndarray) -> None:
         """One step; step sizes follow the summed squares of past gradients."""
-        hidden, log_p = self.forward(context)
-        error = np.exp(log_p)
-        error[np.arange(len(target)), target] -= 1
-        error /= len(target)
+        hidden, error = self._logits(context)
+        np.exp(error, out=error)
+        error /= error.sum(axis=1, keepdims=True) * len(target)
+        error[np.arange(len(target)), target] -= 1 / len(target)
         back = (error @ self.out.T) * (1 - hidden * hidden)
-        places = []
-        for i in range(2 * SIDE):
-            hot = np.zeros((CLASSES + 1, len(target)), np.float32)
-            hot[context[:, i], np.arange(len(target))] = 1
-            places.append((hot @ back).ravel())
+        places = [_class_sums(context[:, i], back).ravel() for i in range(2 * SIDE)]
         gradient = np.concatenate([*places, (hidden.T @ error).ravel(), error.sum(axis=0)])
         memory += gradient * gradient
         self.flat -= STEP * gradient / np.sqrt(memory + 1e-8)
 
 
+def _class_sums(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each class, and of those without one."""
+    order = np.argsort(classes, kind="stable")
+    ordered = classes[order]
+    first = np.flatnonzero(np.diff(ordered.astype(np.int16), prepend=-1))
+    out = np.zeros((CLASSES + 1, rows.shape[1]), np.float32)
+    out[ordered[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def surrounded(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all documents in a row with ``SIDE`` empty places around each, and the place of every token in it."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -160,8 +171,8 @@ def score_words(words: DataFrame, counts: DataFrame, table: np.ndarray, totals:
                 around, place = surrounded(classes, first)
                 each = np.zeros(len(classes) + 1)
                 for i in range(0, len(classes), BATCH):
-                    log_p = own.forward(context(around, place[i : i + BATCH]))[1]
-                    each[i + 1 : i + 1 + len(log_p)] = log_p[np.arange(len(log_p)), classes[i : i + BATCH]]
+                    own_classes = classes[i : i + BATCH]
+                    each[i + 1 : i + 1 + len(own_classes)] = own.log_probabilities(context(around, place[i : i + BATCH]), own_classes)
                 at = np.searchsorted(names, packed)
                 known = names[at] == packed
                 each[1:] += np.where(known, logs[at], 0) - class_logs[classes]
