@@ -127,3 +127,23 @@ def test_rows_of_failed_fits_stay(spark):
     assert counts["good"] == (10, 10) and counts["broken"] == (10, 0) and counts["late"][0] == 6
     compared = {r.series_id: r for r in online.compare_methods(run.predictions, series, spec).collect()}
     assert set(compared) == {"good", "broken", "late"} and compared["broken"].rmse_base is None and compared["good"].rmse_base > 0
+
+
+def test_running_best_in_blocks(spark, rng):
+    rows = [("a", int(i), None if i % 13 == 0 else float(v)) for i, v in enumerate(rng.lognormal(0, 1, 300).round(1))] + [("b", 5, None), ("b", 9, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, config_id int, rmse_test double").repartition(7)
+    out = {(r.series_id, r.config_id): (r.best_so_far, r.improved) for r in search.running_best(df, ["series_id"], block=7).collect()}
+    best: dict = {}
+    for key, i, v in rows:
+        seen = best.get(key)
+        improved = v is not None and (seen is None or v < seen)
+        best[key] = v if seen is None else seen if v is None else min(v, seen)
+        assert out[key, i] == (best[key], improved)
+
+
+def test_season_of_quarterly_weeks():
+    from tidemark.spec import DatasetSpec, SeriesSpec
+
+    year = SeriesSpec(season=364)
+    assert [DatasetSpec(n, series=year, weekly=w, quarter=q).model_season for n, w, q in (
+        ("x", True, None), ("x_quarter", True, None), ("x", True, True), ("x_quarter", True, False), ("x_quarter", False, None))] == [52, 13, 13, 52, 364]

@@ -357,3 +357,27 @@ _FINE = "(t % 11) NOT IN (5, 6, 7, 8)"
 _WITH_FAILURES = _TRIG.replace("CASE WHEN hit THEN", f"CASE WHEN hit AND {_FINE} THEN")
 ORACLES["q_online_failures"] = f"""WITH RECURSIVE {_WITH_FAILURES}
     SELECT series_id, t, fired AS triggered, r_in AS refit_t, {r('s_in')} AS scale_old, fired AND NOT {_FINE} AS failed FROM st"""
+
+# run lengths: lists by run length k, with alpha = 1 + k / 2 and kappa = 1 + k; the hazard is 1 / 48
+_RUNS = f"""{EVENTS}, {_split('s', 0.6)},
+    df AS (SELECT * FROM (SELECT series_id, t, n_train, y - {_lag(24)} dy FROM p) WHERE dy IS NOT NULL),
+    tm AS (SELECT series_id, avg(dy) m, stddev_pop(dy) sd FROM df WHERE t < n_train GROUP BY 1),
+    sn AS (SELECT *, avg(dy) OVER b ma, stddev_pop(dy) OVER b sa, row_number() OVER (PARTITION BY series_id ORDER BY t) i
+           FROM df WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    z AS (SELECT sn.series_id, i, t, n_train, CASE WHEN t < n_train THEN coalesce((dy - m) / nullif(sd, 0), 0)
+            ELSE coalesce((dy - ma) / nullif(sa, 0), 0) END x FROM sn JOIN tm ON tm.series_id = sn.series_id),
+    rl(series_id, i, mass, mu, beta) AS (
+        SELECT series_id, CAST(0 AS BIGINT), [1.0::DOUBLE], [0.0::DOUBLE], [1.0::DOUBLE] FROM tm
+        UNION ALL
+        SELECT series_id, i, list_transform(list_prepend(list_sum(grown) / 47, grown), lambda g: g / (list_sum(grown) * 48 / 47)), mu, beta FROM (
+            SELECT q.series_id, z.i,
+                list_transform(q.mass, lambda g, k: g * 47 / 48 * exp(lgamma(1 + k / 2.0) - lgamma(0.5 + k / 2.0)
+                    - 0.5 * ln(2 * pi() * q.beta[k] * (k + 1) / k)
+                    - (k + 2) / 2.0 * ln(1 + pow(x - q.mu[k], 2) * k / (2 * q.beta[k] * (k + 1))))) grown,
+                list_prepend(0.0::DOUBLE, list_transform(q.mu, lambda a, k: (k * a + x) / (k + 1))) mu,
+                list_prepend(1.0::DOUBLE, list_transform(q.beta, lambda c, k: c + k * pow(x - q.mu[k], 2) / (2 * (k + 1)))) beta
+            FROM rl q JOIN z ON z.series_id = q.series_id AND z.i = q.i + 1)),
+    ru AS (SELECT z.series_id, t, n_train, CAST(list_position(mass, list_max(mass)) - 1 AS BIGINT) run_length
+           FROM rl JOIN z ON z.series_id = rl.series_id AND z.i = rl.i)"""
+ORACLES["q_bocd_change_points"] = f"""WITH RECURSIVE {_RUNS}
+    SELECT series_id, t, run_length, t > n_train AND run_length < lag(run_length) {BY_T} AS change_point FROM ru"""

@@ -166,14 +166,23 @@ def replay(
     return out
 
 
-def running_best(results: DataFrame, keys, value: str = "rmse_test", order: str = "config_id") -> DataFrame:
-    """Best error up to each run and whether the run improved it."""
-    upto = Window.partitionBy(*keys).orderBy(order)
-    best = F.min(value).over(upto.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.min(value).over(upto.rowsBetween(Window.unboundedPreceding, -1))
-    return results.withColumn("best_so_far", best).withColumn(
-        "improved", F.coalesce(F.col(value) < before, F.col(value).isNotNull())
-    )
+def running_best(results: DataFrame, keys, value: str = "rmse_test", order: str = "config_id", block: int = 10_000) -> DataFrame:
+    """Best error up to each run and whether the run improved it.
+
+    Runs are cut into blocks of their numbers: the best of all blocks before comes from one row per block, so that a key with
+    very many runs is not one window.
+    """
+    keys = list(keys)
+    rows = results.withColumn("_block", F.floor(F.col(order) / block))
+    lowest = rows.groupBy(*keys, "_block").agg(F.min(value).alias("_lowest"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lowest.select(*keys, "_block", F.min("_lowest").over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    earlier = F.least(F.min(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    return rows.join(carried, [*keys, "_block"]).withColumn("_earlier", earlier).withColumns({
+        "best_so_far": F.least(value, "_earlier"),
+        "improved": F.coalesce(F.col(value) < F.col("_earlier"), F.col(value).isNotNull()),
+    }).drop("_block", "_carried", "_earlier")
 
 
 def stored_settings(text: Column) -> Column:

@@ -85,11 +85,16 @@ class DatasetSpec:
     drop_from: str | None = None  # first date no longer recorded
     break_date: str | None = None
     weekly: bool = False
+    quarter: bool | None = None  # rows of one quarter a year only; unset: as the name says
     split_perc: float | None = 0.8
 
     @property
     def model_season(self) -> int:
-        return int(self.series.season / 7) if self.weekly else self.series.season
+        """Steps of a season after weekly resampling; data of one quarter have a fourth of them."""
+        if not self.weekly:
+            return self.series.season
+        weeks = int(self.series.season / 7)
+        return int(weeks / 4) if (self.quarter if self.quarter is not None else "quarter" in self.name) else weeks
 
     @property
     def fold_lengths(self) -> tuple[int, int]:
