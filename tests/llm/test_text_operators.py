@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -414,3 +415,24 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     clean = {d for d, t in plain.items() if not any(b in t for b in bench)}
     assert set(rows) <= clean and len(rows) >= 0.99 * len(clean)
     assert all(rows[d].decoded_sha256 == hashlib.sha256(texts[d].encode()).hexdigest() for d in rows)
+
+
+def test_leak_search_holds_bounded_memory():
+    rng = np.random.default_rng(5)
+    docs = rng.integers(0, 1 << 32, (2000, 600), dtype=np.uint32)
+    packed = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(docs)), pa.int64()), pa.array([d.astype("<u4").tobytes() for d in docs], pa.binary())], ["doc_id", "words"]
+    )
+    items = [(i, docs[10 * i, 100:160].tolist()) for i in range(100)]
+    basis = rng.standard_normal((decontaminate.FEATURES + 1, decontaminate.RANK)).astype(np.float32)
+    basis[-1] = 0
+    idf, counts = np.ones(decontaminate.FEATURES + 1, np.float32), np.zeros(decontaminate.COUNTED, np.int64)
+    search = decontaminate._search(basis, idf, counts, items)
+    tracemalloc.start()
+    try:
+        found = {(d, k) for b in search(iter([packed])) for d, k in zip(b.column("doc_id").to_pylist(), b.column("item_id").to_pylist())}
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == {(10 * i, i) for i in range(100)}
+    assert peak < 60 << 20, peak

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, id_and_text
-from tidemark.llm.words import bucket_counts, store_words, unpack, word_hashes
+from tidemark.llm.words import SLICE_WORDS, bucket_counts, store_words, token_slices, word_hashes
 
 FEATURES, RANK = 1 << 13, 64
 TILE, TILES = 6, 4
@@ -34,6 +34,8 @@ COUNTED = 1 << 16
 _MAP = 1 << 20
 #: The benchmark is searched in blocks of so many items and characters, which bounds what is broadcast.
 BLOCK_ITEMS, BLOCK_CHARS = 1000, 2_000_000
+#: Cosines of windows and passages that are held at once.
+CELLS = 1 << 21
 
 
 def _tiled(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,11 +69,12 @@ def _document_frequency(words: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FEATURES + 2, np.int64)
         for b in batches:
-            table = np.sort(_tiled(*unpack(b.column("words")), PASSAGE)[0], axis=1)
-            new = np.ones(table.shape, bool)
-            new[:, 1:] = table[:, 1:] != table[:, :-1]
-            total[: FEATURES + 1] += np.bincount(table[new], minlength=FEATURES + 1)
-            total[FEATURES + 1] += len(table)
+            for *_, words, first in token_slices(b.column("words"), SLICE_WORDS):
+                table = np.sort(_tiled(words, first, PASSAGE)[0], axis=1)
+                new = np.ones(table.shape, bool)
+                new[:, 1:] = table[:, 1:] != table[:, :-1]
+                total[: FEATURES + 1] += np.bincount(table[new], minlength=FEATURES + 1)
+                total[FEATURES + 1] += len(table)
         yield batch(feature=np.arange(FEATURES + 2, dtype=np.int32), n=total)
 
     sums = words.select("words").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
@@ -91,8 +94,8 @@ def _sketch(words: DataFrame, weight: np.ndarray, random: np.ndarray) -> np.ndar
         weight, random = shared.value
         weighted = np.vstack([weight[:, None] * random, np.zeros((1, RANK))]).astype(np.float32)
         total = np.zeros((FEATURES + 1, RANK))
-        for b in batches:
-            table = _tiled(*unpack(b.column("words")), PASSAGE)[0]
+        tables = (_tiled(words, first, PASSAGE)[0] for b in batches for *_, words, first in token_slices(b.column("words"), SLICE_WORDS))
+        for table in tables:
             for i in range(0, len(table), 1 << 13):
                 some = table[i : i + (1 << 13)]
                 latent = _summed(weighted, some)
@@ -269,8 +272,9 @@ def _search(basis: np.ndarray, idf: np.ndarray, counts: np.ndarray, items: list[
         for count, across, owner, need in kinds:
             if not len(owner):
                 continue
-            for i in range(0, len(tiles), 2048):
-                n = min(2048, len(tiles) - i)
+            step = max(1, min(2048, CELLS // len(owner)))
+            for i in range(0, len(tiles), step):
+                n = min(step, len(tiles) - i)
                 windows = _unit(sum(padded[i + k : i + k + n] for k in range(count)))
                 close = np.flatnonzero((windows @ across).ravel() >= COSINE)
                 tile, passage = close // len(owner) + i, close % len(owner)
@@ -285,22 +289,27 @@ def _search(basis: np.ndarray, idf: np.ndarray, counts: np.ndarray, items: list[
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, first = unpack(b.column("words"))
-            table, doc, at = _tiled(words, first, TILE)
-            ids, out = b.column("doc_id").to_pylist(), {}
-            tile, item = candidates(table)
-            room = np.array([len(w) + TILE for _, w in items], np.int64)[item]
-            begin = first[doc[tile]] + at[tile]
-            near = (doc[tile], item, np.maximum(first[doc[tile]], begin - room), np.minimum(first[doc[tile] + 1], begin + PASSAGE + room))
-            for d, k, low, high in _merged(near, _rare_stretches(words, first, *rare)):
-                found = leak(items[k][1], words[low:high])
+            for i, j, words, first in token_slices(b.column("words"), SLICE_WORDS):
+                found = matches(words, first)
                 if found:
-                    out[d, k] = max(out.get((d, k), (0.0, False)), found)
-            if out:
-                yield batch(
-                    doc_id=pa.array([ids[d] for d, _ in out], pa.int64()), item_id=pa.array([items[k][0] for _, k in out], pa.int64()),
-                    overlap=pa.array([v[0] for v in out.values()], pa.float64()), answer=pa.array([v[1] for v in out.values()], pa.bool_()),
-                )
+                    ids = b.column("doc_id").slice(i, j - i).to_pylist()
+                    yield batch(
+                        doc_id=pa.array([ids[d] for d, _ in found], pa.int64()), item_id=pa.array([items[k][0] for _, k in found], pa.int64()),
+                        overlap=pa.array([v[0] for v in found.values()], pa.float64()), answer=pa.array([v[1] for v in found.values()], pa.bool_()),
+                    )
+
+    def matches(words: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, bool]]:
+        table, doc, at = _tiled(words, first, TILE)
+        out = {}
+        tile, item = candidates(table)
+        room = np.array([len(w) + TILE for _, w in items], np.int64)[item]
+        begin = first[doc[tile]] + at[tile]
+        near = (doc[tile], item, np.maximum(first[doc[tile]], begin - room), np.minimum(first[doc[tile] + 1], begin + PASSAGE + room))
+        for d, k, low, high in _merged(near, _rare_stretches(words, first, *rare)):
+            found = leak(items[k][1], words[low:high])
+            if found:
+                out[d, k] = max(out.get((d, k), (0.0, False)), found)
+        return out
 
     return search
 

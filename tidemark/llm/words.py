@@ -15,6 +15,8 @@ from tidemark.llm.spans import mix, span_hashes
 from tidemark.session import cut_lineage
 
 _LONGEST = 1 << 13
+#: Words of packed documents that a pass works on at once (one document may hold more).
+SLICE_WORDS = 1 << 18
 #: ASCII letters and digits and all other than ASCII belong to words.
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -84,7 +86,8 @@ def bucket_counts(words: DataFrame, buckets: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            total += np.bincount(unpack(b.column("words"))[0] % buckets, minlength=buckets)
+            for *_, some, _ in token_slices(b.column("words"), SLICE_WORDS):
+                total += np.bincount(some % buckets, minlength=buckets)
         some = np.flatnonzero(total)
         yield batch(bucket=pa.array(some, pa.int32()), n=total[some])
 
