@@ -22,7 +22,7 @@ INTERVAL = 1.96
 #: Steps of one ascent; a fit that has not settled by then says so.
 STEPS = 60
 #: Cells of kernel matrices evaluated together, and the size of a block inverted at once.
-CELLS, BLOCK = 1 << 15, 8
+CELLS, BLOCK = 1 << 15, 24
 
 
 def parameters(kernel, period: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -120,22 +120,19 @@ def _triangle(n: int) -> tuple[np.ndarray, ...]:
 
 
 def _inverse_lower(low: np.ndarray) -> np.ndarray:
-    """Inverses of stacked lower triangular matrices: all small blocks on the diagonals at once, then joined pairwise."""
+    """Inverses of stacked lower triangular matrices: the blocks on the diagonals first, then joined pairwise.
+
+    The way does not depend on the number of matrices, because a fit must not depend on what is fitted beside it.
+    """
     count, n, _ = low.shape
-    if count < 8 or n <= BLOCK:
+    if n <= BLOCK:
         return np.linalg.inv(low)
     blocks = -(-n // BLOCK)
     rest, whole = np.arange(n, blocks * BLOCK), np.zeros((count, blocks * BLOCK, blocks * BLOCK))
     whole[:, :n, :n], whole[:, rest, rest] = low, 1.0
-    on = np.arange(blocks)
-    small = whole.reshape(count, blocks, BLOCK, blocks, BLOCK)[:, on, :, on, :].transpose(2, 3, 0, 1).copy()
-    found = np.zeros_like(small)
-    for i in range(BLOCK):
-        found[i, i] = 1 / small[i, i]
-        for j in range(i):
-            found[i, j] = -(small[i, j:i] * found[j:i, j]).sum(axis=0) * found[i, i]
-    out = np.zeros_like(whole)
-    out.reshape(count, blocks, BLOCK, blocks, BLOCK)[:, on, :, on, :] = found.transpose(2, 3, 0, 1)
+    on, out = np.arange(blocks), np.zeros_like(whole)
+    in_blocks = (count, blocks, BLOCK, blocks, BLOCK)
+    out.reshape(in_blocks)[:, on, :, on, :] = np.linalg.inv(whole.reshape(in_blocks)[:, on, :, on, :])
 
     def join(a: int, c: int) -> None:
         b = (a + c) // 2 // BLOCK * BLOCK
@@ -148,24 +145,63 @@ def _inverse_lower(low: np.ndarray) -> np.ndarray:
     return out[:, :n, :n]
 
 
-def likelihoods(kernel, theta: np.ndarray, d: np.ndarray, y: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log marginal likelihoods and gradients for the rows of ``theta, d, y, alpha``; ``d`` is the lower triangle of distances.
+@dataclass
+class Cells:
+    """Where the kernel is evaluated for sets of one size: the cells of the lower triangle, or its distinct distances.
+
+    Sets at regular positions have few distinct distances; ``share`` then names that of each cell.
+    """
+
+    n: int
+    share: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.cells, self.whole, self.same, self.weight = _triangle(self.n)
+        if self.share is not None:
+            order = np.argsort(self.share, kind="stable")
+            self.borders = np.flatnonzero(np.diff(self.share[order], prepend=-1))
+            self.cells, self.whole, self.weight = self.cells[order], self.share[self.whole], self.weight[order]
+            self.same = np.append(1.0, np.zeros(len(self.borders) - 1))
+
+    def sums(self, outer: np.ndarray) -> np.ndarray:
+        """What the derivatives at each distance are multiplied with, from stacked symmetric matrices."""
+        each = outer.reshape(len(outer), -1).take(self.cells, axis=1)
+        each *= self.weight
+        return each if self.share is None else np.add.reduceat(each, self.borders, axis=1)
+
+
+def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Distances of the lower triangle of a set, or the distinct ones and the number of each cell's; the diagonal comes first."""
+    n = len(x)
+    d = distances(x, x)[np.tril_indices(n)]
+    if x.shape[1] == 1:
+        distinct, share = np.unique(np.where(_triangle(n)[2] > 0, -1.0, d), return_inverse=True)
+        if 4 * len(distinct) <= len(d):
+            return np.maximum(distinct, 0.0), share
+    return d, None
+
+
+def likelihoods(
+    kernel, theta: np.ndarray, d: np.ndarray, y: np.ndarray, alpha: np.ndarray, at: Cells | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Log marginal likelihoods and gradients for the rows of ``theta, d, y, alpha``; ``d`` is the lower triangle of distances,
+    or what ``at`` makes of it.
 
     The matrices of some rows are factorised together. Minus infinity where a matrix is not positive definite.
     """
+    at = at or Cells(y.shape[1])
     value, gradient = np.empty(len(theta)), np.empty(theta.shape)
-    step = max(1, CELLS // d.shape[1])
+    step = max(1, CELLS // len(at.cells))
     for i in range(0, len(theta), step):
         some = slice(i, i + step)
-        value[some], gradient[some] = _likelihoods(kernel, theta[some], d[some], y[some], alpha[some])
+        value[some], gradient[some] = _likelihoods(kernel, theta[some], d[some], y[some], alpha[some], at)
     return value, gradient
 
 
-def _likelihoods(kernel, theta, d, y, alpha):
+def _likelihoods(kernel, theta, d, y, alpha, at: Cells):
     count, n = y.shape
-    cells, whole, diagonal, weight = _triangle(n)
-    k, derivatives = kernel_values(kernel, theta, d, diagonal, True)
-    full = k.take(whole, axis=1).reshape(count, n, n)
+    k, derivatives = kernel_values(kernel, theta, d, at.same, True)
+    full = k.take(at.whole, axis=1).reshape(count, n, n)
     full[:, np.arange(n), np.arange(n)] += alpha[:, None]
     try:
         low = np.linalg.cholesky(full)
@@ -173,16 +209,17 @@ def _likelihoods(kernel, theta, d, y, alpha):
         if count == 1:
             return np.full(1, -np.inf), np.zeros(theta.shape)
         h = count // 2
-        parts = [_likelihoods(kernel, theta[s], d[s], y[s], alpha[s]) for s in (slice(h), slice(h, None))]
+        parts = [_likelihoods(kernel, theta[s], d[s], y[s], alpha[s], at) for s in (slice(h), slice(h, None))]
         return tuple(np.concatenate(p) for p in zip(*parts))
     inverse = _inverse_lower(low)
     back = inverse.transpose(0, 2, 1)
     w = (back @ (inverse @ y[:, :, None]))[:, :, 0]
-    logs = np.log(low[:, np.arange(n), np.arange(n)]).sum(axis=1)
+    logs = np.log(np.ascontiguousarray(low.reshape(count, -1)[:, :: n + 1])).sum(axis=1)
     value = -0.5 * (y * w).sum(axis=1) - logs - n / 2 * math.log(2 * math.pi)
-    outer = (w[:, :, None] * w[:, None, :] - back @ inverse).reshape(count, -1).take(cells, axis=1)
-    outer *= weight
-    return value, np.stack([0.5 * (outer * g).sum(axis=1) for g in derivatives], axis=1)
+    outer = w[:, :, None] * w[:, None, :]
+    outer -= back @ inverse
+    sums = at.sums(outer)
+    return value, np.stack([0.5 * (sums * g).sum(axis=1) for g in derivatives], axis=1)
 
 
 def log_likelihood(kernel, theta: np.ndarray, d: np.ndarray, y: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
@@ -271,25 +308,28 @@ def starts_of(kernel, period: int | None, restarts: int, seed: int = 42, theta0=
 def fit_starts(kernel, sets: list[tuple[np.ndarray, np.ndarray]], owner, starts: np.ndarray, alpha, normalize_y, period=None) -> list[Fit]:
     """One ascent per row of ``starts``, with its own ``alpha`` and ``normalize_y``, on the training set number ``owner``.
 
-    Each set has one matrix of distances; rows of sets of one size are evaluated together.
+    Each set has one matrix of distances; rows of sets of one size and pattern of distances are evaluated together.
     """
     owner, alpha, normal = np.asarray(owner), np.asarray(alpha, dtype=float), np.asarray(normalize_y).astype(int)
-    sizes = np.array([len(y) for _, y in sets])
-    groups = {}
-    place = np.zeros(len(sets), int)
-    for n in np.unique(sizes[owner]):
-        mine = np.flatnonzero(sizes == n)
-        place[mine] = np.arange(len(mine))
-        d = np.stack([distances(sets[i][0], sets[i][0])[np.tril_indices(n)] for i in mine])
-        groups[n] = d, np.stack([[sets[i][1], _normalised(sets[i][1], True)[0]] for i in mine])
+    members: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+    for i in np.unique(owner):
+        d, share = places(sets[i][0])
+        members.setdefault((len(sets[i][1]), None if share is None else share.tobytes()), []).append((i, d))
+    groups, group, place = [], np.zeros(len(sets), int), np.zeros(len(sets), int)
+    for (n, share), mine in members.items():
+        for at, (i, _) in enumerate(mine):
+            group[i], place[i] = len(groups), at
+        cells = Cells(n, None if share is None else np.frombuffer(share, np.int64))
+        groups.append((cells, np.stack([d for _, d in mine]), np.stack([[sets[i][1], _normalised(sets[i][1], True)[0]] for i, _ in mine])))
 
     def objective(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value, gradient = np.empty(len(rows)), np.empty(points.shape)
-        size = sizes[owner[rows]]
-        for n, (d, y) in groups.items():
-            some = np.flatnonzero(size == n)
-            mine = place[owner[rows[some]]]
-            value[some], gradient[some] = likelihoods(kernel, points[some], d[mine], y[mine, normal[rows[some]]], alpha[rows[some]])
+        mine = group[owner[rows]]
+        for g in np.unique(mine):
+            cells, d, y = groups[g]
+            some = np.flatnonzero(mine == g)
+            own = place[owner[rows[some]]]
+            value[some], gradient[some] = likelihoods(kernel, points[some], d[own], y[own, normal[rows[some]]], alpha[rows[some]], cells)
         return value, gradient
 
     theta, value, converged = maximise(objective, starts, parameters(kernel, period)[1])

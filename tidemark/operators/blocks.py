@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.session import task_count
+from tidemark.session import cut_lineage, task_count
 from tidemark.spec import SeriesSpec
 
 CALENDAR_CHUNK = 4_096
@@ -61,10 +61,8 @@ def dense_calendar(df: DataFrame, spec: SeriesSpec, fill: float | None = 0.0) ->
     values = [c for c in df.columns if c not in (*keys, spec.ts)]
     rows = df.withColumn("_g", step_index(F.col(spec.ts), spec.step)).drop(spec.ts)
     rows = rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "_g")]))
-    # the bounds touch all columns, so that both readers of ``rows`` can share the shuffle below them
-    seen = [F.count(c).alias(f"_n_{c}") for c in values]
-    bounds = rows.groupBy(*keys).agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi"), *seen)
-    bounds = bounds.where(F.coalesce(*[F.col(f"_n_{c}") for c in values], F.lit(0)) >= 0) if values else bounds
+    rows = cut_lineage(rows, "steps")  # read twice, and often a sum over a large table
+    bounds = rows.groupBy(*keys).agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi"))
     chunks = bounds.withColumn(
         "_from", F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.lit(CALENDAR_CHUNK).cast("long")))
     )

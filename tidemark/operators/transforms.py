@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.splits import TRAIN
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, task_count
+
+#: Rows of one series that are summed up together while a power is fitted.
+BLOCK_ROWS = 65_536
 
 
 def _train(df: DataFrame) -> DataFrame:
@@ -81,7 +84,9 @@ def power_fit(
     """
     keys = list(keys)
     y = F.col(target)
-    rows = _train(df).select(*keys, F.signum(y).alias("_sign"), F.log1p(F.abs(y)).alias("_size"))
+    # rows of a series lie together (long series in blocks), so that a task sums up few series times grid points
+    block = F.floor(F.col("t") / BLOCK_ROWS) if "t" in df.columns else F.lit(0)
+    rows = _train(df).select(*keys, F.signum(y).alias("_sign"), F.log1p(F.abs(y)).alias("_size"), block.alias("_block"))
     if rounds > 1:
         rows = cut_lineage(rows, "power")
     half = (points - 1) // 2
@@ -90,6 +95,7 @@ def power_fit(
     for _ in range(rounds):
         scored = rows if best is None else rows.join(best, keys)
         offsets = F.explode(F.lit([i * step for i in range(-half, half + 1)]))
+        scored = scored.repartition(task_count(df), *keys, "_block")
         scored = scored.select(*keys, "_sign", "_size", centre.alias("_centre"), offsets.alias("_offset"))
         # partial sums leave every task as one row per series and grid point
         likelihoods = (

@@ -27,6 +27,8 @@ from tidemark.spec import GPSpec
 CHUNK_ROWS = 2_048
 #: Starts that a row of a search fits side by side, and rows that a task gets.
 STARTS_PER_ROW, JOBS_PER_TASK = 64, 8
+#: Jobs that a task fits side by side, and cells of their matrices.
+STACK_JOBS, STACK_CELLS = 256, 1 << 21
 DOUBLES = T.ArrayType(T.DoubleType())
 FITTED = [
     T.StructField("theta", DOUBLES),
@@ -100,7 +102,11 @@ def fit(jobs: DataFrame, gp: GPSpec, features=("x",)) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_fit_one(job, skip, period, seed) for job in batch.to_dict("records")]
+            jobs = batch.to_dict("records")
+            found: list[dict] = [{}] * len(jobs)
+            for some in _stacks(jobs):
+                for i, f in zip(some, _fit_stack([jobs[i] for i in some], skip, period, seed)):
+                    found[i] = f
             out = batch.copy()
             for name in ("theta", "likelihood", "converged", "x_mean", "x_std", "status", "error"):
                 out[name] = [f[name] for f in found]
@@ -111,18 +117,57 @@ def fit(jobs: DataFrame, gp: GPSpec, features=("x",)) -> DataFrame:
     return jobs.repartition(task_count(jobs), F.xxhash64(*ids)).mapInPandas(work, schema)
 
 
-def _fit_one(job: dict, skip: np.ndarray, period: int | None, seed: int) -> dict:
-    out = dict(theta=None, likelihood=None, converged=None, x_mean=None, x_std=None, status="ok", error=None)
+def _stacks(jobs: list[dict]) -> Iterator[list[int]]:
+    """Numbers of jobs of one kernel, few enough to be fitted side by side; similar sizes go together."""
+    some, cells, last = [], 0, None
+    for i in sorted(range(len(jobs)), key=lambda i: (jobs[i]["kernel"], len(jobs[i]["ys"]))):
+        own = len(jobs[i]["ys"]) ** 2 * (int(jobs[i]["n_restarts"]) + 1)
+        if some and (jobs[i]["kernel"] != last or len(some) >= STACK_JOBS or cells + own > STACK_CELLS):
+            yield some
+            some, cells = [], 0
+        some.append(i)
+        cells, last = cells + own, jobs[i]["kernel"]
+    if some:
+        yield some
+
+
+def _fit_stack(jobs: list[dict], skip: np.ndarray, period: int | None, seed: int) -> list[dict]:
+    """Fits of jobs of one kernel, each as if it were alone."""
+    out = [dict(theta=None, likelihood=None, converged=None, x_mean=None, x_std=None, status="failed", error=None) for _ in jobs]
+    sets, owner, starts, mine = [], [], [], []
+    for job, result in zip(jobs, out):
+        try:
+            kernel = kernel_of(job["kernel"])
+            x, y, mean, std = _training_set(job["xs"], job["ys"], job["standardize"], skip)
+            first = numerics.starts_of(kernel, period, int(job["n_restarts"]), seed, job.get("theta0"))
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as problem:
+            result["error"] = str(problem)
+            continue
+        owner += [len(sets)] * len(first)
+        sets.append(((x - mean) / std, y))
+        starts.append(first)
+        mine.append((job, result, mean, std))
+    if not mine:
+        return out
+    each = [len(s) for s in starts]
+    spread = lambda values: np.repeat(np.array(values), each)
     try:
-        x, y, mean, std = _training_set(job["xs"], job["ys"], job["standardize"], skip)
-        theta0 = job.get("theta0")
-        fitted = numerics.fit(
-            kernel_of(job["kernel"]), (x - mean) / std, y, job["alpha"], job["normalize_y"],
-            theta0=theta0, period=period, restarts=int(job["n_restarts"]), seed=seed,
+        fits = numerics.fit_starts(
+            kernel, sets, owner, np.concatenate(starts), spread([float(j["alpha"]) for j, *_ in mine]),
+            spread([bool(j["normalize_y"]) for j, *_ in mine]), period,
         )
-        out |= dict(theta=fitted.theta.tolist(), likelihood=fitted.likelihood, converged=fitted.converged, x_mean=mean.tolist(), x_std=std.tolist())
     except (ValueError, ArithmeticError, np.linalg.LinAlgError) as problem:
-        out |= dict(status="failed", error=str(problem))
+        if len(jobs) == 1:
+            mine[0][1]["error"] = str(problem)
+            return out
+        return [_fit_stack([job], skip, period, seed)[0] for job in jobs]
+    for (_, result, mean, std), end, n in zip(mine, np.cumsum(each), each):
+        best = max(fits[end - n : end], key=lambda f: f.likelihood)
+        if not np.isfinite(best.likelihood):
+            result["error"] = "kernel matrix is not positive definite"
+            continue
+        result |= dict(theta=best.theta.tolist(), likelihood=best.likelihood, converged=best.converged,
+                       x_mean=mean.tolist(), x_std=std.tolist(), status="ok")
     return out
 
 
@@ -314,14 +359,17 @@ def predict(points: DataFrame, models: DataFrame, on) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [_predict_one(job, ids) for job in batch.to_dict("records")]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            found = [_predict_one(job) for job in batch.to_dict("records")]
+            if found:
+                t, centre, half = (np.concatenate(c) for c in zip(*found))
+                rows = batch[ids].iloc[np.repeat(np.arange(len(batch)), [len(f[0]) for f in found])].reset_index(drop=True)
+                yield rows.assign(t=t, prediction=centre, lower_conf=centre - half, upper_conf=centre + half)
 
     return paired.repartition(task_count(paired), F.xxhash64(*ids, "_chunk")).mapInPandas(work, schema)
 
 
-def _predict_one(job: dict, ids) -> pd.DataFrame:
+def _predict_one(job: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, predictions and half the widths of their intervals."""
     centre = half = np.full(len(job["_t"]), np.nan)
     if job["theta"] is not None:
         y = np.asarray(job["ys"], dtype=float)
@@ -333,7 +381,4 @@ def _predict_one(job: dict, ids) -> pd.DataFrame:
             half = numerics.INTERVAL * spread
         except np.linalg.LinAlgError:  # a matrix on the edge of being positive definite
             pass
-    out = pd.DataFrame({"t": job["_t"], "prediction": centre, "lower_conf": centre - half, "upper_conf": centre + half})
-    for i, c in enumerate(ids):
-        out.insert(i, c, job[c])
-    return out
+    return np.asarray(job["_t"], dtype=np.int64), centre, half

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import dense_calendar
+from tidemark.session import cut_lineage
 from tidemark.spec import SeriesSpec
 
 MONTHLY = SeriesSpec(season=12, step="month")
@@ -18,13 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def supplier_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    """Quantity shipped per supplier and month; the number of series grows with the tables."""
+    """Quantity shipped per supplier and month; the number of series grows with the tables.
+
+    Stored, because plans read it several times and each reader would sum up all of ``lineitem`` again.
+    """
     raw = (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_suppkey").cast("string").alias("series_id"), F.date_trunc("month", "l_shipdate").alias("ts"))
         .agg(F.sum("l_quantity").alias("y"))
     )
-    return dense_calendar(raw, MONTHLY)
+    return cut_lineage(dense_calendar(raw, MONTHLY), "supplier-months")
 
 
 def revenue_monthly(spark: SparkSession, folder: str) -> DataFrame:
