@@ -36,6 +36,8 @@ _MAP = 1 << 20
 BLOCK_ITEMS, BLOCK_CHARS = 1000, 2_000_000
 #: Cosines of windows and passages that are held at once.
 CELLS = 1 << 21
+#: Vectors of one feature that the sketch adds up in one step.
+TOGETHER = 8
 
 
 def _tiled(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +65,22 @@ def _summed(vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _summed_by(group: np.ndarray, vectors: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of the sorted ``group`` and the sum of ``vectors[rows]`` for each: sums of some rows first, then sums of
+    those, until one is left (``np.add.reduceat`` along rows takes about ten times as long)."""
+    while True:
+        begin = np.flatnonzero(np.diff(group, prepend=-1))
+        sizes = np.diff(begin, append=len(group))
+        lines = -(-sizes // TOGETHER)
+        ends = np.cumsum(lines)
+        table = np.full(int(lines.sum()) * TOGETHER, len(vectors), np.int32)
+        table[np.arange(len(group)) - np.repeat(begin - (ends - lines) * TOGETHER, sizes)] = rows
+        vectors = _summed(np.vstack([vectors, np.zeros((1, vectors.shape[1]), vectors.dtype)]), table.reshape(-1, TOGETHER))
+        group, rows = np.repeat(group[begin], lines), np.arange(len(vectors))
+        if len(group) == len(begin):
+            return group, vectors
+
+
 def _document_frequency(words: DataFrame) -> tuple[np.ndarray, int]:
     """How many passages hold each feature, and the number of passages. Fixed size."""
 
@@ -101,8 +119,8 @@ def _sketch(words: DataFrame, weight: np.ndarray, random: np.ndarray) -> np.ndar
                 latent = _summed(weighted, some)
                 flat = some.ravel()
                 order = np.argsort(flat, kind="stable")
-                borders = np.flatnonzero(np.diff(flat[order].astype(np.int32), prepend=-1))
-                total[flat[order[borders]]] += np.add.reduceat(latent[order // PASSAGE], borders, axis=0)
+                feature, sums = _summed_by(flat[order].astype(np.int32), latent, order // PASSAGE)
+                total[feature] += sums
         total = total[:FEATURES] * weight[:, None]
         yield batch(feature=np.arange(FEATURES, dtype=np.int32), **{n: total[:, i] for i, n in enumerate(names)})
 
