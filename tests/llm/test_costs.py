@@ -3,8 +3,9 @@
 import time
 
 import numpy as np
+import pytest
 
-from tidemark.llm import decontaminate
+from tidemark.llm import decontaminate, phrases
 
 
 def test_sums_by_feature_are_right_and_several_times_faster_than_reduceat():
@@ -23,3 +24,22 @@ def test_sums_by_feature_are_right_and_several_times_faster_than_reduceat():
     assert (feature == group[borders]).all()
     assert np.allclose(sums, expected, atol=1e-2)
     assert 2 * after < before
+
+
+@pytest.mark.parametrize("most, width", [(1 << 20, 4), (1 << 40, 8)])
+def test_counted_pairs_are_dealt_in_few_bytes(most, width):
+    rng = np.random.default_rng(4)
+    code = np.unique(rng.integers(0, 50_000, 20_000) << 32 | rng.zipf(1.2, 20_000) % 50_000)
+    prefix, suffix, n = code >> 32, code & 0xFFFFFFFF, np.minimum(rng.zipf(2.5, len(code)), 1000)
+    prefix[-1] = most
+    packed, got = phrases._packed(prefix, suffix, n)
+    assert got == width and len(packed) < 5 * len(n)  # 12 bytes, 24 where a number is wide, before compression
+    assert (phrases._unpacked(packed, len(n), width) == [prefix, suffix, n]).all()
+
+
+def test_places_of_the_last_length_are_not_stored(spark):
+    docs = spark.createDataFrame([("en", "to be or not to be")] * 40, "lang string, text string")
+    relation = phrases.occurrences(docs)
+    words = phrases.frequent_words(relation, 30)
+    assert "places" in phrases.extend(relation, ["lang", "word"], words).columns
+    assert phrases.extend(relation, ["lang", "word"], words, True).columns == ["block", "prefix", "suffix", "n"]

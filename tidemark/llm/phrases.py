@@ -7,8 +7,8 @@ made from the one before:
 
 1. merge-join of the relation with itself on piece and next position: a phrase of k words begins where two frequent ones of
    k - 1 words follow each other (all parts of a frequent phrase are frequent);
-2. group-count: each block counts its own phrases and cuts them into parts by hash of (first part, last part), packed; Spark
-   groups by part and sums. The number of parts follows from what was counted, so a group has a bounded size;
+2. group-count: each block counts its own phrases and cuts them into parts by hash of (first part, last part), sorted and
+   compressed; Spark groups by part and sums. The number of parts follows from what was counted, so a group has a bounded size;
 3. semi-join: places of phrases that are not frequent are dropped before the next level. Frequent phrases are looked up in
    tasks while they are few (the bound is checked before), otherwise joined to the blocks.
 
@@ -37,7 +37,7 @@ from tidemark.session import cut_lineage, new_table_path
 #: The ends of pieces, the language of texts without one, and the scale of the score.
 PIECE_ENDS, NO_LANGUAGE, SCALE = b".,;:!?\n\x0b\x0c\r", "und", 2_000_000
 LONGEST, MIN_COUNT, COVERED_PERCENT, TOP = 4, 30, 80, 2000
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: Phrases that a counting group holds, on average, and rows that are numbered together.
 PART_PHRASES, PART_ROWS = 1_000_000, 500_000
 #: Frequent words or phrases are looked up in tasks up to so many rows and bytes of text, else joined.
@@ -172,13 +172,17 @@ def _looked_up(relation: DataFrame, key: list[str], frequent: DataFrame) -> Data
     return relation.select("block", "places", *key).mapInArrow(work, _PAIRS)
 
 
-def extend(relation: DataFrame, key: list[str], frequent: DataFrame) -> DataFrame:
-    """The stored relation of the next length: ``block, places`` and, by number, ``prefix, suffix, n``."""
+def extend(relation: DataFrame, key: list[str], frequent: DataFrame, last: bool = False) -> DataFrame:
+    """The stored relation of the next length: ``block, places`` and, by number, ``prefix, suffix, n``.
+
+    Only counts are asked of the ``last`` length, so its places are not stored.
+    """
     text = F.sum(F.octet_length("word") + F.octet_length("lang")) if "word" in key else F.lit(0)
     size = frequent.agg(F.count("*").alias("rows"), text.alias("bytes"), F.max("id").alias("id")).first()
     few = size.rows <= (LOOKUP_WORDS if "word" in key else LOOKUP_PHRASES) and (size.bytes or 0) <= LOOKUP_BYTES
     build = _looked_up if few and (size.id or 0) < 1 << 31 else _joined
-    return _stored(build(relation, key, frequent))
+    longer = build(relation, key, frequent)
+    return _stored(longer.drop("places") if last else longer)
 
 
 def _word_counts(relation: DataFrame, key: list[str]) -> DataFrame:
@@ -186,6 +190,22 @@ def _word_counts(relation: DataFrame, key: list[str]) -> DataFrame:
     return own.groupBy(*key).agg(F.sum("n").alias("a"))
 
 
+def _packed(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> tuple[bytes, int]:
+    """Counted pairs in ascending order as compressed planes of bytes, first parts as differences; and the bytes of a number."""
+    width = 4 if max(prefix.max(initial=0), suffix.max(initial=0), n.max(initial=0)) < 1 << 32 else 8
+    numbers = np.stack([np.diff(prefix, prepend=0), suffix, n]).astype(f"<u{width}")
+    planes = numbers.view(np.uint8).reshape(3, len(n), width).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True), width
+
+
+def _unpacked(pairs: bytes, rows: int, width: int) -> np.ndarray:
+    """What ``_packed`` got, as three rows."""
+    planes = np.frombuffer(pa.decompress(pairs, 3 * rows * width, codec="zstd", asbytes=True), np.uint8).reshape(3, width, rows)
+    numbers = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f"<u{width}")[:, :, 0].astype(np.int64)
+    np.cumsum(numbers[0], out=numbers[0])
+    return numbers
+
+
 def _phrase_counts(relation: DataFrame, least: int) -> DataFrame:
     """``prefix, suffix, a`` of all phrases found ``least`` times or more."""
     phrases = relation.agg(F.sum(F.size("n"))).first()[0] or 0
@@ -195,21 +215,20 @@ def _phrase_counts(relation: DataFrame, least: int) -> DataFrame:
         for b in batches:
             for row in zip(*(b.column(c) for c in ("prefix", "suffix", "n"))):
                 prefix, suffix, n = (v.values.to_numpy() for v in row)
+                order = np.lexsort((suffix, prefix)) if max(prefix.max(initial=0), suffix.max(initial=0)) >> 31 else np.argsort(prefix << 32 | suffix)
                 mixed = mix(prefix.astype(np.uint64) * np.uint64(MULTIPLIERS[0]) + suffix.astype(np.uint64))
-                part = (mixed % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                borders = np.flatnonzero(np.diff(part[order], prepend=-1))
-                kind = "<u4" if max(prefix.max(initial=0), suffix.max(initial=0), n.max(initial=0)) < 1 << 32 else "<u8"
+                part = (mixed % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+                order = order[np.argsort(part[order], kind="stable")]
+                borders = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
                 for some in np.split(order, borders[1:]):
                     if len(some):
-                        packed = [pa.array([v[some].astype(kind).tobytes()], pa.binary()) for v in (prefix, suffix, n)]
-                        yield batch(part=pa.array([part[some[0]]], pa.int32()), kind=[kind], prefix=packed[0], suffix=packed[1], n=packed[2])
+                        pairs, width = _packed(prefix[some], suffix[some], n[some])
+                        yield batch(part=pa.array([part[some[0]]], pa.int32()), rows=pa.array([len(some)], pa.int32()),
+                                    width=pa.array([width], pa.int32()), pairs=pa.array([pairs], pa.binary()))
 
     def count(group: pa.Table) -> pa.Table:
-        kinds = group["kind"].to_pylist()
-        prefix, suffix, n = (
-            np.concatenate([np.frombuffer(v, k).astype(np.int64) for v, k in zip(group[c].to_pylist(), kinds)]) for c in ("prefix", "suffix", "n")
-        )
+        some = (group[c].to_pylist() for c in ("pairs", "rows", "width"))
+        prefix, suffix, n = np.concatenate([_unpacked(*row) for row in zip(*some)], axis=1)
         first, rank = np.unique(prefix, return_inverse=True)
         room = int(suffix.max()) + 1
         code = rank * room + suffix
@@ -219,7 +238,7 @@ def _phrase_counts(relation: DataFrame, least: int) -> DataFrame:
         code, a = code[order][borders][a >= least], a[a >= least]
         return pa.table({"prefix": first[code // room], "suffix": code % room, "a": a})
 
-    dealt = relation.select("prefix", "suffix", "n").mapInArrow(deal, "part int, kind string, prefix binary, suffix binary, n binary")
+    dealt = relation.select("prefix", "suffix", "n").mapInArrow(deal, "part int, rows int, width int, pairs binary")
     return dealt.groupBy("part").applyInArrow(count, "prefix long, suffix long, a long")
 
 
@@ -291,8 +310,8 @@ def mine_phrases(
     relation, key = occurrences(docs, lang, text), ["lang", "word"]
     totals = _word_counts(relation, ["lang"]).withColumnRenamed("a", "n")
     levels = [frequent_words(relation, least)]
-    for _ in range(2, longest + 1):
-        relation, key = extend(relation, key, levels[-1]), ["prefix", "suffix"]
+    for words in range(2, longest + 1):
+        relation, key = extend(relation, key, levels[-1], words == longest), ["prefix", "suffix"]
         levels.append(frequent_phrases(relation, levels[-1], least))
     kept = []
     for words in range(2, longest + 1):
