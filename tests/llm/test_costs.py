@@ -1,11 +1,14 @@
 """What the text operators cost: CPU, memory and disk that once grew beyond their limits."""
 
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import decontaminate, phrases
+from tidemark.llm import bpe, decontaminate, minhash, phrases
+from tidemark.llm.common import batch, lean, worker_store
 
 
 def test_sums_by_feature_are_right_and_several_times_faster_than_reduceat():
@@ -43,3 +46,32 @@ def test_places_of_the_last_length_are_not_stored(spark):
     words = phrases.frequent_words(relation, 30)
     assert "places" in phrases.extend(relation, ["lang", "word"], words).columns
     assert phrases.extend(relation, ["lang", "word"], words, True).columns == ["block", "prefix", "suffix", "n"]
+
+
+def test_shingles_of_a_large_batch_hold_bounded_memory():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, 700))) for _ in range(12_000)]  # 80 MB
+    whole = batch(doc_id=pa.array(range(len(texts)), pa.int64()), text=pa.array(texts))
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in minhash._sets_of(5)(iter([whole])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts)
+    assert peak < 80 << 20, peak
+
+
+def test_a_worker_frees_what_other_operators_remembered():
+    worker_store("bpe")["words"] = {"a": b"1"}
+    list(lean(iter, "bpe")([1]))
+    assert worker_store("bpe")["words"] == {"a": b"1"}
+    list(minhash._describe(5)(iter([])))
+    assert worker_store("bpe") == {}
+
+
+def test_matches_remembered_beside_words_are_few():
+    model, encoder = bpe._encoder({bytes([i]): i for i in range(256)}, r"\S+|\s+")
+    for i in range(4):
+        bpe.packed_ids(encoder, pa.array([" ".join(f"w{i}x{k}" for k in range(60_000))]))
+    assert len(worker_store("bpe")["words"]) > 230_000 and len(worker_store("bpe")["matches"]) <= bpe.MATCH_ENTRIES + 60_001

@@ -18,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LONG_WORD, MEMO_ENTRIES, PartEncoder, batch, id_and_text, text_slices, worker_store
+from tidemark.llm.common import LONG_WORD, PartEncoder, batch, id_and_text, lean, text_slices, worker_store
 
 LEAF = 24
 WINDOW = 2
+#: Matches remembered beside the whole words that PartEncoder remembers.
+MATCH_ENTRIES = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -110,7 +112,7 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> tuple[ByteBPE, PartEncode
     known = store.setdefault("matches", {})
 
     def encode_all(parts: list[str]) -> list[bytes]:
-        if len(known) > MEMO_ENTRIES:
+        if len(known) > MATCH_ENTRIES:
             known.clear()
         out = []
         for part in parts:
@@ -151,7 +153,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
                 packed = packed_ids(encoder, b.column("text").slice(i, j - i))
                 yield batch(doc_id=b.column("doc_id").slice(i, j - i), ids=pa.array(packed, pa.binary()))
 
-    return id_and_text(docs).mapInArrow(encode, "doc_id long, ids binary")
+    return id_and_text(docs).mapInArrow(lean(encode, "bpe"), "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -192,4 +194,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     ),
                 )
 
-    return id_and_text(docs).mapInArrow(both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(docs).mapInArrow(lean(both, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, id_and_text
+from tidemark.llm.common import batch, id_and_text, lean
 from tidemark.llm.words import SLICE_WORDS, bucket_counts, store_words, token_slices, word_hashes
 
 FEATURES, RANK = 1 << 13, 64
@@ -95,7 +95,7 @@ def _document_frequency(words: DataFrame) -> tuple[np.ndarray, int]:
                 total[FEATURES + 1] += len(table)
         yield batch(feature=np.arange(FEATURES + 2, dtype=np.int32), n=total)
 
-    sums = words.select("words").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    sums = words.select("words").mapInArrow(lean(count), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     out = np.zeros(FEATURES + 2, np.int64)
     for row in sums.collect():  # a row per feature
         out[row.feature] = row.n
@@ -125,7 +125,7 @@ def _sketch(words: DataFrame, weight: np.ndarray, random: np.ndarray) -> np.ndar
         yield batch(feature=np.arange(FEATURES, dtype=np.int32), **{n: total[:, i] for i, n in enumerate(names)})
 
     schema = "feature int, " + ", ".join(f"{n} double" for n in names)
-    sums = words.select("words").mapInArrow(project, schema).groupBy("feature").agg(*(F.sum(n).alias(n) for n in names))
+    sums = words.select("words").mapInArrow(lean(project), schema).groupBy("feature").agg(*(F.sum(n).alias(n) for n in names))
     out = np.zeros((FEATURES, RANK))
     for row in sums.collect():  # a row per feature
         out[row.feature] = row[1:]
@@ -369,7 +369,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def search(batches, block=block):
             return _search(*basis.value, block.value)(batches)
 
-        found = found.unionByName(words.mapInArrow(search, schema))
+        found = found.unionByName(words.mapInArrow(lean(search), schema))
     return found.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"), F.bool_or("answer").alias("answer"))
 
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, slices
+from tidemark.llm.common import batch, lean, slices
 from tidemark.llm.spans import mix, span_hashes
 from tidemark.session import cut_lineage
 
@@ -59,7 +59,7 @@ def store_words(rows: DataFrame, name: str, symbols: bool = False) -> DataFrame:
                 packed = [hashes[x:y].astype("<u4").tobytes() for x, y in zip(first[:-1], first[1:])]
                 yield batch(doc_id=b.column("doc_id").slice(i, len(texts)), words=pa.array(packed, pa.binary()))
 
-    return cut_lineage(rows.mapInArrow(pack, "doc_id long, words binary"), name)
+    return cut_lineage(rows.mapInArrow(lean(pack), "doc_id long, words binary"), name)
 
 
 def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +91,7 @@ def bucket_counts(words: DataFrame, buckets: int) -> DataFrame:
         some = np.flatnonzero(total)
         yield batch(bucket=pa.array(some, pa.int32()), n=total[some])
 
-    return words.select("words").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return words.select("words").mapInArrow(lean(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def word_counts(words: DataFrame) -> DataFrame:
