@@ -21,6 +21,8 @@ from tidemark.functions.detectors import burn_in_rows, change_scores
 from tidemark.operators.response import BASE_MODEL, START_SCALE, fires
 from tidemark.spec import GPSpec, OnlineSpec, SeriesSpec
 
+#: Refits of a series that are fitted side by side.
+REFITS = 64
 OUTPUT = (
     "t bigint, y double, late boolean, prediction double, lower_conf double, upper_conf double, score double,"
     " change_point boolean, scale double, triggered boolean, refit_t bigint, scale_old double"
@@ -92,6 +94,54 @@ def _stepper(spec, online: OnlineSpec, gp: GPSpec, n_train: int, d: int, reorder
         parts = [level(season * k) for k in range(1, online.scale_seasons + 1)]
         return np.nan if 0 in parts else float(np.mean([level(0) / p for p in parts]))
 
+    def recent(x, y, at, scale):
+        """The training set of a refit at position ``at``."""
+        begin = max(0, at + 1 - online.max_samples)
+        return x[begin : at + 1], y[begin : at + 1] * scale
+
+    def fit_all(sets, theta0):
+        """Parameters of refits fitted side by side, None where a fit fails; each as if it were alone."""
+        try:
+            ready = []
+            for x, y in sets:
+                mean, std = _standard(x) if gp.standardize else (np.zeros(d), np.ones(d))
+                ready.append(((x - mean) / std, y))
+            starts = numerics.starts_of(gp.kernel, gp.period, gp.n_restarts, gp.seed, theta0)
+            n = len(starts) * len(sets)
+            found = numerics.fit_starts(gp.kernel, ready, np.repeat(np.arange(len(sets)), len(starts)), np.tile(starts, (len(sets), 1)),
+                                        np.full(n, gp.alpha), np.full(n, gp.normalize_y), gp.period)
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+            return [None] if len(sets) == 1 else [fit_all([one], theta0)[0] for one in sets]
+        best = [max(found[i : i + len(starts)], key=lambda f: f.likelihood) for i in range(0, n, len(starts))]
+        return [f.theta if np.isfinite(f.likelihood) else None for f in best]
+
+    def settle(s, x, y, scores, scales):
+        """Positions that trigger, and the parameters refitted there (None where the fit fails).
+
+        Some triggers are found as if no refit failed, and fitted side by side; after one that fails the rows are looked at again.
+        """
+        found, fits, old, at = {}, {}, s["scale_old"], min(scales, default=len(y))
+        while at < len(y):
+            some, ahead, in_force = [], at, old
+            while ahead < len(y) and len(some) < REFITS:
+                scale = scales[ahead]
+                usable = scores[ahead] >= s["threshold"] and np.isfinite(scale) and scale != 0 and in_force > 0
+                if usable and fires(scale, in_force, online.scale_thr):
+                    some.append(ahead)
+                    in_force = scale
+                ahead += 1
+            todo = [k for k in some if k not in fits]
+            if todo:
+                fits |= zip(todo, fit_all([recent(x, y, k, scales[k]) for k in todo], s["base_theta"]))
+            for k in some:
+                found[k] = fits[k]
+                if fits[k] is None:
+                    ahead = k + 1
+                    break
+                old = scales[k]
+            at = ahead
+        return found
+
     def take(s, rows):
         """Handle rows in order; returns their outputs."""
         known = len(s["ys"])
@@ -102,6 +152,16 @@ def _stepper(spec, online: OnlineSpec, gp: GPSpec, n_train: int, d: int, reorder
         scores = np.full(len(y), np.nan)
         if len(y) > season:
             scores[season:] = change_scores(y[season:] - y[:-season], online.cf_r, online.cf_order, online.cf_smooth)
+        begin = known + max(0, n_train - int(s["n"]))  # the first row that is predicted
+        if s["n"] < n_train and begin <= len(y):
+            first = scores[season:begin]
+            first = first[np.isfinite(first)]
+            s["threshold"] = float(np.percentile(first, online.cf_thr_perc)) if len(first) else np.inf
+            oldest = 0 if base_cap is None else max(0, begin - base_cap)
+            s["train_x"], s["train_y"] = x[oldest:begin].ravel(), y[oldest:begin]
+            s["theta"] = s["base_theta"] = fit(x[oldest:begin], s["train_y"], None)
+        scales = {at: scale_at(y, at) for at in range(begin, len(y))}
+        refits = settle(s, x, y, scores, scales)
         results, model = [], None
         for at in range(known, len(y)):
             out = dict.fromkeys(outputs)
@@ -109,31 +169,18 @@ def _stepper(spec, online: OnlineSpec, gp: GPSpec, n_train: int, d: int, reorder
                         refit_t=s["refit_t"], scale_old=s["scale_old"])
             results.append(out)
             s["n"] += 1
-            if s["n"] <= n_train:
-                if s["n"] == n_train:
-                    first = scores[season : at + 1]
-                    first = first[np.isfinite(first)]
-                    s["threshold"] = float(np.percentile(first, online.cf_thr_perc)) if len(first) else np.inf
-                    begin = 0 if base_cap is None else max(0, at + 1 - base_cap)
-                    s["train_x"], s["train_y"] = x[begin : at + 1].ravel(), y[begin : at + 1]
-                    s["theta"] = s["base_theta"] = fit(x[begin : at + 1], s["train_y"], None)
+            if at < begin:
                 continue
             model = predictor(s) if model is None else model
             centre, spread = model(x[at : at + 1])
             half = numerics.INTERVAL * spread[0]
             out |= dict(prediction=centre[0], lower_conf=centre[0] - half, upper_conf=centre[0] + half,
-                        score=scores[at], scale=scale_at(y, at), change_point=bool(scores[at] >= s["threshold"]))
-            usable = np.isfinite(out["scale"]) and out["scale"] != 0 and s["scale_old"] > 0
-            if out["change_point"] and usable and fires(out["scale"], s["scale_old"], online.scale_thr):
+                        score=scores[at], scale=scales[at], change_point=bool(scores[at] >= s["threshold"]))
+            if at in refits:
                 out["triggered"] = True
-                begin = max(0, at + 1 - online.max_samples)
-                train_x, train_y = x[begin : at + 1], y[begin : at + 1] * out["scale"]
-                try:
-                    s["theta"] = fit(train_x, train_y, s["base_theta"])
-                    s["train_x"], s["train_y"], model = train_x.ravel(), train_y, None
-                    s["scale_old"], s["refit_t"] = out["scale"], t[at]
-                except (ValueError, ArithmeticError, np.linalg.LinAlgError):
-                    pass  # the model in force stays
+                if refits[at] is not None:  # else the model in force stays
+                    s["train_x"], s["train_y"] = (v.ravel() for v in recent(x, y, at, scales[at]))
+                    s["theta"], s["scale_old"], s["refit_t"], model = refits[at], scales[at], t[at], None
         keep = n_train if s["n"] < n_train else need
         s["ts"], s["ys"], s["xs"] = t[-keep:], y[-keep:], x[-keep:].ravel()
         return results
