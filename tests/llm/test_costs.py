@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import bpe, decontaminate, minhash, phrases
+from tidemark.llm import bpe, common, decontaminate, minhash, phrases
 from tidemark.llm.common import batch, lean, worker_store
 
 
@@ -75,3 +75,22 @@ def test_matches_remembered_beside_words_are_few():
     for i in range(4):
         bpe.packed_ids(encoder, pa.array([" ".join(f"w{i}x{k}" for k in range(60_000))]))
     assert len(worker_store("bpe")["words"]) > 230_000 and len(worker_store("bpe")["matches"]) <= bpe.MATCH_ENTRIES + 60_001
+
+
+def test_frequent_words_outlive_a_full_memo(monkeypatch):
+    monkeypatch.setattr(common, "MEMO_ENTRIES", 100)
+    asked: list[str] = []
+
+    def encode_all(parts):
+        asked.extend(parts)
+        return [np.array([len(p), sum(map(ord, p))], "<u4").tobytes() for p in parts]
+
+    store: dict = {}
+    encoder = common.PartEncoder(store, encode_all)
+    for i in range(40):
+        words = ["often", *(f"w{i}x{k}" for k in range(20)), "x" * 200]
+        ids, first = encoder.encode(pa.array(["head " + " ".join(words)]))
+        assert ids.tobytes() == b"".join(encode_all(["head", *(f" {w}" for w in words)])) and first.tolist() == [0, len(ids)]
+        del asked[-len(words) - 1 :]
+        assert len(store["words"]) + len(store["old words"]) <= 2 * (100 + len(words))
+    assert asked.count(" often") == 1 and asked.count(" " + "x" * 200) == 40

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PartEncoder, batch, id_and_text, text_slices, worker_store
+from tidemark.llm.common import PartEncoder, batch, id_and_text, lean, text_slices, worker_store
 
 END_ID = 0
+#: Text that is encoded at once, and words that the library gets in a row.
+SLICE_BYTES, ROW_WORDS = 2 << 20, 256
 _WORD = re.compile(r" [^\s\x85\u200b]+").fullmatch
 #: Row groups of 16 MB and pages of 64 KB; the column index is written by default.
 WRITE_OPTIONS = {
@@ -66,8 +68,8 @@ def library_encoder(json_text: str) -> PartEncoder:
     def encode_all(parts: list[str]) -> list[bytes]:
         found: dict[str, bytes] = {}
         words = [p for p in parts if _WORD(p)]
-        for i in range(0, len(words), 1024):
-            found.update(zip(words[i : i + 1024], together(words[i : i + 1024])))
+        for i in range(0, len(words), ROW_WORDS):
+            found.update(zip(words[i : i + ROW_WORDS], together(words[i : i + ROW_WORDS])))
         others = [p for p in parts if p not in found]
         for i in range(0, len(others), 1024):
             found.update(zip(others[i : i + 1024], alone(others[i : i + 1024])))
@@ -88,14 +90,14 @@ def tokenize(docs: DataFrame, json_path: str, end_id: int | None = END_ID) -> Da
         encoder = None
         for b in batches:
             encoder = encoder or library_encoder(model.value)
-            for i, j in text_slices(b.column("text")):
+            for i, j in text_slices(b.column("text"), most_bytes=SLICE_BYTES):
                 ids, first = encoder.encode(b.column("text").slice(i, j - i))
                 if end_id is not None:
                     ids, first = np.insert(ids, first[1:], end_id), first + np.arange(j - i + 1)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.view("<i4")))
                 yield batch(doc_id=b.column("doc_id").slice(i, j - i), ids=lists)
 
-    return id_and_text(docs).mapInArrow(encode, "doc_id long, ids array<int>")
+    return id_and_text(docs).mapInArrow(lean(encode, "library"), "doc_id long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, json_path: str, path: str, end_id: int = END_ID) -> None:
